@@ -1,6 +1,11 @@
 """Views over the input tables and the query catalogue."""
 
-from tradewake.plans import window_queries  # noqa: F401
+from tradewake.plans import (  # noqa: F401
+    aggregate_queries,
+    evaluation_queries,
+    relation_queries,
+    window_queries,
+)
 from tradewake.plans.catalog import CATALOG, run
 
 __all__ = ["CATALOG", "run"]
