@@ -4,6 +4,9 @@ from tradewake.plans import (  # noqa: F401
     aggregate_queries,
     evaluation_queries,
     relation_queries,
+    sampling_queries,
+    scalar_queries,
+    source_queries,
     window_queries,
 )
 from tradewake.plans.catalog import CATALOG, run
