@@ -3,9 +3,11 @@
 from tradewake.plans import (  # noqa: F401
     aggregate_queries,
     evaluation_queries,
+    model_queries,
     relation_queries,
     sampling_queries,
     scalar_queries,
+    segment_queries,
     source_queries,
     window_queries,
 )

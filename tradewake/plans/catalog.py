@@ -48,7 +48,7 @@ def query(name: str, oracle: str | None = None, ctes: str = ""):
         text = None
         if oracle is not None:
             extra = f",\n{ctes.strip()}" if ctes.strip() else ""
-            text = f"WITH {ORACLE_VIEWS}{extra}\n{oracle.strip()}"
+            text = f"WITH RECURSIVE {ORACLE_VIEWS}{extra}\n{oracle.strip()}"
         CATALOG[name] = Query(build, text)
         return build
 
