@@ -132,7 +132,7 @@ def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIG
     contents = leaves.select("_leaf", "_points")
     # Within the own leaf, the k-th distance is a first bound.
     walk = placed.join(contents, "_leaf", "left").withColumn("_bound", _kth(_to_leaf(axes), k)).drop("_points", "_leaf", "_w")
-    walk = walk.withColumn("_at", F.lit(0).cast("long"))
+    walk = cut_lineage(walk.withColumn("_at", F.lit(0).cast("long")))
     per_point = Window.partitionBy("_pid")
     nearest_first = per_point.orderBy("_far", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(1, levels + 1):
@@ -154,6 +154,7 @@ def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIG
         walk = walk.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
         walk = walk.drop("_near", "_far", "_held", "_weight")
 
+    walk = cut_lineage(walk)
     visited = walk.join(contents.withColumnRenamed("_leaf", "_at"), "_at", "inner")
     nearest = visited.select("_pid", F.slice(F.array_sort(_to_leaf(axes)), 1, k).alias("_top"))
     found = nearest.groupBy("_pid").agg(F.sqrt(_kth(F.flatten(F.collect_list("_top")), k)).alias("distance"))

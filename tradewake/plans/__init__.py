@@ -9,6 +9,7 @@ from tradewake.plans import (  # noqa: F401
     scalar_queries,
     segment_queries,
     source_queries,
+    stream_queries,
     window_queries,
 )
 from tradewake.plans.catalog import CATALOG, run
