@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tradewake.functions import labels, scalars
 from tradewake.operators import prefix
 from tradewake.operators.prefix import DEFAULT_POLICY, SplitPolicy
+from tradewake.session import cut_lineage
 
 # Inputs of the segment model, in order.
 PROFILE_COLUMNS = ("avg_price", "avg_spent", "max_spent", "nMarkets", "nTrades", "total_spent", "win_rate")
@@ -92,7 +93,7 @@ def exact_quantiles(
     Equal values are counted first; the running count then shows which value
     stands at each wanted position. ``totals`` holds the keys and their ``count``.
     """
-    counted = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     placed = prefix.running_columns(counted, keys, [value], [prefix.prior_sum("_before", "_n")], policy)
     placed = placed.withColumn("_before", F.coalesce("_before", F.lit(0)))
     placed = placed.join(totals.select(*keys, F.col("count").alias("_total")), list(keys), "inner")
@@ -117,13 +118,12 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), poli
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     long = doubles.unpivot(list(by), list(columns), "feature", "value")
     keys = [*by, "feature"]
-    moments = long.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    # All columns side by side in one pass; only the finished figures become rows.
+    wide = doubles.groupBy(*by).agg(
+        *[F.struct(F.lit(c).alias("feature"), *[f(c).alias(m) for m, f in measures.items()]).alias(c) for c in columns]
     )
+    moments = cut_lineage(wide.select(*by, F.inline(F.array(*columns))))
     return moments.join(exact_quantiles(long, keys, "value", moments, policy=policy), keys, "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewake.functions import scalars
 from tradewake.operators import prefix
 from tradewake.operators.prefix import DEFAULT_POLICY, SplitPolicy
+from tradewake.session import cut_lineage
 
 
 def _number_of(condition: Column) -> Column:
@@ -97,6 +98,8 @@ def auc(
     counted = source.where(y.isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(
         _number_of(y == 1).alias("_pos"), _number_of(y == 0).alias("_neg")
     )
+    # Sizing and ranking both read the counts, so they are written once.
+    counted = cut_lineage(counted)
     ranked = prefix.running_columns(counted, keys, [score], [prefix.prior_sum("_below", "_neg")], policy)
     wins = F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2)
     out = ranked.groupBy(*keys).agg(F.sum(wins).alias("_wins"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))

@@ -90,11 +90,12 @@ def feature_table(history: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def market_average_so_far(
-    trades: DataFrame, value: str = "usd_amount", name: str = "market_avg_size_so_far", policy: SplitPolicy = DEFAULT_POLICY
+    trades: DataFrame, value: str = "usd_amount", name: str = "market_avg_size_so_far", policy: SplitPolicy = DEFAULT_POLICY,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Mean size of the market's earlier trades, null for the first one."""
     specs = [prefix.prior_sum("_sum", value), prefix.prior_count("_count", value)]
-    out = prefix.running_columns(trades, ["condition_id"], ["timestamp", "trade_id"], specs, policy)
+    out = prefix.running_columns(trades, ["condition_id"], ["timestamp", "trade_id"], specs, policy, sizing)
     return out.withColumn(name, scalars.ratio(F.col("_sum"), F.col("_count"))).drop("_sum", "_count")
 
 
@@ -102,7 +103,9 @@ def _count_by_second(trades: DataFrame) -> DataFrame:
     return trades.groupBy("condition_id", "timestamp").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def window_trade_count(trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ahead: bool = False) -> DataFrame:
+def window_trade_count(
+    trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ahead: bool = False, source: DataFrame | None = None
+) -> DataFrame:
     """Trades of the same market in the last ``seconds``, the current second included.
 
     ``look_ahead`` gives the count without an upper bound: everything from
@@ -110,9 +113,10 @@ def window_trade_count(trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ah
 
     Trades are first counted per second, so a market's window has at most one row
     per second of its life however many trades it holds. Each count is a difference
-    of two growing frames, which cost one pass.
+    of two growing frames, which cost one pass. ``source`` may name a cheaper frame
+    with the same trades to count from.
     """
-    per_second = _count_by_second(trades)
+    per_second = _count_by_second(trades if source is None else source)
     market = Window.partitionBy("condition_id")
     growing = market.orderBy("timestamp").rangeBetween
     before = F.coalesce(F.sum("_n").over(growing(Window.unboundedPreceding, -seconds - 1)), F.lit(0))
@@ -124,14 +128,15 @@ def window_trade_count(trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ah
     return left.join(right, same, "left").select("t.*", "c.window_trade_count")
 
 
-def trades_per_user_market(trades: DataFrame) -> DataFrame:
+def trades_per_user_market(trades: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Labelled trades of the same trader in the same market, on every trade; null keys drop out.
 
     Counted with partial aggregation and joined back, so that one very active
-    pair is not gathered in one task.
+    pair is not gathered in one task. ``source`` may name a cheaper frame with the
+    same trades to count from.
     """
     keys = ["address", "condition_id"]
-    counts = trades.dropna(subset=keys).groupBy(*keys).agg(F.count("won").alias("trade_by_user_per_market"))
+    counts = (trades if source is None else source).dropna(subset=keys).groupBy(*keys).agg(F.count("won").alias("trade_by_user_per_market"))
     return trades.join(counts, keys, "inner")
 
 

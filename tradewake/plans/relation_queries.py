@@ -8,6 +8,7 @@ from tradewake.functions import labels, scalars
 from tradewake.operators import aggregates, relations, windows
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
+from tradewake.session import cut_lineage
 
 TARGET_MARKET = 7
 
@@ -90,12 +91,15 @@ def legacy_users(inputs: Inputs):
 
 
 def clean_dataset(inputs: Inputs):
-    """Cleaned trades with the market windows and the per-pair count."""
+    """Cleaned trades with the market windows and the per-pair count.
+
+    The cleaned rows feed three computations, so they are written once.
+    """
     trades = with_outcome(inputs.trades)
-    cleaned = relations.clean_trades(trades, legacy_markets(inputs), legacy_users(inputs))
-    counted = windows.window_trade_count(cleaned, look_ahead=True)
-    averaged = windows.market_average_so_far(counted)
-    return windows.trades_per_user_market(averaged)
+    cleaned = cut_lineage(relations.clean_trades(trades, legacy_markets(inputs), legacy_users(inputs)))
+    averaged = windows.market_average_so_far(cleaned)
+    counted = windows.window_trade_count(averaged, look_ahead=True, source=cleaned)
+    return windows.trades_per_user_market(counted, source=cleaned)
 
 
 CLEAN_COLUMNS = (

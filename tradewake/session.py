@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on; all are runtime SQL settings, so they also apply
 # to a session somebody else created.
@@ -66,7 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Materialise a frame in the shared folder so that lost executors can re-read it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Later stages restart from the files when executors are lost, read only the
+    columns they need, and see the true size of the table when choosing a join.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
