@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewake.session import cut_lineage
+
 CHUNK = "_chunk"
 _HOT = "_hot"
 _LAST_HOT = "_last_hot"
@@ -36,7 +38,7 @@ _LAST_HOT = "_last_hot"
 class SplitPolicy:
     """When and how finely the rows of one key are split."""
 
-    target_rows: int = 5_000_000
+    target_rows: int = 10_000_000
     max_groups: int = 10_000
     fan_out: int = 1024
     max_levels: int = 6
@@ -103,7 +105,15 @@ def _large_groups(df: DataFrame, by: Sequence[str], axes: Sequence[str], policy:
     )
 
 
-def _cut_table(df: DataFrame, by: Sequence[str], axes: Sequence[str], policy: SplitPolicy) -> DataFrame | None:
+@dataclass(frozen=True)
+class Cut:
+    """One level of cutting; ``ties`` tells whether rows of one instant were separated."""
+
+    table: DataFrame
+    ties: bool
+
+
+def _cut_level(df: DataFrame, by: Sequence[str], axes: Sequence[str], policy: SplitPolicy) -> Cut | None:
     """Which groups to cut, along which axis, where from and how wide."""
     large = _large_groups(df, by, axes, policy)
     cuts = []
@@ -129,15 +139,15 @@ def _cut_table(df: DataFrame, by: Sequence[str], axes: Sequence[str], policy: Sp
             T.StructField("_parts", T.IntegerType()),
         ]
     )
-    return df.sparkSession.createDataFrame(cuts, schema)
+    return Cut(df.sparkSession.createDataFrame(cuts, schema), any(c[len(by)] > 0 for c in cuts))
 
 
-def _apply_cuts(df: DataFrame, keys: Sequence[str], axes: Sequence[str], cuts: Sequence[DataFrame], fan_out: int) -> DataFrame:
+def _apply_cuts(df: DataFrame, keys: Sequence[str], axes: Sequence[str], cuts: Sequence[Cut], fan_out: int) -> DataFrame:
     """Add the chunk number; a bounded broadcast join per level, no shuffle."""
     out = df.withColumn(CHUNK, F.lit(0).cast("long")).withColumn(_HOT, F.lit(False)).withColumn(_LAST_HOT, F.lit(False))
     for level, cut in enumerate(cuts):
         by = list(keys) if level == 0 else [*keys, CHUNK]
-        renamed = cut.withColumnsRenamed({b: f"_cut_{i}" for i, b in enumerate(by)})
+        renamed = cut.table.withColumnsRenamed({b: f"_cut_{i}" for i, b in enumerate(by)})
         match = reduce(
             Column.__and__, [F.col(b).eqNullSafe(F.col(f"_cut_{i}")) for i, b in enumerate(by)]
         )
@@ -157,7 +167,7 @@ def _apply_cuts(df: DataFrame, keys: Sequence[str], axes: Sequence[str], cuts: S
     return out
 
 
-def plan_cuts(sizing: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[DataFrame]:
+def plan_cuts(sizing: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[Cut]:
     """Cut tables, one per level, until no chunk is larger than the target.
 
     A group whose first ordering value is the same in all rows is cut along the
@@ -167,14 +177,14 @@ def plan_cuts(sizing: DataFrame, keys: Sequence[str], order: Sequence[str], poli
     if not axes:
         return []
     narrow = sizing.select(*dict.fromkeys([*keys, *axes]))
-    cuts: list[DataFrame] = []
+    cuts: list[Cut] = []
     while len(cuts) < policy.max_levels:
         if cuts:
             frame = _apply_cuts(narrow, keys, axes, cuts, policy.fan_out).where(F.col(_LAST_HOT))
             by = [*keys, CHUNK]
         else:
             frame, by = narrow, list(keys)
-        cut = _cut_table(frame, by, axes, policy)
+        cut = _cut_level(frame, by, axes, policy)
         if cut is None:
             break
         cuts.append(cut)
@@ -203,7 +213,7 @@ def _local(spec: Running, by: Sequence[str], order: Sequence[str]) -> Column:
     raise ValueError(f"unknown running column kind: {spec.kind}")
 
 
-def _chunk_total(spec: Running, order: Sequence[str]) -> list[Column]:
+def _chunk_total(spec: Running, order: Sequence[str], ties: bool) -> list[Column]:
     name = f"_t_{spec.name}"
     if spec.kind == "ordinal":
         return [F.count(F.lit(1)).alias(name)]
@@ -211,10 +221,14 @@ def _chunk_total(spec: Running, order: Sequence[str]) -> list[Column]:
         return [F.sum(spec.value).alias(name)]
     if spec.kind == "prior_count":
         return [F.count(spec.value).alias(name)]
+    if spec.kind == "prior_value" and spec.value == order[0]:
+        return [F.max(spec.value).alias(name)]
     if spec.kind == "prior_value":
         last = F.struct(*[F.col(o) for o in order], F.col(spec.value).alias("_v"))
         return [F.max(last)["_v"].alias(name)]
     value = F.col(spec.value)
+    if not ties:
+        return [(F.max if spec.kind == "peer_max" else F.min)(value).alias(name)]
     if spec.kind == "peer_max":
         head = F.max(F.struct((-F.col(order[0])).alias("_o"), value.alias("_v")))["_v"]
         return [F.max(value).alias(name), head.alias(f"_h_{spec.name}")]
@@ -233,7 +247,7 @@ def _carried(spec: Running, earlier) -> Column:
     return F.sum(total).over(earlier)
 
 
-def _combined(spec: Running) -> Column:
+def _combined(spec: Running, ties: bool) -> Column:
     local, carry = F.col(spec.name), F.col(f"_c_{spec.name}")
     if spec.kind in ("ordinal", "prior_count"):
         return local + F.coalesce(carry, F.lit(0))
@@ -241,8 +255,28 @@ def _combined(spec: Running) -> Column:
         return F.coalesce(local + carry, local, carry)
     if spec.kind == "prior_value":
         return F.when(F.col("_first_in_chunk"), carry).otherwise(local)
-    ext = F.when(F.col("_order_0") == F.col("_high"), F.col(f"_e_{spec.name}"))
-    return (F.greatest if spec.kind == "peer_max" else F.least)(local, carry, ext)
+    parts = [local, carry]
+    if ties:
+        parts.append(F.when(F.col("_order_0") == F.col("_high"), F.col(f"_e_{spec.name}")))
+    return (F.greatest if spec.kind == "peer_max" else F.least)(*parts)
+
+
+def _never_null(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Columns that identify the same groups as the keys without nulls.
+
+    Joining on them is a plain equality, so the join reuses the partitioning of
+    the windows; a null-safe comparison of the keys would shuffle again.
+    """
+    out: dict[str, Column] = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
+            blank = F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+            out[f"_key_{i}"] = F.coalesce(F.col(k), blank)
+            out[f"_null_{i}"] = F.col(k).isNull()
+        else:
+            out[f"_key_{i}"] = F.struct(k)
+    return out
 
 
 def running_columns(
@@ -264,36 +298,34 @@ def running_columns(
         return df.withColumns({s.name: _local(s, keys, order) for s in specs})
 
     split = _apply_cuts(df, keys, _numeric(df, order), cuts, policy.fan_out).drop(_LAST_HOT)
-    by = [*keys, CHUNK]
+    safe = _never_null(df, keys)
+    split, groups = split.withColumns(safe), list(safe)
+    by = [*groups, CHUNK]
     local = split.withColumns({s.name: _local(s, by, order) for s in specs})
     local = local.withColumn("_first_in_chunk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
 
     peers = [s for s in specs if s.kind in ("peer_max", "peer_min")]
-    totals = (
+    ties = bool(peers) and any(c.ties for c in cuts)
+    totals = cut_lineage(
         split.where(F.col(_HOT))
         .groupBy(*by)
         .agg(
             F.min(order[0]).alias("_lowest"),
             F.max(order[0]).alias("_high"),
-            *[c for s in specs for c in _chunk_total(s, order)],
+            *[c for s in specs for c in _chunk_total(s, order, ties)],
         )
     )
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*by, "_high", *[_carried(s, earlier).alias(f"_c_{s.name}") for s in specs])
-    carry = carry.withColumnsRenamed({b: f"_b_{i}" for i, b in enumerate(by)})
-    if peers:
+    if ties:
         # Rows that share the last instant of a chunk may continue in later chunks.
-        heads = totals.groupBy(*keys, "_lowest").agg(
+        heads = totals.groupBy(*groups, F.col("_lowest").alias("_high")).agg(
             *[(F.max if s.kind == "peer_max" else F.min)(f"_h_{s.name}").alias(f"_e_{s.name}") for s in peers]
         )
-        heads = heads.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
-        same = [F.col(f"_b_{i}").eqNullSafe(F.col(f"_k_{i}")) for i in range(len(keys))]
-        carry = carry.join(heads, reduce(Column.__and__, [*same, F.col("_high") == F.col("_lowest")]), "left")
-        carry = carry.drop(*[f"_k_{i}" for i in range(len(keys))], "_lowest")
-
-    match = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_b_{i}")) for i, b in enumerate(by)])
-    joined = local.join(carry, match, "left").withColumn("_order_0", F.col(order[0]))
-    return joined.withColumns({s.name: _combined(s) for s in specs}).select(*df.columns, *[s.name for s in specs])
+        carry = carry.join(heads, [*groups, "_high"], "left")
+
+    joined = local.join(carry, by, "left").withColumn("_order_0", F.col(order[0]))
+    return joined.withColumns({s.name: _combined(s, ties) for s in specs}).select(*df.columns, *[s.name for s in specs])
 
 
 def nth_rows(

@@ -51,54 +51,42 @@ class Inputs:
 
 
 def trades_view(events: DataFrame) -> DataFrame:
-    price = (F.regexp_extract("props", "[0-9]+", 0).cast("int") + F.lit(0.5)) / 100
-    return events.select(
-        F.col("event_id").alias("trade_id"),
-        F.col("user_id").alias("address"),
-        (F.col("event_id") % 210).alias("condition_id"),
-        F.unix_timestamp("ts").alias("timestamp"),
-        price.alias("price"),
-        F.col("value").alias("usd_amount"),
-        (F.col("value") / price).alias("token_amount"),
-        F.when(F.col("event_type").isin("purchase", "view"), "BUY")
-        .when(F.col("event_type").isin("click", "signup"), "SELL")
-        .otherwise("MERGE")
-        .alias("direction"),
-        F.when(F.col("event_id") % 2 == 0, "maker").otherwise("taker").alias("role"),
-        F.when(F.col("event_id") % 3 == 0, "token2").otherwise("token1").alias("nonusdc_side"),
+    price = "(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) + 0.5D) / 100"
+    return events.selectExpr(
+        "event_id AS trade_id",
+        "user_id AS address",
+        "event_id % 210 AS condition_id",
+        "unix_timestamp(ts) AS timestamp",
+        f"{price} AS price",
+        "value AS usd_amount",
+        f"value / ({price}) AS token_amount",
+        "CASE WHEN event_type IN ('purchase', 'view') THEN 'BUY' WHEN event_type IN ('click', 'signup') THEN 'SELL' ELSE 'MERGE' END AS direction",
+        "IF(event_id % 2 = 0, 'maker', 'taker') AS role",
+        "IF(event_id % 3 = 0, 'token2', 'token1') AS nonusdc_side",
     )
 
 
 def markets_view(part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    days = F.make_dt_interval(F.col("p_size"))
     # The first outcome wins for remainders 0 and 1, the second for 2 and 3.
-    prices = (
-        F.when(key % 89 == 0, F.lit(None).cast("string"))
-        .when(key % 5 < 2, "['1', '0']")
-        .when(key % 5 < 4, "['0', '1']")
-        .otherwise("['0.5', '0.5']")
-    )
-    return part.where(key < 200).select(
-        key.alias("condition_id"),
-        (F.col("p_retailprice") * 1000).alias("volume"),
-        F.when(key % 41 != 0, F.lit("2023-11-01 00:00:00").cast("timestamp") + days).alias("created_at"),
-        F.when(key % 97 != 0, F.lit("2024-01-05 00:00:00").cast("timestamp") + days).alias("end_date"),
-        prices.alias("outcome_prices"),
-        (2 * key).alias("token1"),
-        (2 * key + 1).alias("token2"),
-        F.when(key % 4 == 0, "daily").when(key % 4 == 1, "once").when(key % 4 == 2, "").alias("recurrences"),
-        F.when(key % 7 != 0, F.col("p_type")).alias("tags"),
+    prices = """CASE WHEN p_partkey % 89 = 0 THEN NULL WHEN p_partkey % 5 < 2 THEN "['1', '0']"
+        WHEN p_partkey % 5 < 4 THEN "['0', '1']" ELSE "['0.5', '0.5']" END AS outcome_prices"""
+    return part.where("p_partkey < 200").selectExpr(
+        "p_partkey AS condition_id",
+        "p_retailprice * 1000 AS volume",
+        "IF(p_partkey % 41 <> 0, TIMESTAMP '2023-11-01 00:00:00' + make_dt_interval(p_size), NULL) AS created_at",
+        "IF(p_partkey % 97 <> 0, TIMESTAMP '2024-01-05 00:00:00' + make_dt_interval(p_size), NULL) AS end_date",
+        prices,
+        "2 * p_partkey AS token1",
+        "2 * p_partkey + 1 AS token2",
+        "CASE p_partkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'once' WHEN 2 THEN '' END AS recurrences",
+        "IF(p_partkey % 7 <> 0, p_type, NULL) AS tags",
     )
 
 
 def users_view(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    opened = F.lit("2023-06-01 00:00:00").cast("timestamp") + F.make_dt_interval((key % 300).cast("int"))
-    return customer.select(
-        key.alias("address"),
-        F.when(key % 53 != 0, opened).alias("created_at"),
-        F.col("c_acctbal").alias("weighted_vol"),
+    opened = "TIMESTAMP '2023-06-01 00:00:00' + make_dt_interval(CAST(c_custkey % 300 AS INT))"
+    return customer.selectExpr(
+        "c_custkey AS address", f"IF(c_custkey % 53 <> 0, {opened}, NULL) AS created_at", "c_acctbal AS weighted_vol"
     )
 
 
