@@ -26,6 +26,19 @@ def test_label_by_prices(prices):
     assert column(prices, labels.won_by_prices(F.lit("token2"), F.col("p"))) == [False, True, True, True, True, False, None]
 
 
+def test_label_agrees_with_a_batch_function(prices):
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def by_batch(side: pd.Series, text: pd.Series) -> pd.Series:
+        first = text.str.find("1") == 2
+        return ((side == "token1") == first).astype("boolean").where(text.notna(), None)
+
+    for side in ("token1", "token2"):
+        expected = column(prices, by_batch(F.lit(side), F.col("p")))
+        assert column(prices, labels.won_by_prices(F.lit(side), F.col("p"))) == expected
+
+
 def test_settled_and_winning_index(prices):
     assert column(prices, labels.is_settled(F.col("p"))) == [True, True, True, False, False, False, None]
     assert column(prices, labels.winning_index_by_threshold(F.col("p"))) == [0, 1, 1, 0, 0, 0, None]

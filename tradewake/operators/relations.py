@@ -1,7 +1,9 @@
 """Filters, joins and unions between trades, markets and users.
 
 No join here carries a broadcast hint: Spark broadcasts a side it has measured as
-small and otherwise sorts and merges, where adaptive execution splits hot keys.
+small and otherwise sorts and merges, where adaptive execution splits hot keys. It
+can do so only when both sides come straight from a shuffle, so a side that is an
+aggregate is written out first.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewake.functions import labels, scalars
+from tradewake.session import cut_lineage
 
 # Open price bands in use.
 PRICE_BANDS = ((0.1, 0.9), (0.2, 0.9), (0.05, 0.95), (0.4, 0.6))
@@ -56,7 +59,7 @@ def select_markets(markets: DataFrame, min_volume: float, start_epoch: int | Non
 
 def of_busy_markets(trades: DataFrame, min_trades: int = MIN_MARKET_TRADES) -> DataFrame:
     """Trades of markets with enough trades."""
-    busy = trades.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_trades)
+    busy = cut_lineage(trades.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_trades))
     return trades.join(busy, "condition_id", "left_semi")
 
 
@@ -147,12 +150,16 @@ def market_trade_features(trades: DataFrame, markets: DataFrame) -> DataFrame:
 def scoring_frame(user_features: DataFrame, live: DataFrame, start_epoch: int, end_epoch: int) -> DataFrame:
     """Scoring inputs of live trades in one market; ``live`` carries ``time_since_last_trade``.
 
+    Traders without a live trade stay, with empty trade columns. They are added
+    by an anti-join: in an outer join a hot trader's trades could not be split.
     Keeps two conventions of the scoring side that differ from training: the day
     of week starts at Monday=0, and the token amount is size times price.
     """
     at = F.col("timestamp")
     columns = ["address", "trade_id", "usd_amount", "price", "timestamp", "direction", "outcome", "time_since_last_trade"]
-    joined = user_features.join(live.select(*columns), "address", "left")
+    rows = live.select(*columns)
+    idle = user_features.join(rows, "address", "left_anti")
+    joined = union_all(rows.join(user_features, "address", "inner"), idle)
     return joined.select(
         "address", "trade_id",
         (at - start_epoch).alias("time_since_start"),

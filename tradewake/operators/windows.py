@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewake.functions import labels, scalars
 from tradewake.operators import prefix
 from tradewake.operators.prefix import DEFAULT_POLICY, SplitPolicy
+from tradewake.session import cut_lineage
 
 # Input columns of the models, in training order.
 FEATURE_COLUMNS = (
@@ -121,7 +122,9 @@ def window_trade_count(
     growing = market.orderBy("timestamp").rangeBetween
     before = F.coalesce(F.sum("_n").over(growing(Window.unboundedPreceding, -seconds - 1)), F.lit(0))
     upto = F.sum("_n").over(market if look_ahead else growing(Window.unboundedPreceding, 0))
-    counts = per_second.select("condition_id", "timestamp", (upto - before).alias("window_trade_count"))
+    # Written out, the counts are a plain side of the join: broadcast when small,
+    # else sorted and merged with hot keys split at run time.
+    counts = cut_lineage(per_second.select("condition_id", "timestamp", (upto - before).alias("window_trade_count")))
     left = trades.alias("t")
     right = counts.alias("c")
     same = F.col("t.condition_id").eqNullSafe(F.col("c.condition_id")) & (F.col("t.timestamp") == F.col("c.timestamp"))
@@ -136,7 +139,8 @@ def trades_per_user_market(trades: DataFrame, source: DataFrame | None = None) -
     same trades to count from.
     """
     keys = ["address", "condition_id"]
-    counts = (trades if source is None else source).dropna(subset=keys).groupBy(*keys).agg(F.count("won").alias("trade_by_user_per_market"))
+    known = (trades if source is None else source).dropna(subset=keys)
+    counts = cut_lineage(known.groupBy(*keys).agg(F.count("won").alias("trade_by_user_per_market")))
     return trades.join(counts, keys, "inner")
 
 
@@ -145,12 +149,12 @@ def time_since_last(trades: DataFrame, last_trades: DataFrame, policy: SplitPoli
 
     The known trade may lie after the current one, so the result can be negative.
     """
-    numbered = prefix.running_columns(
-        trades, ["address"], ["timestamp", "trade_id"], [prefix.prior_value("_previous", "timestamp")], policy
-    )
-    known = last_trades.select("address", "last_trade")
+    # Joined before the window, so that a trader cut into chunks is not gathered again.
+    known = trades.join(last_trades.select("address", "last_trade"), "address", "left")
+    previous = [prefix.prior_value("_previous", "timestamp")]
+    numbered = prefix.running_columns(known, ["address"], ["timestamp", "trade_id"], previous, policy, sizing=trades)
     since = F.col("timestamp") - F.coalesce("_previous", "last_trade")
-    return numbered.join(known, "address", "left").select(*trades.columns, since.alias("time_since_last_trade"))
+    return numbered.select(*trades.columns, since.alias("time_since_last_trade"))
 
 
 def price_series(trades: DataFrame, markets: DataFrame) -> DataFrame:

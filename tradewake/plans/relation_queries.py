@@ -245,7 +245,7 @@ def join_tags(inputs: Inputs):
 )
 def semi_join_segment(inputs: Inputs):
     labelled = windows.label_trades(inputs.trades, inputs.markets)
-    winners = labelled.groupBy("address").agg(F.avg(F.col("won").cast("int")).alias("rate")).where("rate > 0.5")
+    winners = cut_lineage(labelled.groupBy("address").agg(F.avg(F.col("won").cast("int")).alias("rate")).where("rate > 0.5"))
     return relations.of_addresses(inputs.trades.select("trade_id", "address", "usd_amount"), winners)
 
 
@@ -313,7 +313,7 @@ def live_trades(inputs: Inputs):
 
 def scoring_inputs(inputs: Inputs):
     start, end = target_times(inputs)
-    features = as_of_features(inputs, end)
+    features = cut_lineage(as_of_features(inputs, end))
     live = live_trades(inputs)
     since = windows.time_since_last(live, features)
     return relations.scoring_frame(features, since, start, end)

@@ -8,7 +8,7 @@ from tradewake.operators import windows
 from tradewake.plans.aggregate_queries import PROFILE_CTE, segmented_profile
 from tradewake.plans.catalog import query
 from tradewake.plans.inputs import Inputs, with_outcome_names
-from tradewake.session import scratch_path
+from tradewake.session import cut_lineage, scratch_path
 from tradewake.sources import ingest, landed, tables
 
 # Market documents: which optional fields are present depends on the market id.
@@ -85,7 +85,7 @@ def sink_parquet_roundtrip(inputs: Inputs):
 def partition_by_category(inputs: Inputs):
     """One pass writes a folder per category; reading two of them back prunes the others."""
     path = scratch_path(inputs.spark, "by-category")
-    categories = segmented_profile(inputs).select("address", "category")
+    categories = cut_lineage(segmented_profile(inputs).select("address", "category"))
     split = inputs.trades.select("trade_id", "address", "usd_amount").join(categories, "address", "inner")
     tables.write_table(split, path, partition_by=["category"])
     return tables.read_table(inputs.spark, path).where("category < 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tradewake.operators import windows
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs
+from tradewake.session import cut_lineage
 
 PIT_CTE = """
 pit AS (
@@ -149,6 +150,7 @@ def trades_per_user_market(inputs: Inputs):
 def time_since_last(inputs: Inputs):
     live = inputs.trades.where("condition_id % 10 = 0").select("trade_id", "address", "timestamp")
     past = inputs.trades.where("condition_id % 10 <> 0").groupBy("address").agg(F.max("timestamp").alias("last_trade"))
+    past = cut_lineage(past)
     return windows.time_since_last(live, past)
 
 
