@@ -156,7 +156,9 @@ def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIG
 
     walk = cut_lineage(walk)
     visited = walk.join(contents.withColumnRenamed("_leaf", "_at"), "_at", "inner")
-    nearest = visited.select("_pid", F.slice(F.array_sort(_to_leaf(axes)), 1, k).alias("_top"))
+    # Nothing beyond the bound can be among the k nearest, so little is left to sort.
+    within = F.filter(_to_leaf(axes), lambda e: F.col("_bound").isNull() | (e["d"] <= F.col("_bound")))
+    nearest = visited.select("_pid", F.slice(F.array_sort(within), 1, k).alias("_top"))
     found = nearest.groupBy("_pid").agg(F.sqrt(_kth(F.flatten(F.collect_list("_top")), k)).alias("distance"))
     per_value = distinct.select("_pid", *axes).join(found, "_pid", "left").drop("_pid")
     return plain.join(per_value, list(axes), "left").select(key, "distance")

@@ -10,6 +10,7 @@ from tradewake.operators import aggregates, windows
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs
 from tradewake.plans.window_queries import PIT_CTE, features
+from tradewake.session import cut_lineage
 
 PROFILE_CTE = """
 profile AS (
@@ -128,7 +129,8 @@ def value_counts_by_group(inputs: Inputs):
     PIT_CTE,
 )
 def describe_features(inputs: Inputs):
-    return _rounded_description(aggregates.describe(features(inputs), DESCRIBED))
+    # Moments and quartiles both read the features, so the needed columns are written once.
+    return _rounded_description(aggregates.describe(cut_lineage(features(inputs).select(*DESCRIBED)), DESCRIBED))
 
 
 @query(
