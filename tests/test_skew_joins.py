@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewake.operators import relations, windows
+from tradewake.operators.prefix import SplitPolicy
 from tradewake.session import cut_lineage
 
 SMALL = {
@@ -49,7 +50,7 @@ def test_pair_counts_are_split(small_partitions, trades):
 
 
 def test_window_counts_are_split(small_partitions, trades):
-    assert ran_split(windows.window_trade_count(trades))
+    assert ran_split(windows.window_trade_count(trades, policy=SplitPolicy(target_rows=1000)))
 
 
 def test_busy_markets_are_split(small_partitions, trades):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tradewake.functions import labels, scalars
 from tradewake.operators import aggregates, evaluate, relations, sampling, windows
+from tradewake.operators.prefix import DEFAULT_POLICY, SplitPolicy
 from tradewake.schemas import to_canonical
 from tradewake.sources import ingest, landed
 
@@ -100,11 +101,12 @@ def test_history_peers_and_first_row(spark):
     assert out[4]["cum_trades"] == 1
 
 
-def test_window_counts(spark):
+@pytest.mark.parametrize("policy", [DEFAULT_POLICY, SplitPolicy(target_rows=2)])
+def test_window_counts(spark, policy):
     rows = [(1, 1, 0), (2, 1, 3600), (3, 1, 3600), (4, 1, 7201), (5, 2, 0)]
     df = spark.createDataFrame(rows, "trade_id long, condition_id long, timestamp long")
-    trailing = {r["trade_id"]: r["window_trade_count"] for r in windows.window_trade_count(df).collect()}
-    ahead = {r["trade_id"]: r["window_trade_count"] for r in windows.window_trade_count(df, look_ahead=True).collect()}
+    trailing = {r["trade_id"]: r["window_trade_count"] for r in windows.window_trade_count(df, policy=policy).collect()}
+    ahead = {r["trade_id"]: r["window_trade_count"] for r in windows.window_trade_count(df, look_ahead=True, policy=policy).collect()}
     assert trailing == {1: 1, 2: 3, 3: 3, 4: 1, 5: 1}
     assert ahead == {1: 4, 2: 4, 3: 4, 4: 1, 5: 1}
 

@@ -22,7 +22,7 @@ NEIGHBOUR = 13
 LEAF_POINTS = 64
 FAN_OUT = 8
 MAX_LEVELS = 20
-# Boxes are broadcast up to this many; beyond it the walk is a shuffled join.
+# Boxes of a level are broadcast up to this many; beyond it the walk is a shuffled join.
 BROADCAST_BOXES = 20_000
 
 
@@ -124,10 +124,10 @@ def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIG
             F.collect_list(F.struct(*[F.col(a).alias(f"x{i}") for i, a in enumerate(axes)], F.col("_w").alias("w"))).alias("_points"),
         )
     )
-    few = leaves.count() <= BROADCAST_BOXES
+    leaf_count = leaves.count()
 
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
+    def side(boxes: DataFrame, level: int) -> DataFrame:
+        return F.broadcast(boxes) if min(leaf_count, FAN_OUT**level) <= BROADCAST_BOXES else boxes
 
     contents = leaves.select("_leaf", "_points")
     # Within the own leaf, the k-th distance is a first bound.
@@ -140,7 +140,7 @@ def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIG
         below = [F.greatest(F.col(f"_lo_{i}") - F.col(a), F.col(a) - F.col(f"_hi_{i}"), F.lit(0.0)) for i, a in enumerate(axes)]
         beyond = [F.greatest(F.abs(F.col(a) - F.col(f"_lo_{i}")), F.abs(F.col(a) - F.col(f"_hi_{i}"))) for i, a in enumerate(axes)]
         walk = (
-            walk.join(side(boxes), walk["_at"] == boxes["_parent"], "inner")
+            walk.join(side(boxes, level), walk["_at"] == boxes["_parent"], "inner")
             .withColumn("_near", _total([b * b for b in below]))
             .withColumn("_far", _total([b * b for b in beyond]))
             .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))

@@ -38,7 +38,7 @@ _LAST_HOT = "_last_hot"
 class SplitPolicy:
     """When and how finely the rows of one key are split."""
 
-    target_rows: int = 10_000_000
+    target_rows: int = 4_000_000
     max_groups: int = 10_000
     fan_out: int = 1024
     max_levels: int = 6
@@ -167,6 +167,12 @@ def _apply_cuts(df: DataFrame, keys: Sequence[str], axes: Sequence[str], cuts: S
     return out
 
 
+def has_large_keys(df: DataFrame, keys: Sequence[str], policy: SplitPolicy = DEFAULT_POLICY) -> bool:
+    """True when some key holds more rows than one task should take."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.where(F.col("_n") > policy.target_rows).isEmpty()
+
+
 def plan_cuts(sizing: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy = DEFAULT_POLICY) -> list[Cut]:
     """Cut tables, one per level, until no chunk is larger than the target.
 

@@ -100,35 +100,36 @@ def market_average_so_far(
     return out.withColumn(name, scalars.ratio(F.col("_sum"), F.col("_count"))).drop("_sum", "_count")
 
 
-def _count_by_second(trades: DataFrame) -> DataFrame:
-    return trades.groupBy("condition_id", "timestamp").agg(F.count(F.lit(1)).alias("_n"))
-
-
 def window_trade_count(
-    trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ahead: bool = False, source: DataFrame | None = None
+    trades: DataFrame, seconds: int = WINDOW_SECONDS, look_ahead: bool = False, source: DataFrame | None = None,
+    policy: SplitPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Trades of the same market in the last ``seconds``, the current second included.
 
     ``look_ahead`` gives the count without an upper bound: everything from
-    ``seconds`` before the trade to the end of the market.
+    ``seconds`` before the trade to the end of the market. Each count is a
+    difference of two growing frames, which cost one pass.
 
-    Trades are first counted per second, so a market's window has at most one row
-    per second of its life however many trades it holds. Each count is a difference
-    of two growing frames, which cost one pass. ``source`` may name a cheaper frame
-    with the same trades to count from.
+    With a very large market, trades are first counted per second, so that its
+    window has at most one row per second of its life, and the counts are joined
+    back. ``source`` may name a cheaper frame with the same trades to count from.
     """
-    per_second = _count_by_second(trades if source is None else source)
+    counted = trades if source is None else source
     market = Window.partitionBy("condition_id")
     growing = market.orderBy("timestamp").rangeBetween
-    before = F.coalesce(F.sum("_n").over(growing(Window.unboundedPreceding, -seconds - 1)), F.lit(0))
-    upto = F.sum("_n").over(market if look_ahead else growing(Window.unboundedPreceding, 0))
+    everything = market if look_ahead else growing(Window.unboundedPreceding, 0)
+    too_old = growing(Window.unboundedPreceding, -seconds - 1)
+    if not prefix.has_large_keys(counted, ["condition_id"], policy):
+        one = F.lit(1)
+        return trades.withColumn("window_trade_count", F.count(one).over(everything) - F.count(one).over(too_old))
+
+    per_second = counted.groupBy("condition_id", "timestamp").agg(F.count(F.lit(1)).alias("_n"))
+    in_window = F.sum("_n").over(everything) - F.coalesce(F.sum("_n").over(too_old), F.lit(0))
     # Written out, the counts are a plain side of the join: broadcast when small,
     # else sorted and merged with hot keys split at run time.
-    counts = cut_lineage(per_second.select("condition_id", "timestamp", (upto - before).alias("window_trade_count")))
-    left = trades.alias("t")
-    right = counts.alias("c")
+    counts = cut_lineage(per_second.select("condition_id", "timestamp", in_window.alias("window_trade_count")))
     same = F.col("t.condition_id").eqNullSafe(F.col("c.condition_id")) & (F.col("t.timestamp") == F.col("c.timestamp"))
-    return left.join(right, same, "left").select("t.*", "c.window_trade_count")
+    return trades.alias("t").join(counts.alias("c"), same, "left").select("t.*", "c.window_trade_count")
 
 
 def trades_per_user_market(trades: DataFrame, source: DataFrame | None = None) -> DataFrame:
