@@ -76,6 +76,11 @@ def pca_2d(scaled: DataFrame, columns: Sequence[str], key: str) -> tuple[DataFra
 # --------------------------------------------------------------------------- matrix
 
 
+def spread(sample: DataFrame, key: str) -> DataFrame:
+    """Give a bounded sample one partition per core; a top-n leaves it in a single one."""
+    return sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def model_inputs(features: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Numeric, gap-free inputs with the label; rows without a label drop out."""
     types = dict(features.dtypes)

@@ -71,14 +71,14 @@ def model_logreg(inputs: Inputs):
 @query("model_rf")
 def model_rf(inputs: Inputs):
     rows = sampling.sample_n(training_rows(inputs), models.FOREST_SAMPLE, trade_hash(), "trade_id")
-    train, test = _split(cut_lineage(rows))
+    train, test = _split(cut_lineage(models.spread(rows, "trade_id")))
     return _measured(models.fit_forest(train, MODEL_COLUMNS, **models.FOREST), test)
 
 
 @query("model_gbt")
 def model_gbt(inputs: Inputs):
     rows = sampling.sample_per_group(training_rows(inputs), "condition_id", 20, trade_hash(), "trade_id")
-    train, test = _split(cut_lineage(rows))
+    train, test = _split(cut_lineage(models.spread(rows, "trade_id")))
     # Boosting is sequential: the full 300 rounds take minutes even on few rows.
     settings = {**models.BOOSTED, "rounds": 30}
     return _measured(models.fit_boosted(train, MODEL_COLUMNS, **settings), test)

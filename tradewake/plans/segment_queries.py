@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tradewake.operators import aggregates, models, neighbors, segments
 from tradewake.operators.aggregates import PROFILE_COLUMNS
 from tradewake.plans.aggregate_queries import PROFILE_CTE, labelled_trades
