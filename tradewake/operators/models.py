@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewake.operators import evaluate, relations
+from tradewake.session import shared_folder
 
 LABEL = "won"
 SEED = 42
@@ -155,6 +156,8 @@ def fit_boosted(
     column_share: float = 0.8, bins: int = 32, holdout: str | None = None,
 ) -> Classifier:
     """Boosted trees; ``holdout`` names a boolean column whose rows decide early stopping."""
+    # Boosting checkpoints its running predictions every few rounds.
+    shared_folder(train.sparkSession)
     estimator = GBTClassifier(
         maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=row_share, featureSubsetStrategy=str(column_share),
         maxBins=bins, seed=SEED, checkpointInterval=10,
