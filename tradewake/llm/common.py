@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Limits of an Arrow batch: long texts make batches of the default size too large.
@@ -31,12 +31,20 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, condition=None) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``decisions``, all columns as they were.
+def row_key(column) -> Column:
+    """A join key for ids: null ids meet each other, at a number no id uses."""
+    return F.coalesce(column.cast("long"), F.lit(-(2**63)))
 
-    A null doc_id matches a null doc_id.
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among those of ``chosen``, all columns as they were.
+
+    With ``once``, of rows that share a doc_id only the first by content stays. That uses the
+    partitioning of the join.
     """
-    chosen = (decisions if condition is None else decisions.filter(condition)).select(F.col("doc_id").alias("_chosen")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"))
-    kept = packed.join(chosen, packed["_row.doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
+    packed = docs.select(row_key(F.col("doc_id")).alias("_key"), F.struct("*").alias("_row"))
+    kept = packed.join(chosen.select(row_key(F.col("doc_id")).alias("_key")).distinct(), "_key", "left_semi")
+    if once:
+        first = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
+        kept = kept.withColumn("_place", F.row_number().over(first)).filter("_place = 1")
     return kept.select("_row.*")

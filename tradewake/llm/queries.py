@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewake.llm import packing
+from tradewake.llm import packing, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op4_packing": packing.op4_packing,
 }
 ORACLES: dict[str, str] = {}
