@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewake.llm import packing, simhash
+from tradewake.llm import packing, pii, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op4_packing": packing.op4_packing,
 }
