@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tradewake.llm import packing, pii, simhash
+from tradewake.llm import langid, packing, pii, simhash, toxicity
 
 QUERIES = {
+    "op9_langid": langid.op9_langid,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op4_packing": packing.op4_packing,
