@@ -9,7 +9,8 @@ information-theoretic part adds terms that give such an entity away. Over all do
 where df(e,t) counts documents with t in the context of e (CONTEXT_WORDS words to either side). The
 disclosure PMI/IC is 1 for a term met only beside the entity and about 0 for common words. From
 ``GENERALISE`` on a term is replaced by its class, from ``REMOVE`` on it is taken out, wherever
-it occurs. A term needs ``SUPPORT`` different contexts of the entity, so copies of one text are no evidence.
+it occurs. A term needs ``SUPPORT`` unlike contexts of the entity, so copies of one text are no evidence: contexts are told apart by
+the smallest hash of their words, which an edit rarely changes, and must be so often unlike as ``UNLIKE`` of all different ones.
 
 Contexts are a fixed number of words around a match, so co-occurrence grows with the matches, and
 no pairs within documents are built. Document counts of terms are combined on the map side.
@@ -48,6 +49,7 @@ WORD = r"(?<![\p{L}\p{N}@._+-])\p{L}{3,}+(?![\p{N}@])"
 CONTEXT_WORDS = 8
 CONTEXT_CHARS = 160
 SUPPORT = 3
+UNLIKE = 0.2
 GENERALISE = 0.8
 REMOVE = 0.95
 # Term tables up to this many rows are handed to every task; larger ones are joined by shuffling.
@@ -96,7 +98,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def contexts(based: DataFrame) -> DataFrame:
-    """(entity, key, context, term): terms around every base span; context is a hash of the words around."""
+    """(entity, key, context, sign, term): terms around every base span; context is a hash of the words around, sign their smallest."""
     def named(kind: str) -> Column:
         def entity(s: Column) -> Column:
             value = F.lower(F.regexp_replace(s["value"], r"[\x20()-]", ""))
@@ -110,7 +112,8 @@ def contexts(based: DataFrame) -> DataFrame:
     found = found.withColumns({"left": F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0)), "right": F.regexp_extract_all(F.lower(after), F.lit(WORD), F.lit(0))})
     near = F.concat(F.expr(f"slice(left, greatest(size(left) - {CONTEXT_WORDS}, 0) + 1, {CONTEXT_WORDS})"), F.expr(f"slice(right, 1, {CONTEXT_WORDS})"))
     found = found.select("_key", "entity", F.array_distinct(near).alias("near"), F.xxhash64(near).alias("context"))
-    return found.select("_key", "entity", "context", F.explode_outer("near").alias("term"))
+    found = found.withColumn("sign", F.array_min(F.transform("near", lambda w: F.xxhash64(w))))
+    return found.select("_key", "entity", "context", "sign", F.explode_outer("near").alias("term"))
 
 
 def words_of(rows: DataFrame) -> DataFrame:
@@ -121,18 +124,16 @@ def words_of(rows: DataFrame) -> DataFrame:
 def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """(term, disclosure, action) of the terms that give an entity away; rows as from ``packed``."""
     seen = cut_lineage(contexts(with_base(rows)))
-    pairs = seen.filter("term IS NOT NULL").groupBy("entity", "term", "context").agg(F.count("*").alias("_n"))
-    pairs = cut_lineage(pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support))
-    candidates = cut_lineage(pairs.select("term").distinct())
-    n_terms = candidates.count()
-    if n_terms == 0:
-        return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).limit(0)
+    unlike = seen.filter("term IS NOT NULL").groupBy("entity", "term", "sign", "context").agg(F.count("*").alias("_n")).groupBy("entity", "term", "sign").agg(F.count("*").alias("contexts"))
+    pairs = unlike.groupBy("entity", "term").agg(F.count("*").alias("signs"), F.sum("contexts").alias("contexts"))
+    pairs = cut_lineage(pairs.filter((F.col("signs") >= support) & (F.col("signs") >= UNLIKE * F.col("contexts"))))
+    candidates = pairs.select("term").distinct()
+    if pairs.isEmpty():
+        return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     both = seen.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_both"))
     alone = seen.select("entity", "_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    if n_terms <= SMALL_TERMS:
-        spread = words_of(rows).join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    else:
-        spread = words_of(rows).groupBy("term").agg(F.count("*").alias("df_term")).join(candidates, "term", "left_semi")
+    # Counted before the join, so that only one row per word meets the candidates.
+    spread = cut_lineage(words_of(rows).groupBy("term").agg(F.count("*").alias("df_term"))).join(candidates, "term", "left_semi")
     total = rows.count()
     scored = cut_lineage(both).join(cut_lineage(alone), "entity").join(cut_lineage(spread), "term")
     share = (F.log2(F.lit(float(total)) * F.col("df_both") / (F.col("df_entity") * F.greatest("df_term", "df_both")))) / F.log2(F.lit(float(total)) / F.col("df_entity"))
