@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewake.llm import htmltext, langid, packing, pii, simhash, toxicity
+from tradewake.llm import htmltext, langid, packing, pii, simhash, substrings, toxicity
 
 QUERIES = {
+    "op5_substrings": substrings.op5_substrings,
     "op8_htmltext": htmltext.op8_htmltext,
     "op9_langid": langid.op9_langid,
     "op10_toxicity": toxicity.op10_toxicity,
