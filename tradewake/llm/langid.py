@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ START = "▁"
 SHARED = 0.01
 # Probability of a letter outside the vocabulary.
 RARE = 1e-8
-MEMORY = 400_000
+MEMORY = 700_000
 # Below this certainty the pipeline drops a document.
 ACCEPT = 0.35
 
@@ -70,7 +71,7 @@ def runs(text: str) -> list[str]:
 
 
 class Forward:
-    """Sums over all segmentations of a word, for all languages at once."""
+    """Sums over all segmentations of a word, for expected uses of pieces."""
 
     def __init__(self, model: dict[str, list[float]], languages: int):
         self.model = model
@@ -97,10 +98,6 @@ class Forward:
                 to[k] += at[k] * q
         return sums
 
-    def score(self, word: str) -> list[float]:
-        """Log-probability of the word per language."""
-        return [math.log(x) if x > 0 else -700.0 for x in self.alphas(START + word)[-1]]
-
     def expected(self, word: str, k: int) -> list[tuple[str, float]]:
         """Pieces of the word with their expected uses in language number k."""
         marked = START + word
@@ -158,6 +155,7 @@ class LanguageModel:
     """Piece probabilities of each language, and how common the languages are."""
 
     def __init__(self, languages: list[str], priors: list[float], pieces: dict[str, list[float]]):
+        self.name = uuid.uuid4().hex
         self.languages, self.priors, self.pieces = languages, priors, pieces
 
 
@@ -197,44 +195,68 @@ class WordScores:
     """Rows of per-language scores, remembered per word as it stands in the text."""
 
     def __init__(self, model: LanguageModel):
-        self.languages = model.languages
+        self.name, self.languages = model.name, model.languages
         self.priors = np.array(model.priors)
-        self.forward = Forward(model.pieces, len(model.languages))
+        # Row 0 is for strings that are no piece, row 1 for letters outside the vocabulary.
+        self.number = {piece: i + 2 for i, piece in enumerate(model.pieces)}
+        width = len(self.languages)
+        self.pieces = np.array([[0.0] * width, [RARE] * width, *model.pieces.values()]).reshape(-1, width)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[float]] = {}
+        self.parts: dict[str, np.ndarray] = {}
         # Row 0 is for words without letters.
         self.table = np.zeros((1024, len(self.languages) + 1))
         self.used = 1
 
-    def _row(self, word: bytes) -> int:
-        sums = [0.0] * (len(self.languages) + 1)
-        for run in runs(word.decode("utf-8", "replace")):
-            score = self.parts.get(run)
-            if score is None:
-                score = self.parts[run] = [*self.forward.score(run), float(len(run))]
-            sums = [a + b for a, b in zip(sums, score)]
-        at = 0
-        if sums[-1]:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            at, self.used = self.used, self.used + 1
-            self.table[at] = sums
-        self.known[word] = at
-        return at
-
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-probability per language of words of one length: the forward sums of all of them at once."""
+        marked = [START + w for w in words]
+        n, get = len(marked[0]), self.number.get
+        arcs = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
+        numbers = np.array([[get(w[i:j]) or int(j == i + 1) for i, j in arcs] for w in marked])
+        sums = np.zeros((n + 1, len(words), len(self.languages)))
+        sums[0] = 1.0
+        for k, (i, j) in enumerate(arcs):
+            sums[j] += sums[i] * self.pieces[numbers[:, k]]
+        return np.log(np.maximum(sums[n], 1e-300))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remembers the scores of new words."""
+        split = {w: runs(w.decode("utf-8", "replace")) for w in words}
+        fresh: dict[int, list[str]] = {}
+        for run in {r for parts in split.values() for r in parts} - self.parts.keys():
+            fresh.setdefault(len(run), []).append(run)
+        for length, group in fresh.items():
+            for at in range(0, len(group), 4096):
+                some = group[at : at + 4096]
+                found = self.score(some)
+                self.parts.update(zip(some, np.column_stack([found, np.full(len(some), float(length))])))
+        needed = self.used + len(words)
+        if needed > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), needed), self.table.shape[1]))
+            grown[: self.used] = self.table[: self.used]
+            self.table = grown
+        for word, parts in split.items():
+            if parts:
+                self.table[self.used] = self.parts[parts[0]] if len(parts) == 1 else sum(self.parts[p] for p in parts)
+                self.known[word] = self.used
+                self.used += 1
+            else:
+                self.known[word] = 0
+
+    def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.known) > MEMORY:
             self.forget()
-        words, known = text.split(), self.known
-        at = list(map(known.get, words))
-        if None in at:
-            at = [(known[w] if w in known else self._row(w)) if a is None else a for w, a in zip(words, at)]
-        sums = self.table[at].sum(axis=0) if at else np.zeros(len(self.languages) + 1)
+        words = [(t or b"").split() for t in texts]
+        self.learn({w for ws in words for w in ws} - self.known.keys())
+        return [self._judge(ws) for ws in words]
+
+    def _judge(self, words: list[bytes]) -> tuple[str, float]:
+        sums = self.table[list(map(self.known.__getitem__, words))].sum(axis=0) if words else np.zeros(len(self.languages) + 1)
         if not sums[-1]:
             return UNKNOWN, 0.0
         logs = sums[:-1] + self.priors
@@ -242,6 +264,16 @@ class WordScores:
         return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
+_SCORES: list[WordScores] = []
+
+
+def word_scores(model: LanguageModel) -> WordScores:
+    """The scores of the model at hand, used again by later tasks of a Python worker."""
+    if not _SCORES or _SCORES[0].name != model.name:
+        _SCORES[:] = [WordScores(model)]
+    return _SCORES[0]
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     spark = docs.sparkSession
@@ -249,9 +281,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = WordScores(shared.value)
+        scorer = word_scores(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch["text"]]
+            found = scorer.predict(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD).alias("held_out"), F.col("text").cast("string").cast("binary").alias("text"))
