@@ -19,6 +19,7 @@ documents, no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -299,9 +300,20 @@ def choose_terms(found: list[tuple[str, int]]) -> dict[str, bool]:
 
 class ToxicityModel:
     def __init__(self, terms: dict[str, bool], exempt: frozenset[str], weights: np.ndarray):
+        self.name = uuid.uuid4().hex
         self.terms, self.exempt, self.weights = terms, exempt, weights
 
 
+_SCANNERS: list[tuple[str, Scanner]] = []
+
+
+def scanner_of(model: ToxicityModel) -> Scanner:
+    """The scanner of the model at hand, used again by later tasks of a Python worker."""
+    if not _SCANNERS or _SCANNERS[0][0] != model.name:
+        _SCANNERS[:] = [(model.name, Scanner(Matcher(model.terms, model.exempt)))]
+    return _SCANNERS[0][1]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Lexicon, forms that aren't misspellings, and weights. What reaches the driver comes from the bounded sample."""
     spark = docs.sparkSession
@@ -343,7 +355,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        scanner = Scanner(Matcher(model.terms, model.exempt))
+        scanner = scanner_of(model)
         for batch in batches:
             counts = np.array([scanner.counts(t) for t in batch["text"]], dtype=float).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(features(counts) @ model.weights, -30, 30)))
