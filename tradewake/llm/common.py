@@ -48,3 +48,18 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFra
         first = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
         kept = kept.withColumn("_place", F.row_number().over(first)).filter("_place = 1")
     return kept.select("_row.*")
+
+
+def sample_per_class(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The n rows of each class with the smallest hash of the key (all rows of a smaller class).
+
+    A class larger than 2n is first cut to a range of hashes that holds about 2n of its rows, so that
+    no task meets a whole class.
+    """
+    spark = rows.sparkSession
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    # One row per class.
+    limits = spark.createDataFrame([(c, min(2**63 - 1, int(2**64 * min(1.0, 2 * n / size)) - 2**63)) for c, size in sizes.items()], f"{by} {rows.schema[by].dataType.simpleString()}, _limit long")
+    near = rows.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(limits), by).filter("_hash <= _limit")
+    order = Window.partitionBy(by).orderBy("_hash", key)
+    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n", "_hash", "_limit")

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import keep_rows, small_batches, table
+from tradewake.llm.common import keep_rows, sample_per_class, small_batches, table
 from tradewake.session import cut_lineage
 
 UNKNOWN = "und"
@@ -120,8 +120,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, lang) of the documents to learn from, at most TRAIN_DOCS per language."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= TRAIN_DOCS).drop("_n")
+    return sample_per_class(labelled, "lang", "doc_id", TRAIN_DOCS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

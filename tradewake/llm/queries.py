@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewake.llm import htmltext, langid, orderminhash, packing, pii, simhash, substrings, toxicity
+from tradewake.llm import htmltext, langid, neighbours, orderminhash, packing, pii, simhash, substrings, toxicity
 
 QUERIES = {
+    "op3_neighbours": neighbours.op3_neighbours,
     "op6_orderminhash": orderminhash.op6_orderminhash,
     "op5_substrings": substrings.op5_substrings,
     "op8_htmltext": htmltext.op8_htmltext,

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import small_batches, table
+from tradewake.llm.common import sample_per_class, small_batches, table
 from tradewake.session import cut_lineage
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -232,9 +232,7 @@ def labelled(labels: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != HELD_OUT_FOLD))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= TRAIN_DOCS).drop("_n")
+    return sample_per_class(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", "doc_id", TRAIN_DOCS)
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
