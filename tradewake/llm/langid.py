@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import keep_rows, sample_per_class, small_batches, table
+from tradewake.llm.common import sample_per_class, small_batches, table
 from tradewake.session import cut_lineage
 
 UNKNOWN = "und"
@@ -290,9 +291,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """Documents whose language is recognised with at least this certainty, all columns as they were."""
-    judged = identify(docs, train(docs))
-    return keep_rows(docs, judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+    """Documents whose language is recognised with at least this certainty, all columns as they were.
+
+    Rows are judged where they are; nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = word_scores(shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in scorer.predict(texts)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
