@@ -35,6 +35,23 @@ def test_copies_are_dropped_within_and_across_runs(spark):
     assert sorted(r["trade_id"] for r in jobs.ingested(spark, sink).collect()) == [1, 2, 3, 4]
 
 
+def test_nothing_is_lost(spark):
+    """Late new trades, a new checkpoint on an old sink, one key with two times, null keys."""
+    source, sink = (scratch_path(spark, n) for n in ("src", "sink"))
+    day = 86400
+    write(spark, source, [(1, "a", day, 0.1), (None, "n", day, 0.5), (None, "n", day, 0.5)])
+    write(spark, source, [(5, "b", 20 * day, 0.2)])
+    write(spark, source, [(2, "late", 2 * day, 0.3), (1, "a", 9 * day, 0.9)])
+    jobs.ingest_trades(stream(spark, source), sink, scratch_path(spark, "first"), ["trade_id"])
+    kept = sorted((r["trade_id"] or 0, r["price"]) for r in jobs.ingested(spark, sink).collect())
+    assert kept == [(0, 0.5), (0, 0.5), (1, 0.1), (2, 0.3), (5, 0.2)]
+
+    other = scratch_path(spark, "other")
+    write(spark, other, [(7, "z", day, 0.7), (5, "b", 20 * day, 0.2)])
+    jobs.ingest_trades(stream(spark, other), sink, scratch_path(spark, "second"), ["trade_id"])
+    assert sorted(r["trade_id"] or 0 for r in jobs.ingested(spark, sink).collect()) == [0, 0, 1, 2, 5, 7]
+
+
 def test_gap_is_remembered_across_batches(spark):
     columns = ["address long", "trade_id long", "condition_id long", "timestamp long"]
     fields = ", ".join([*columns, *[f"{c} double" for c in jobs._CARRIED], "last_trade double"])

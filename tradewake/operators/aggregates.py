@@ -142,7 +142,7 @@ def price_histogram(labelled: DataFrame, width: float = 0.01, more_than: float =
     """Trades per price bin and label, with the label's share of the bin; bins start at multiples of the width."""
     counts = (
         labelled.where(F.col("usd_amount") > more_than)
-        .groupBy(F.floor(F.col("price") / width).alias("bin"), "won")
+        .groupBy(F.floor(F.round(F.col("price") / width, 6)).alias("bin"), "won")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("bin")))

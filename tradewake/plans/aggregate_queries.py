@@ -163,7 +163,7 @@ def correlation_matrix(inputs: Inputs):
 @query(
     "price_histogram",
     f"""SELECT bin, won, n, {r("CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY bin)", name="share")} FROM
-      (SELECT CAST(FLOOR(price / 0.01) AS BIGINT) AS bin, won, COUNT(*) AS n FROM labelled WHERE usd_amount > 5 GROUP BY 1, 2)""",
+      (SELECT CAST(FLOOR(ROUND(price / 0.01, 6)) AS BIGINT) AS bin, won, COUNT(*) AS n FROM labelled WHERE usd_amount > 5 GROUP BY 1, 2)""",
 )
 def price_histogram(inputs: Inputs):
     return rounded(aggregates.price_histogram(labelled_trades(inputs)), "share")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewake.functions import labels, scalars
 from tradewake.operators import relations, sampling
+from tradewake.sources import tables
 
 # Identifying columns of each entity.
 TRADE_KEY, USER_KEY, MARKET_KEY = ("trans_hash",), ("address",), ("condition_id",)
@@ -16,8 +18,18 @@ COMPOSITE_TRADE_KEY = ("address", "timestamp", "condition_id")
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], arrival: Sequence[Column | str]) -> DataFrame:
-    """Rows an insert-or-ignore would add: first arrival per key, unless the key exists."""
-    return relations.unseen(sampling.first_rows(incoming, keys, arrival), existing, *keys)
+    """Rows an insert-or-ignore would add: first arrival per key, unless the key exists.
+
+    A key with a null in it equals no other, so all its rows are added.
+    """
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    first = relations.unseen(sampling.first_rows(incoming.where(known), keys, arrival), existing, *keys)
+    return first.unionByName(incoming.where(~known))
+
+
+def append_new(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], arrival: Sequence[Column | str]) -> None:
+    """Insert-or-ignore into a stored table: only rows with new keys are appended."""
+    tables.write_table(new_rows(tables.read_table(spark, path), incoming, keys, arrival), path, mode="append")
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], arrival: Sequence[Column | str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -11,12 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tradewake.functions import scalars
-from tradewake.operators import relations
 from tradewake.operators.models import LIVE_THRESHOLD, MISSING, Classifier
-from tradewake.sources import tables
-
-# How late a copy of a transaction may arrive and still be recognised from state alone.
-DUPLICATE_DELAY = "7 days"
+from tradewake.session import cut_lineage
+from tradewake.sources import ingest, tables
 
 
 def read_trade_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -41,49 +39,62 @@ def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpo
 
 def store_in(sink: str) -> Callable[[DataFrame, int], None]:
     """Write each batch to a folder of its own, so a repeated batch replaces itself."""
-    return lambda batch, batch_id: tables.write_table(batch, batch_folder(sink, batch_id))
+    return lambda batch, batch_id: tables.write_table(batch, f"{sink}/batch_id={batch_id}")
 
 
 # --------------------------------------------------------------------------- ingest
 
 
-def batch_folder(sink: str, batch_id: int) -> str:
-    return f"{sink}/batch_id={batch_id}"
+# Key ranges of the stored table; a batch reads only those its keys fall in.
+KEY_PARTS = 64
+
+
+def batch_folder(sink: str, batch_id: int, run: str = "0") -> str:
+    return f"{sink}/run={run}/batch_id={batch_id}"
+
+
+def run_name(checkpoint: str) -> str:
+    """Name of the run that a checkpoint belongs to: the same after a restart, another for a new checkpoint."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
-def stored_before(spark: SparkSession, sink: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """Rows that earlier batches stored; empty before the first one."""
-    full = T.StructType([*schema.fields, T.StructField("day", T.LongType()), T.StructField("batch_id", T.LongType())])
-    if batch_id == 0:
+def stored_rows(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+    """Everything stored so far; empty before the first batch of all."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    full = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("key_part", T.IntegerType())])
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(sink).where(F.col("batch_id") < batch_id)
+    return spark.read.schema(full).parquet(sink)
 
 
 def ingest_trades(stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str], event_time: str = "event_time") -> None:
-    """Append trades whose key is new; the first arrival wins.
+    """Append trades whose key is new, however late they arrive; the first arrival wins.
 
-    State drops copies that arrive close together; older copies are found in the
-    stored table, of which only the days present in the batch are read. A batch
-    writes its own folder, so repeating it after a failure changes nothing.
+    A batch keeps one row per key and drops keys stored by any other batch of any run. Nothing rests on
+    stream state, so neither a late trade nor a lost or new checkpoint loses rows. A batch
+    writes a folder of its own, named after its run, so repeating it after a failure changes nothing.
+    Rows with a null in their key equal no others and are all kept.
     """
-    fresh = stream.withWatermark(event_time, DUPLICATE_DELAY).dropDuplicatesWithinWatermark(list(keys))
-    schema = fresh.schema
+    run = run_name(checkpoint)
+    schema = stream.schema
+    names = list(keys)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumn("day", F.floor(F.unix_micros(event_time) / (scalars.DAY * 1_000_000)).cast("long"))
-        if batch_id > 0:
-            days = dated.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-            known = stored_before(spark, sink, batch_id, schema).where(F.col("day").between(days["first"], days["last"]))
-            dated = relations.unseen(dated, known, "day", *keys)
-        tables.write_table(dated, batch_folder(sink, batch_id), partition_by=["day"])
+        parted = cut_lineage(batch.withColumn("key_part", F.pmod(F.xxhash64(*names), F.lit(KEY_PARTS)).cast("int")))
+        # At most KEY_PARTS rows.
+        parts = [r["key_part"] for r in parted.select("key_part").distinct().collect()]
+        others = stored_rows(spark, sink, schema).where(F.col("key_part").isin(parts)) if parts else stored_rows(spark, sink, schema)
+        others = others.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+        fresh = ingest.new_rows(others, parted, names, [event_time, *[c for c in schema.names if c not in (*names, event_time)]])
+        tables.write_table(fresh, batch_folder(sink, batch_id, run), partition_by=["key_part"])
 
-    drain(fresh, store, checkpoint)
+    drain(stream, store, checkpoint)
 
 
 def ingested(spark: SparkSession, sink: str) -> DataFrame:
     """The stored table."""
-    return spark.read.parquet(sink).drop("batch_id", "day")
+    return spark.read.parquet(sink).drop("run", "batch_id", "key_part")
 
 
 # --------------------------------------------------------------------------- scoring
@@ -120,7 +131,8 @@ def _gaps(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd
     rows = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp", "trade_id"], ignore_index=True)
     previous = rows["timestamp"].astype("float64").shift(1)
     previous.iloc[0] = state.get[0] if state.exists else rows["last_trade"].iloc[0]
-    state.update((int(rows["timestamp"].iloc[-1]),))
+    # A late trade must not set the clock back.
+    state.update((max(int(rows["timestamp"].iloc[-1]), state.get[0] if state.exists else -(2**62)),))
     yield rows.drop(columns="last_trade").assign(time_since_last_trade=rows["timestamp"] - previous)
 
 
