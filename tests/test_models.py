@@ -51,7 +51,7 @@ def test_logistic_weights_and_reload(spark, planted):
     assert models.ranked_weights(model)[0][0] == "price"
     path = scratch_path(spark, "model")
     model.save(path)
-    again = models.Classifier(models.load_pipeline(path), model.columns, model.scaler)
+    again = models.load_classifier(path)
     assert again.score(planted).agg(F.sum("predicted_prob")).first()[0] == pytest.approx(model.score(planted).agg(F.sum("predicted_prob")).first()[0])
 
 

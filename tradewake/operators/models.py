@@ -17,11 +17,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewake.operators import evaluate, relations
-from tradewake.session import shared_folder
+from tradewake.session import cut_lineage, shared_folder
 
 LABEL = "won"
 SEED = 42
@@ -77,9 +77,19 @@ def pca_2d(scaled: DataFrame, columns: Sequence[str], key: str) -> tuple[DataFra
 # --------------------------------------------------------------------------- matrix
 
 
-def spread(sample: DataFrame, key: str) -> DataFrame:
-    """Give a bounded sample one partition per core; a top-n leaves it in a single one."""
-    return sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, key)
+# Rows that tree ensembles are fitted on at most, and rows per partition of them: rounds are sequential, so a
+# partition should hold enough work to outweigh its scheduling.
+FIT_ROWS, ROWS_PER_PART = 2_000_000, 50_000
+
+
+def fitting_rows(train: DataFrame, key: str, most: int = FIT_ROWS) -> DataFrame:
+    """At most ``most`` training rows, by a hash of the key, in partitions of a fitting size, written out.
+
+    Only the rows that a model is fitted on are bounded; everything is scored.
+    """
+    rows = train.count()
+    chosen = train if rows <= most else train.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(2**31)) < int(2**31 * most / rows))
+    return cut_lineage(chosen.repartition(max(1, -(-min(rows, most) // ROWS_PER_PART)), key))
 
 
 def model_inputs(features: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -116,15 +126,25 @@ class Classifier:
             ready = inputs.withColumns({f"_x_{c}": self.scaler.scaled(c) for c in self.columns})
         out = self.model.transform(ready)
         p = vector_to_array("_probability")[1]
-        out = out.withColumn(probability, p).withColumn(predicted, (F.col(probability) > threshold).cast("int"))
+        out = out.withColumn(probability, p).withColumn(predicted, (F.col(probability) >= threshold).cast("int"))
         return out.drop("_features", "_raw", "_probability", "_prediction", *[f"_x_{c}" for c in self.columns])
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """Model, column list and scaler together."""
+        self.model.write().overwrite().save(f"{path}/model")
+        means, deviations = (self.scaler.means, self.scaler.deviations) if self.scaler else ((), ())
+        frame = SparkSession.active().createDataFrame([(list(self.columns), list(means), list(deviations))], _BUNDLE)
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+_BUNDLE = "columns array<string>, means array<double>, deviations array<double>"
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_classifier(path: str) -> Classifier:
+    """A classifier as it was saved."""
+    row = SparkSession.active().read.schema(_BUNDLE).parquet(f"{path}/columns").first()
+    scaler = Scaler(tuple(row["columns"]), tuple(row["means"]), tuple(row["deviations"])) if row["means"] else None
+    return Classifier(PipelineModel.load(f"{path}/model"), tuple(row["columns"]), scaler)
 
 
 def _fit(train: DataFrame, columns: Sequence[str], estimator, scaler: Scaler | None = None) -> Classifier:

@@ -39,7 +39,12 @@ class Inputs:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return trades_view(self.table("events"))
+        return trades_view(self.table("events"), self.n_markets)
+
+    @cached_property
+    def n_markets(self) -> int:
+        """Markets there are; a count from file footers."""
+        return self.table("part").count()
 
     @cached_property
     def markets(self) -> DataFrame:
@@ -50,12 +55,14 @@ class Inputs:
         return users_view(self.table("customer"))
 
 
-def trades_view(events: DataFrame) -> DataFrame:
+def trades_view(events: DataFrame, n_markets: int) -> DataFrame:
+    """Trades are dealt over all markets and ten ids that have none; two in seven meet in a hundredth of the markets."""
+    busy = max(n_markets // 100, 1)
     price = "(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) + 0.5D) / 100"
     return events.selectExpr(
         "event_id AS trade_id",
         "user_id AS address",
-        "event_id % 210 AS condition_id",
+        f"IF(event_id % 7 < 2, (event_id div 7) % {busy}, event_id % {n_markets + 10}) AS condition_id",
         "unix_timestamp(ts) AS timestamp",
         f"{price} AS price",
         "value AS usd_amount",
@@ -70,7 +77,7 @@ def markets_view(part: DataFrame) -> DataFrame:
     # The first outcome wins for remainders 0 and 1, the second for 2 and 3.
     prices = """CASE WHEN p_partkey % 89 = 0 THEN NULL WHEN p_partkey % 5 < 2 THEN "['1', '0']"
         WHEN p_partkey % 5 < 4 THEN "['0', '1']" ELSE "['0.5', '0.5']" END AS outcome_prices"""
-    return part.where("p_partkey < 200").selectExpr(
+    return part.selectExpr(
         "p_partkey AS condition_id",
         "p_retailprice * 1000 AS volume",
         "IF(p_partkey % 41 <> 0, TIMESTAMP '2023-11-01 00:00:00' + make_dt_interval(p_size), NULL) AS created_at",
@@ -114,7 +121,9 @@ def with_outcome_names(markets: DataFrame) -> DataFrame:
 
 
 ORACLE_VIEWS = """trades AS (
-  SELECT event_id AS trade_id, user_id AS address, event_id % 210 AS condition_id,
+  SELECT event_id AS trade_id, user_id AS address,
+    CASE WHEN event_id % 7 < 2 THEN (event_id // 7) % GREATEST((SELECT COUNT(*) FROM part) // 100, 1)
+         ELSE event_id % ((SELECT COUNT(*) FROM part) + 10) END AS condition_id,
     epoch_us(ts)//1000000 AS timestamp,
     (CAST(regexp_extract(props,'[0-9]+',0) AS INT)+CAST(0.5 AS DOUBLE))/100 AS price,
     value AS usd_amount,
@@ -135,7 +144,7 @@ markets AS (
     2*p_partkey AS token1, 2*p_partkey+1 AS token2,
     CASE p_partkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'once' WHEN 2 THEN '' END AS recurrences,
     CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS tags
-  FROM part WHERE p_partkey < 200),
+  FROM part),
 users AS (
   SELECT c_custkey AS address,
     CASE WHEN c_custkey % 53 <> 0 THEN TIMESTAMP '2023-06-01 00:00:00' + CAST(c_custkey % 300 AS INT) * INTERVAL '1' DAY END AS created_at,

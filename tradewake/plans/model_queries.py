@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradewake.operators import aggregates, evaluate, models, sampling
+from tradewake.functions import scalars
+from tradewake.operators import aggregates, evaluate, models, relations, sampling
 from tradewake.plans.aggregate_queries import PROFILE_CTE, labelled_trades
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs
@@ -24,7 +25,18 @@ KEYS = ("trade_id", "address", "condition_id")
 def training_rows(inputs: Inputs):
     """Model inputs, written once so that every pass of a training job re-reads them."""
     rows = models.model_inputs(features(inputs), MODEL_COLUMNS, KEYS)
-    return cut_lineage(sampling.train_test_flag(rows, trade_hash()))
+    return cut_lineage(sampling.train_test_flag(rows, draw("split")))
+
+
+def draw(purpose: str):
+    """A hash of the trade of its own for each purpose, so that split, samples and holdout don't depend on one another."""
+    return F.pmod(F.xxhash64(F.lit(purpose), F.col("trade_id")), F.lit(1_000_000))
+
+
+def fit_segment(train, columns):
+    """Boosted trees with the settings of the segments; a tenth of the rows decides when to stop."""
+    rows = models.fitting_rows(train.withColumn("holdout", draw("holdout") % 10 == 0), "trade_id")
+    return models.fit_boosted(rows, columns, holdout="holdout", **models.BOOSTED_SEGMENT)
 
 
 def _split(rows):
@@ -70,25 +82,22 @@ def model_logreg(inputs: Inputs):
 
 @query("model_rf")
 def model_rf(inputs: Inputs):
-    rows = sampling.sample_n(training_rows(inputs), models.FOREST_SAMPLE, trade_hash(), "trade_id")
-    train, test = _split(cut_lineage(models.spread(rows, "trade_id")))
-    return _measured(models.fit_forest(train, MODEL_COLUMNS, **models.FOREST), test)
+    train, test = _split(training_rows(inputs))
+    fitted = models.fit_forest(models.fitting_rows(train, "trade_id", models.FOREST_SAMPLE), MODEL_COLUMNS, **models.FOREST)
+    return _measured(fitted, test)
 
 
 @query("model_gbt")
 def model_gbt(inputs: Inputs):
-    rows = sampling.sample_per_group(training_rows(inputs), "condition_id", 20, trade_hash(), "trade_id")
-    train, test = _split(cut_lineage(models.spread(rows, "trade_id")))
-    # Boosting is sequential: the full 300 rounds take minutes even on few rows.
-    settings = {**models.BOOSTED, "rounds": 30}
-    return _measured(models.fit_boosted(train, MODEL_COLUMNS, **settings), test)
+    train, test = _split(training_rows(inputs))
+    rows = sampling.sample_per_group(train, "condition_id", 20, draw("market sample"), "trade_id")
+    return _measured(models.fit_boosted(models.fitting_rows(rows, "trade_id"), MODEL_COLUMNS, **models.BOOSTED), test)
 
 
 @query("model_gbt_segment")
 def model_gbt_segment(inputs: Inputs):
-    rows = training_rows(inputs).withColumn("holdout", F.pmod(trade_hash(), F.lit(10)) == 2)
-    train, test = _split(rows)
-    return _measured(models.fit_boosted(train, MODEL_COLUMNS, holdout="holdout", **models.BOOSTED_SEGMENT), test)
+    train, test = _split(training_rows(inputs))
+    return _measured(fit_segment(train, MODEL_COLUMNS), test)
 
 
 @query("model_mlp")
@@ -100,13 +109,13 @@ def model_mlp(inputs: Inputs):
 @query("cv_scores")
 def cv_scores(inputs: Inputs):
     folded = cut_lineage(sampling.stratified_folds(training_rows(inputs), models.LABEL, trade_hash(), "trade_id"))
-    return rounded(models.fold_scores(models.out_of_fold(folded, MODEL_COLUMNS, models.fit_logistic)), "accuracy")
+    return rounded(models.fold_scores(models.out_of_fold(folded, MODEL_COLUMNS, fit_segment)), "accuracy")
 
 
 @query("feature_importance")
 def feature_importance(inputs: Inputs):
     train, _ = _split(training_rows(inputs))
-    model = models.fit_boosted(train, MODEL_COLUMNS, rounds=10, rate=0.05, depth=5, row_share=0.7, bins=128)
+    model = fit_segment(train, MODEL_COLUMNS)
     return _table(inputs, models.importances(model), "feature string, gain double, splits long")
 
 
@@ -117,15 +126,22 @@ def score_by_segment(inputs: Inputs):
     fitted = {}
     for category in (-1, 0, 1, 2):
         own = train.where(F.col("category") == category)
-        previous = models.fit_logistic(own, ("price",)) if category == -1 else None
-        fitted[category] = models.SegmentModels(models.fit_logistic(own, MODEL_COLUMNS), previous)
+        previous = fit_segment(own, ("price",)) if category == -1 else None
+        fitted[category] = models.SegmentModels(fit_segment(own, MODEL_COLUMNS), previous)
     scored = models.score_by_segment(test, fitted)
     return scored.select("trade_id", "category", "probability_new", "prediction", "probability_old", "predictionold")
 
 
 @query("backtest")
 def backtest(inputs: Inputs):
-    train, test = _split(training_rows(inputs))
-    model = models.fit_logistic(train, MODEL_COLUMNS)
-    _, buckets = models.backtest(model.score(test))
-    return rounded(buckets, "win_rate", "total_return", "avg_return")
+    """Portfolio line (bucket null) and price buckets, over markets that no model has seen."""
+    unseen = F.pmod(F.xxhash64(F.lit("market"), F.col("condition_id")), F.lit(5)) == 0
+    rows = training_rows(inputs).withColumn("is_test", unseen)
+    train, test = _split(rows)
+    scored = cut_lineage(fit_segment(train, MODEL_COLUMNS).score(test))
+    parts = []
+    for least in (None, models.CONFIDENT):
+        summary, buckets = models.backtest(scored, least)
+        line = summary.select(F.lit(None).cast("string").alias("price_bucket"), F.col("trades").alias("n"), "win_rate", "total_return", scalars.ratio(F.col("total_return"), F.col("trades")).alias("avg_return"))
+        parts += [p.withColumn("more_than", F.lit(least).cast("double")) for p in (line, buckets.select(F.col("price_bucket").cast("string"), "n", "win_rate", "total_return", "avg_return"))]
+    return rounded(relations.union_all(*parts), "win_rate", "total_return", "avg_return")

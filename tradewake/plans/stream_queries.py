@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradewake.operators import aggregates, models
+from tradewake.operators import aggregates
 from tradewake.plans.aggregate_queries import labelled_trades
 from tradewake.plans.catalog import query
 from tradewake.plans.inputs import Inputs, trades_view
-from tradewake.plans.model_queries import training_rows
+from tradewake.plans.model_queries import fit_segment, training_rows
 from tradewake.session import cut_lineage, scratch_path
 from tradewake.streaming import jobs
 
@@ -25,7 +25,7 @@ def event_stream(inputs: Inputs):
 def stream_ingest_dedupe(inputs: Inputs):
     """The file arrives twice, so every trade has a copy to drop."""
     twice = event_stream(inputs).union(event_stream(inputs))
-    trades = trades_view(twice).select("trade_id", "address", "condition_id", "timestamp", "price", "usd_amount")
+    trades = trades_view(twice, inputs.n_markets).select("trade_id", "address", "condition_id", "timestamp", "price", "usd_amount")
     timed = trades.withColumn("event_time", F.timestamp_seconds("timestamp"))
     sink = scratch_path(inputs.spark, "ingested")
     jobs.ingest_trades(timed, sink, scratch_path(inputs.spark, "ingest-state"), ["trade_id"])
@@ -37,12 +37,12 @@ def live_sources(inputs: Inputs):
     past = labelled_trades(inputs).where("condition_id % 10 <> 0")
     profiles = cut_lineage(aggregates.trader_profile(past, approximate=False).select("address", "win_rate"))
     last = cut_lineage(past.groupBy("address").agg(F.max("timestamp").alias("last_trade")))
-    return trades_view(event_stream(inputs)).where("condition_id % 10 = 0"), profiles, last
+    return trades_view(event_stream(inputs), inputs.n_markets).where("condition_id % 10 = 0"), profiles, last
 
 
 @query("stream_score")
 def stream_score(inputs: Inputs):
-    model = models.fit_logistic(training_rows(inputs), jobs.LIVE_COLUMNS)
+    model = fit_segment(training_rows(inputs), jobs.LIVE_COLUMNS)
     sink = scratch_path(inputs.spark, "scored")
     jobs.score_trades(*live_sources(inputs), inputs.markets, model, sink, scratch_path(inputs.spark, "score-state"))
     stored = inputs.spark.read.parquet(sink)
