@@ -95,7 +95,11 @@ def _numeric(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 def _large_groups(df: DataFrame, by: Sequence[str], axes: Sequence[str], policy: SplitPolicy):
     """Largest groups above the target: one aggregate, then a bounded top-n."""
-    ranges = [f(F.col(a).cast("double")).alias(f"_{f.__name__}_{i}") for i, a in enumerate(axes) for f in (F.min, F.max)]
+    def finite(axis: str) -> Column:
+        value = F.col(axis).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+    ranges = [f(finite(a)).alias(f"_{f.__name__}_{i}") for i, a in enumerate(axes) for f in (F.min, F.max)]
     return (
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_n"), *ranges)
@@ -156,7 +160,14 @@ def _apply_cuts(df: DataFrame, keys: Sequence[str], axes: Sequence[str], cuts: S
             range(1, len(axes)),
             F.col(axes[0]).cast("double"),
         )
-        part = F.least(F.floor((position - F.col("_low")) / F.col("_width")), F.col("_parts") - 1)
+        # Nulls sort first, as in a window; infinities and NaN fall outside the range of finite values.
+        inside = F.least(F.greatest(F.floor((position - F.col("_low")) / F.col("_width")), F.lit(0)), F.col("_parts") - 1)
+        part = (
+            F.when(F.col("_axis").isNull(), 0)
+            .when(position.isNull() | (position == float("-inf")), 0)
+            .when(F.isnan(position) | (position == float("inf")), F.col("_parts") - 1)
+            .otherwise(inside)
+        )
         out = (
             out.join(F.broadcast(renamed), match, "left")
             .withColumn(CHUNK, F.col(CHUNK) * fan_out + F.coalesce(part, F.lit(0)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,25 +45,40 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, taken from ``spark.checkpoint.dir``.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder below the warehouse.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a missing setting is an error, because a machine-local folder would
-    lose data with its machine.
+    Both lie on the file system the session shares with its executors.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tradewake-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+# Lists of the stages written inside the scopes that are open.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the stages that were written inside, once the consumer is done with them.
+
+    Results must be computed within the scope.
+    """
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        for path in written:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -75,5 +91,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they need, and see the true size of the table when choosing a join.
     """
     path = scratch_path(df.sparkSession, "stage")
+    for written in _SCOPES:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
