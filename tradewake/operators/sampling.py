@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewake.operators import prefix
 from tradewake.operators.prefix import DEFAULT_POLICY, SplitPolicy
@@ -43,9 +44,32 @@ def sample_n(df: DataFrame, n: int, bucket: Column, *tie_break: str) -> DataFram
         if taken >= n:
             break
     kept = hashed if last is None else hashed.where(F.col("_hash") <= last)
+    if last is not None and len(tie_break) == 1 and isinstance(df.schema[tie_break[0]].dataType, T.IntegralType):
+        kept = _within_last(kept, last, n - (taken - count), tie_break[0])
     return kept.orderBy("_hash", *tie_break).limit(n).drop("_hash")
 
 
+# Ranges of the tie-breaking column that the last hash value is cut into.
+TIE_RANGES = 4096
+
+
+def _within_last(kept: DataFrame, last: int, wanted: int, tie: str) -> DataFrame:
+    """Drops rows of the last hash value beyond those that can be in the sample, by ranges of the tie-breaking column."""
+    edge = kept.where(F.col("_hash") == last)
+    low, high = edge.agg(F.min(tie).alias("low"), F.max(tie).alias("high")).first()
+    if low is None or low == high:
+        return kept
+    width = (high - low) // TIE_RANGES + 1
+    place = F.floor((F.col(tie) - low) / width)
+    seen, limit = 0, None
+    # At most TIE_RANGES rows.
+    for row in sorted(edge.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["place"] is not None, r["place"])):
+        seen, limit = seen + row["n"], row["place"]
+        if seen >= wanted:
+            break
+    return kept.where((F.col("_hash") < last) | F.col(tie).isNull() | (place <= F.lit(limit)))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """First n rows per key; each task keeps n rows of a key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

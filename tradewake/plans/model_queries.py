@@ -19,6 +19,8 @@ MODEL_COLUMNS = (
     "highest_price_yet", "lowest_price_yet", "avg_price_prior", "time_since_last_trade", "role", "usd_amount", "token_amount",
     "price", "direction",
 )
+# The newer models do without the role.
+NEWER_COLUMNS = tuple(c for c in MODEL_COLUMNS if c != "role")
 KEYS = ("trade_id", "address", "condition_id")
 
 

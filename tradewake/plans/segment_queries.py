@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tradewake.operators import aggregates, models, neighbors, segments
+from pyspark.sql import functions as F
+
+from tradewake.functions import labels
+from tradewake.operators import aggregates, evaluate, models, neighbors, segments
 from tradewake.operators.aggregates import PROFILE_COLUMNS
 from tradewake.plans.aggregate_queries import PROFILE_CTE, labelled_trades
 from tradewake.plans.catalog import query, r, rounded
-from tradewake.plans.inputs import Inputs
+from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
+from tradewake.plans.model_queries import NEWER_COLUMNS, fit_segment, training_rows
 from tradewake.session import cut_lineage
 
 # Sizes that suit the few hundred traders of the small inputs.
@@ -90,3 +94,37 @@ def assign_segments(inputs: Inputs):
     model = segments.SegmentModel.fit(found.where("address % 5 <> 0"), PROFILE_COLUMNS, WIDTH, SAMPLES, TRADERS)
     assigned = model.assign(found.where("address % 5 = 0"))
     return rounded(assigned.select("address", "category", "strength"), "strength")
+
+
+# Training rows from which a segment gets models of its own; smaller ones use those of the traders without a segment.
+LEAST_ROWS = 100
+
+
+def with_category(rows, categories):
+    """Rows with the segment of their trader; traders without a profile belong to none."""
+    return rows.join(categories, "address", "left").withColumn("category", F.coalesce("category", F.lit(-1)))
+
+
+@query("score_live_segments")
+def score_live_segments(inputs: Inputs):
+    """Live scoring end to end: segments of past traders, a model per segment, hits of two model versions by outcome.
+
+    Every tenth market is live; profiles, segments and models come from the trades of the others.
+    """
+    past = labelled_trades(inputs).where("condition_id % 10 <> 0")
+    known = cut_lineage(aggregates.trader_profile(past, approximate=False))
+    categories = cut_lineage(segments.SegmentModel.fit(known, PROFILE_COLUMNS, WIDTH, SAMPLES, TRADERS).segment(known).select("address", "category"))
+    rows = cut_lineage(with_category(training_rows(inputs), categories))
+    train, live = rows.where("condition_id % 10 <> 0"), rows.where("condition_id % 10 = 0")
+    # One row per segment.
+    sizes = {r["category"]: r["n"] for r in train.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = {c for c, n in sizes.items() if n >= LEAST_ROWS and c != -1}
+    noise = train.where(~F.col("category").isin(*own)) if own else train
+    fitted = {c: models.SegmentModels(fit_segment(train.where(F.col("category") == c), NEWER_COLUMNS)) for c in own}
+    fitted[-1] = models.SegmentModels(fit_segment(noise, NEWER_COLUMNS), fit_segment(noise, ("price",)))
+    shown = live.withColumn("category", F.when(F.col("category").isin(*own), F.col("category")).otherwise(-1)) if own else live.withColumn("category", F.lit(-1))
+    scored = models.score_by_segment(shown, fitted)
+    index = labels.winning_index_by_threshold(F.col("outcome_prices"))
+    winners = with_outcome_names(inputs.markets).select("condition_id", F.try_element_at(labels.string_list(F.col("outcomes")), index + 1).alias("winner"))
+    bought = with_outcome(inputs.trades).select("trade_id", "outcome")
+    return evaluate.prediction_hits(scored.join(bought, "trade_id").join(winners, "condition_id", "left"))

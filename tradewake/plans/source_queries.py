@@ -79,16 +79,16 @@ def sink_parquet_roundtrip(inputs: Inputs):
 
 @query(
     "partition_by_category",
-    """SELECT t.trade_id, t.address, t.usd_amount, s.category FROM trades t JOIN segmented s ON t.address = s.address WHERE s.category < 1""",
+    """SELECT t.trade_id, t.address, t.usd_amount, s.category FROM trades t JOIN segmented s ON t.address = s.address""",
     PROFILE_CTE,
 )
 def partition_by_category(inputs: Inputs):
-    """One pass writes a folder per category; reading two of them back prunes the others."""
+    """One pass writes a folder per category; all are read back."""
     path = scratch_path(inputs.spark, "by-category")
     categories = cut_lineage(segmented_profile(inputs).select("address", "category"))
     split = inputs.trades.select("trade_id", "address", "usd_amount").join(categories, "address", "inner")
     tables.write_table(split, path, partition_by=["category"])
-    return tables.read_table(inputs.spark, path).where("category < 1")
+    return tables.read_table(inputs.spark, path)
 
 
 @query(
@@ -129,8 +129,31 @@ def ingest_gates(inputs: Inputs):
     profiles = inputs.users.select(
         "address", F.col("created_at").cast("string").alias("createdAt"), F.when(F.col("address") % 11 == 0, "deleted").alias("error")
     )
-    accepted = ingest.accepted_users(profiles).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return traded.withColumn("accepted_users", F.lit(accepted).cast("long"))
+    accepted = ingest.accepted_users(profiles).agg(F.count(F.lit(1)).alias("n"))
+    return traded.withColumn("accepted_users", accepted.scalar())
+
+
+@query("ingest_users", "SELECT address FROM users WHERE created_at IS NOT NULL AND address % 11 <> 0")
+def ingest_users(inputs: Inputs):
+    """Profiles that pass the gate, as they would be stored."""
+    profiles = inputs.users.select(
+        "address", F.col("created_at").cast("string").alias("createdAt"), F.when(F.col("address") % 11 == 0, "deleted").alias("error")
+    )
+    return ingest.accepted_users(profiles).select("address")
+
+
+@query(
+    "append_new",
+    """SELECT CAST(trade_id AS VARCHAR) AS trans_hash, trade_id, price FROM trades WHERE trade_id % 3 <> 0
+      UNION ALL SELECT CAST(trade_id AS VARCHAR), trade_id, price + 1 FROM trades WHERE trade_id % 3 = 0""",
+)
+def append_new(inputs: Inputs):
+    """A stored third of the trades meets all of them again; only new keys are appended."""
+    path = scratch_path(inputs.spark, "keyed")
+    incoming = inputs.trades.select(F.col("trade_id").cast("string").alias("trans_hash"), "trade_id", "price")
+    tables.write_table(incoming.where("trade_id % 3 = 0").withColumn("price", F.col("price") + 1), path)
+    ingest.append_new(inputs.spark, path, incoming, ingest.TRADE_KEY, ["trade_id"])
+    return tables.read_table(inputs.spark, path)
 
 
 @query(
