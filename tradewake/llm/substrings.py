@@ -43,7 +43,8 @@ GROUP = 5
 LONGEST = WINDOW - GROUP + 1
 # Different segments of one anchor from which windows are counted instead.
 CROWD = 1000
-MEMORY = 500_000
+# Words that are hashed together.
+BLOCK_WORDS = 1 << 16
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -61,31 +62,27 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """Hashes of words, remembered."""
+    """Hashes of words and of runs of words."""
 
     def __init__(self):
-        from xxhash import xxh3_64_intdigest
-
-        self.hash = xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
         self.up = self.down = np.ones(1, np.uint64)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > MEMORY:
-                known.clear()
-            for i, value in enumerate(found):
-                if value is None:
-                    found[i] = known[words[i]] = self.hash(words[i])
-        return np.array(found, dtype=np.uint64)
+        """A hash per word, from the bytes of many words at once."""
+        parts = [np.zeros(0, np.uint64)]
+        for at in range(0, len(words), BLOCK_WORDS):
+            # Words hold no blanks, so each ends at one.
+            letters = np.frombuffer(b" ".join(words[at : at + BLOCK_WORDS]), np.uint8)
+            ends = np.append(np.flatnonzero(letters == 32), len(letters))
+            starts = np.append(0, ends[:-1] + 1)
+            parts.append(self.spans(letters.astype(np.uint64) + np.uint64(1), starts, ends))
+        return np.concatenate(parts)
 
     def spans(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of hashes[start:end] for each pair."""
         n = len(hashes)
         if len(self.up) <= n:
-            self.up, self.down = powers(MULTIPLIER, 2 * n), powers(INVERSE, 2 * n)
+            self.up, self.down = powers(MULTIPLIER, n + n // 4), powers(INVERSE, n + n // 4)
         before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.up[:n])))
         return mixed((before[ends] - before[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
