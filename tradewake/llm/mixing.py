@@ -24,7 +24,7 @@ from tradewake.session import cut_lineage
 
 MARGINS = ("source", "lang", "topic")
 # Exponent on the shares found; one keeps the mix, zero makes all classes of a margin equal.
-TEMPER = 0.85
+TEMPER = 0.95
 SWEEPS = 12
 NONE = "-"
 
@@ -74,9 +74,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     aims = {}
     for margin, shares in targets.items():
         met = shares.join(cells.select(margin).distinct(), margin, "left_semi")
-        total = met.agg(F.sum("share").alias("total"))
-        # One row with the sum.
-        aims[margin] = cut_lineage(met.join(F.broadcast(total)).select(margin, (F.col("share") / F.col("total")).alias("aim")))
+        total = met.agg(F.sum("share")).first()[0]
+        aims[margin] = cut_lineage(met.select(margin, (F.col("share") / F.lit(float(total or 1.0))).alias("aim")))
     for margin, aim in aims.items():
         state = state.join(aim.withColumnRenamed("aim", f"aim_{margin}"), margin)
     state = cut_lineage(state)
