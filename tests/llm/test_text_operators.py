@@ -183,6 +183,44 @@ def test_repeats_match_a_plain_version(spark, monkeypatch, crowd):
     assert got == plain_substrings(rows)
 
 
+def plain_rows_sharing_ids(rows, window=20):
+    """As plain_substrings, with rows of one doc_id (or none) no earlier than one another."""
+    split = [(-(2**63) if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    least = {}
+    for i, words in split:
+        for s in range(len(words) - window + 1):
+            key = tuple(words[s : s + window])
+            least[key] = min(i, least.get(key, i))
+    out = []
+    for (doc_id, _), (i, words) in zip(rows, split):
+        gone, own = [False] * len(words), set()
+        for s in range(len(words) - window + 1):
+            key = tuple(words[s : s + window])
+            if least[key] < i or key in own:
+                gone[s : s + window] = [True] * window
+            own.add(key)
+        kept = [w for w, g in zip(words, gone) if not g]
+        out.append((str(doc_id), len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowd", [1000, 3])
+def test_long_rows_that_share_an_id(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(80)]
+
+    def around(edit, shift):
+        words = list(passage)
+        words[edit] = "edit"
+        return " ".join([f"u{rng.randrange(10**9)}" for _ in range(shift)] + words + [f"u{rng.randrange(10**9)}" for _ in range(30)])
+
+    twice = " ".join([*passage, "between", *passage])
+    rows = [(None, around(40, 7)), (None, around(55, 90)), (None, twice), (None, twice), (3, around(30, 5)), (3, around(60, 50)), (3, twice + " x"), (4, " ".join(passage)), (None, None)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_rows_sharing_ids(rows)
+
+
 def test_automaton_finds_first_places():
     automaton = substrings.Automaton()
     automaton.add_sequence(list("abcabx"), list(range(6)))

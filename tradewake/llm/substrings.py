@@ -18,8 +18,10 @@ with map-side combining, which gives the same answer without gathering them.
 Hashes are 64 bits for anchors and 128 for segments and windows. Text is shuffled once, and again only for
 documents with segments for the automata.
 
+Rows are told apart by doc_id and a hash of the text, and ordered by doc_id alone.
+
 Defined cases: a null text has no words; white space is ASCII white space; rows that share a doc_id are no earlier than
-one another; null doc_ids sort before all others; texts shorter than a window are kept whole; no
+one another, whether their texts differ or not; null doc_ids are one doc_id, which sorts before all others; texts shorter than a window are kept whole; no
 documents, no rows; other columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -196,20 +199,31 @@ class Automaton:
         return self.first[state]
 
 
-def repeated_in_shard(segments: list[tuple[int, int, list]]) -> list[tuple[int, int]]:
-    """(doc_id, start) of windows that start earlier too, among segments (doc_id, start, words) in corpus order."""
+def repeated_in_shard(segments: list[tuple[int, int, int, list]]) -> list[tuple[int, int, int]]:
+    """(doc_id, row, start) of windows that start earlier too, among segments (doc_id, row, start, words) in corpus order."""
     automaton, found = Automaton(), []
-    for doc_id, start, words in segments:
-        automaton.add_sequence(words, [(doc_id, start + i) for i in range(len(words))])
-        for i, (long, state) in enumerate(automaton.matches(words)):
-            # It matches itself; what matters is where the last words of the match ended first.
-            if long >= WINDOW and automaton.first_place(state, WINDOW) < (doc_id, start + i):
-                found.append((doc_id, start + i - WINDOW + 1))
+    for doc_id, group in groupby(segments, key=lambda s: s[0]):
+        rows = [list(r) for _, r in groupby(group, key=lambda s: s[1])]
+        for parts in rows:
+            # Rows of one doc_id don't see each other: each has its own places, beside those of smaller ids.
+            own = automaton if len(rows) == 1 else Automaton()
+            for _, row, start, words in parts:
+                earlier = [long >= WINDOW for long, _ in automaton.matches(words)] if len(rows) > 1 else [False] * len(words)
+                own.add_sequence(words, [(doc_id, start + i) for i in range(len(words))])
+                for i, (long, state) in enumerate(own.matches(words)):
+                    # It matches itself; what matters is where the last words of the match ended first.
+                    if earlier[i] or (long >= WINDOW and own.first_place(state, WINDOW) < (doc_id, start + i)):
+                        found.append((doc_id, row, start + i - WINDOW + 1))
+        if len(rows) > 1:
+            for _, _, start, words in (s for parts in rows for s in parts):
+                automaton.add_sequence(words, [(doc_id, start + i) for i in range(len(words))])
     return found
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(row_key(F.col("doc_id")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    """(doc_id, row, text): ids and a hash of the text tell rows apart."""
+    rows = docs.select(row_key(F.col("doc_id")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -217,25 +231,25 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, start, inner): first use of every segment in each document."""
+    """(anchor, content, doc_id, row, start, inner): first use of every segment in each document."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
             parts = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
                 s = Segments(words, text.split())
                 keep = ~s.again
-                parts.append((signed(s.anchor[keep]), signed(s.content[keep]), np.full(keep.sum(), doc_id), s.start[keep], s.inner[keep]))
+                parts.append((signed(s.anchor[keep]), signed(s.content[keep]), np.full(keep.sum(), doc_id), np.full(keep.sum(), row), s.start[keep], s.inner[keep]))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame(dict(zip(("anchor", "content", "doc_id", "start", "inner"), columns)))
+                yield pd.DataFrame(dict(zip(("anchor", "content", "doc_id", "row", "start", "inner"), columns)))
 
-    return rows.mapInPandas(scan, "anchor long, content long, doc_id long, start int, inner boolean")
+    return rows.mapInPandas(scan, "anchor long, content long, doc_id long, row long, start int, inner boolean")
 
 
 def shared_segments(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, anchor, whole): segments whose anchor occurs again; whole if all its windows start earlier, else they are to be looked at."""
+    """(doc_id, row, start, anchor, whole): segments whose anchor occurs again; whole if all its windows start earlier, else they are to be looked at."""
     uses = occurrences(rows)
     anchors = uses.groupBy("anchor").agg(
         F.count("*").alias("uses"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first"), F.max("inner").alias("any_inner")
@@ -243,12 +257,12 @@ def shared_segments(rows: DataFrame) -> DataFrame:
     anchors = cut_lineage(anchors.filter("uses > 1 OR any_inner").select("anchor", "first", (F.col("low") != F.col("high")).alias("various")))
     # Counted above in one pass and met again in a second: reading twice costs less than keeping every segment.
     met = cut_lineage(uses.join(anchors, "anchor"))
-    alike = met.filter("NOT various").select("doc_id", "start", "anchor", "inner", "first")
+    alike = met.filter("NOT various").select("doc_id", "row", "start", "anchor", "inner", "first")
     various = met.filter("various").drop("first")
     firsts = cut_lineage(various.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
-    differing = various.join(firsts, ["anchor", "content"]).withColumn("inner", F.lit(True)).select("doc_id", "start", "anchor", "inner", "first")
+    differing = various.join(firsts, ["anchor", "content"]).withColumn("inner", F.lit(True)).select("doc_id", "row", "start", "anchor", "inner", "first")
     every = alike.unionByName(differing).withColumn("whole", F.col("doc_id") > F.col("first"))
-    return every.filter("whole OR inner").select("doc_id", "start", "anchor", "whole")
+    return every.filter("whole OR inner").select("doc_id", "row", "start", "anchor", "whole")
 
 
 def finish(words: list[bytes], windows: np.ndarray) -> tuple[int, int, str]:
@@ -276,40 +290,41 @@ def marked(words: Words, text: list[bytes], whole: list[int]) -> tuple[Segments,
 
 def first_pass(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Documents that are settled (kind 0), those that aren't with their marks (1), and their open segments (2)."""
-    lists = shared.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("whole"), F.col("start"))).alias("whole"),
-        F.collect_list(F.when(~F.col("whole"), F.struct("start", "anchor"))).alias("open"),
+    # Copies of a row under one doc_id bring equal entries.
+    lists = shared.groupBy("doc_id", "row").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("start"))).alias("whole"),
+        F.collect_set(F.when(~F.col("whole"), F.struct("start", "anchor"))).alias("open"),
     )
-    both = rows.join(cut_lineage(lists), "doc_id", "left")
-    both = both.select("doc_id", "text", "whole", F.col("open.start").alias("open"), F.col("open.anchor").alias("anchors"))
+    both = rows.join(cut_lineage(lists), ["doc_id", "row"], "left")
+    both = both.select("doc_id", "row", "text", "whole", F.col("open.start").alias("open"), F.col("open.anchor").alias("anchors"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for batch in batches:
             out = []
-            for doc_id, text, whole, opened, anchors in zip(batch["doc_id"], batch["text"], batch["whole"], batch["open"], batch["anchors"]):
+            for doc_id, row, text, whole, opened, anchors in zip(batch["doc_id"], batch["row"], batch["text"], batch["whole"], batch["open"], batch["anchors"]):
                 words = text.split()
                 if whole is None and len(words) < WINDOW:
-                    out.append((0, doc_id, None, None, None, None, *finish(words, np.zeros(0, bool))))
+                    out.append((0, doc_id, row, None, None, None, None, *finish(words, np.zeros(0, bool))))
                     continue
                 segments, marks = marked(hashes, words, [] if whole is None else list(whole))
                 if opened is None or not len(opened):
-                    out.append((0, doc_id, None, None, None, None, *finish(words, marks)))
+                    out.append((0, doc_id, row, None, None, None, None, *finish(words, marks)))
                     continue
                 counts = dict(zip(segments.start.tolist(), segments.count.tolist()))
-                out.append((1, doc_id, b" ".join(words), None, None, np.packbits(marks).tobytes(), None, None, None))
+                out.append((1, doc_id, row, b" ".join(words), None, None, np.packbits(marks).tobytes(), None, None, None))
                 for start, anchor in zip(opened, anchors):
                     part = words[start : start + counts[int(start)] + WINDOW - 1]
-                    out.append((2, doc_id, b" ".join(part), start, anchor, None, None, None, None))
-            yield pd.DataFrame(out, columns=["kind", "doc_id", "text", "start", "anchor", "marks", "n_words", "n_removed", "kept_sha256"]).astype({c: "Int64" for c in ("start", "anchor", "n_words", "n_removed")})
+                    out.append((2, doc_id, row, b" ".join(part), start, anchor, None, None, None, None))
+            yield pd.DataFrame(out, columns=["kind", "doc_id", "row", "text", "start", "anchor", "marks", "n_words", "n_removed", "kept_sha256"]).astype({c: "Int64" for c in ("start", "anchor", "n_words", "n_removed")})
 
-    schema = "kind int, doc_id long, text binary, start long, anchor long, marks binary, n_words long, n_removed long, kept_sha256 string"
+    schema = "kind int, doc_id long, row long, text binary, start long, anchor long, marks binary, n_words long, n_removed long, kept_sha256 string"
     return cut_lineage(both.mapInPandas(scan, schema))
 
 
 def repeated_windows(open_segments: DataFrame) -> DataFrame:
-    """(doc_id, start) of the windows of open segments that start earlier too."""
-    parts = open_segments.select("anchor", "doc_id", "start", "text")
+    """(doc_id, row, start) of the windows of open segments that start earlier too."""
+    parts = open_segments.select("anchor", "doc_id", "row", "start", "text")
     sizes = cut_lineage(parts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD))
     calm = parts.join(sizes, "anchor", "left_anti")
     crowded = parts.join(sizes, "anchor", "left_semi")
@@ -319,38 +334,38 @@ def repeated_windows(open_segments: DataFrame) -> DataFrame:
         anchor, held = None, []
         for batch in batches:
             found = []
-            for key, doc_id, start, text in zip(batch["anchor"], batch["doc_id"], batch["start"], batch["text"]):
+            for key, doc_id, row, start, text in zip(batch["anchor"], batch["doc_id"], batch["row"], batch["start"], batch["text"]):
                 if key != anchor:
                     found += repeated_in_shard(held)
                     anchor, held = key, []
-                held.append((doc_id, start, text.split(b" ")))
-            yield pd.DataFrame(found, columns=["doc_id", "start"])
-        yield pd.DataFrame(repeated_in_shard(held), columns=["doc_id", "start"])
+                held.append((doc_id, row, start, text.split(b" ")))
+            yield pd.DataFrame(found, columns=["doc_id", "row", "start"])
+        yield pd.DataFrame(repeated_in_shard(held), columns=["doc_id", "row", "start"])
 
-    dealt = calm.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    by_automaton = dealt.mapInPandas(shards, "doc_id long, start long")
+    dealt = calm.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "start")
+    by_automaton = dealt.mapInPandas(shards, "doc_id long, row long, start long")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for batch in batches:
             out = []
-            for doc_id, start, text in zip(batch["doc_id"], batch["start"], batch["text"]):
+            for doc_id, row, start, text in zip(batch["doc_id"], batch["row"], batch["start"], batch["text"]):
                 words = text.split(b" ")
                 at = np.arange(len(words) - WINDOW + 1)
                 values = hashes.hashes(words)
                 first, second = hashes.spans(values, at, at + WINDOW), hashes.spans(mixed(values), at, at + WINDOW)
-                out.append((signed(first), signed(second), np.full(len(at), doc_id), start + at))
+                out.append((signed(first), signed(second), np.full(len(at), doc_id), np.full(len(at), row), start + at))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out)]
-                yield pd.DataFrame(dict(zip(("a", "b", "doc_id", "start"), columns)))
+                yield pd.DataFrame(dict(zip(("a", "b", "doc_id", "row", "start"), columns)))
 
-    each = crowded.mapInPandas(windows, "a long, b long, doc_id long, start long")
+    each = crowded.mapInPandas(windows, "a long, b long, doc_id long, row long, start long")
     # The first document of each window, then the first start there.
     firsts = cut_lineage(each.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     met = each.join(firsts, ["a", "b"])
-    again = met.filter("doc_id > first").select("doc_id", "start")
-    own = met.filter("doc_id = first").groupBy("a", "b", "doc_id").agg(F.min("start").alias("low"), F.collect_set("start").alias("starts"))
-    own = own.filter(F.size("starts") > 1).select("doc_id", F.explode("starts").alias("start"), "low").filter("start > low").drop("low")
+    again = met.filter("doc_id > first").select("doc_id", "row", "start")
+    own = met.filter("doc_id = first").groupBy("a", "b", "doc_id", "row").agg(F.min("start").alias("low"), F.collect_set("start").alias("starts"))
+    own = own.filter(F.size("starts") > 1).select("doc_id", "row", F.explode("starts").alias("start"), "low").filter("start > low").drop("low")
     return by_automaton.unionByName(again).unionByName(own)
 
 
@@ -360,8 +375,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows_of(docs)
     stage = first_pass(rows, shared_segments(rows))
     settled = stage.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    more = repeated_windows(stage.filter("kind = 2")).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    unsettled = stage.filter("kind = 1").select("doc_id", "text", "marks").join(cut_lineage(more), "doc_id", "left")
+    more = repeated_windows(stage.filter("kind = 2")).groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
+    unsettled = stage.filter("kind = 1").select("doc_id", "row", "text", "marks").join(cut_lineage(more), ["doc_id", "row"], "left")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
