@@ -144,6 +144,19 @@ def test_groups_match_all_pairs(spark, bucket):
     assert sorted(got.values()) == sorted(expected.values())
 
 
+def test_groups_keep_a_row_whatever_their_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    # Four groups without ids; id 7 stands for two texts, one of them a copy of document 1.
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3])]
+    rows += [(1, texts[4]), (7, texts[4]), (7, texts[5]), (7, texts[6]), (8, texts[6]), (8, texts[7]), (None, texts[7]), (9, texts[8]), (9, texts[8])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("x"))
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[4]), (7, texts[5]), (7, texts[6]), (8, texts[7]), (9, texts[8])]
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted((i or 0, t) for i, t in want)
+
+
 def plain_substrings(rows, window=20):
     seen, out = set(), {}
     for doc_id, text in sorted(rows):

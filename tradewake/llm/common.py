@@ -36,20 +36,6 @@ def row_key(column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(-(2**63)))
 
 
-def keep_rows(docs: DataFrame, chosen: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among those of ``chosen``, all columns as they were.
-
-    With ``once``, of rows that share a doc_id only the first by content stays. That uses the
-    partitioning of the join.
-    """
-    packed = docs.select(row_key(F.col("doc_id")).alias("_key"), F.struct("*").alias("_row"))
-    kept = packed.join(chosen.select(row_key(F.col("doc_id")).alias("_key")).distinct(), "_key", "left_semi")
-    if once:
-        first = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
-        kept = kept.withColumn("_place", F.row_number().over(first)).filter("_place = 1")
-    return kept.select("_row.*")
-
-
 def sample_per_class(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     """The n rows of each class with the smallest hash of the key (all rows of a smaller class).
 

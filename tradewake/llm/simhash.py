@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import keep_rows, small_batches, table, texts
+from tradewake.llm.common import small_batches, table, texts
 from tradewake.llm.components import components
 from tradewake.session import cut_lineage
 
@@ -105,16 +105,21 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return near.unionByName(met).distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, component_id) for every document."""
-    marked = cut_lineage(fingerprints(docs))
+def classes(marked: DataFrame) -> DataFrame:
+    """(print, first, root): the smallest doc_id and the group of each distinct fingerprint."""
     distinct = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct))
     named = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    named = cut_lineage(named)
+    return cut_lineage(named)
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, print, component_id) for every document."""
+    marked = cut_lineage(fingerprints(docs))
+    named = classes(marked)
     names = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = cut_lineage(named.join(names, "root").select("print", "component_id"))
-    return marked.join(classes, "print")
+    named = cut_lineage(named.join(names, "root").select("print", "component_id"))
+    return marked.join(named, "print")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -123,8 +128,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group stays, with all its columns: a row of its smallest doc_id, if several the first by content."""
-    return keep_rows(docs, groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), once=True)
+    """One row of each group stays, with all its columns: a row of its smallest doc_id (null last), if several the first by content.
+
+    Rows are told apart by the place they are written to, as ids may be null or shared.
+    """
+
+    @F.pandas_udf("long")
+    def printed(batch: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in batch], dtype="<u8").view("<i8"))
+
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("place"))
+    rows = cut_lineage(packed.select("doc_id", printed("text").alias("print"), F.xxhash64("_row").alias("content"), "place", "_row"))
+    roots = classes(rows.select("doc_id", "print")).select("print", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "place")
+    firsts = rows.groupBy("print").agg(F.min(order).alias("first"))
+    chosen = firsts.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    return rows.join(cut_lineage(chosen), "place", "left_semi").select("_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
