@@ -51,6 +51,19 @@ def test_style_tree_drops_what_pages_share(spark):
     assert htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_copied_pages_are_no_menus(spark):
+    """Copies under other titles keep their text, inside an article and outside, on one host and over many."""
+    same = "".join(f"<p>paragraph {i} of a text</p>" for i in range(4))
+    said = "\n".join(f"paragraph {i} of a text" for i in range(4))
+    rows = [(i, f"http://a.example/{i}", f"<article><h1>title {i}</h1><p>by author {i % 2}</p>{same}</article>") for i in range(400)]
+    rows += [(1000 + i, f"http://b.example/{i}", f"<div class=post><h1>title {i}</h1>{same}</div>") for i in range(400)]
+    rows += [(2000 + i, f"http://c{i}.example/", f"<div class=post><h1>title {i}</h1>{same}</div>") for i in range(100)]
+    rows += [(3000 + i, f"http://d.example/{i}", f"<div class=x>same bar</div><div class=y><p>text {i}</p></div>") for i in range(100)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == f"title 7\nby author 1\n{said}"
+    assert got[1007] == got[2007] == f"title 7\n{said}" and got[3007] == "text 7"
+
+
 def plain_nearest(rows, query, k=20):
     width = max(len(v) for _, v in rows)
     padded = {i: np.pad(np.array(v, dtype=np.float32).astype(float), (0, width - len(v))) for i, v in rows}

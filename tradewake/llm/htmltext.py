@@ -8,13 +8,14 @@ node two counts tell how much the pages differ there, as entropies over the page
 * presentation: of the sequences of child tags, how evenly pages choose among them. A fixed
   layout carries nothing; free writing carries much.
 
-A node with text has the importance of its content, one without text that of its presentation and of the nodes
-beneath. Branches below ``LEAST_IMPORTANCE`` go. Hosts with few pages lean on the tree of all
+Pages of a host whose allowed text is the same but for headings count once, so copies don't pass for menus. A node with text has
+the importance of its content, one without text that of its presentation and of the nodes
+beneath. Branches below ``LEAST_IMPORTANCE`` go, except inside an article or main element. Hosts with few pages lean on the tree of all
 hosts, by weight of pages. Elements that by their tag or class name are not main text (scripts, forms, menus,
 adverts, comments and the like) go in any case.
 
-The tree is built by counting, with map-side combining; pages then meet the tree of their host in a join that can be split
-at run time. So a host with a third of all pages is spread over tasks. A host's tree has one row per path.
+The tree is built by counting, with map-side combining; pages then meet the unimportant paths of their host in a join that can be split
+at run time. So a host with a third of all pages is spread over tasks. A host's tree has one row per path and is never gathered.
 
 Defined cases: null, empty and tagless html is text as it stands, without markup; unclosed and stray tags are tolerated; a page whose every branch
 would go keeps what the fixed rules leave; null urls are one host; equal rows give equal rows; no pages,
@@ -26,8 +27,9 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,7 @@ NOT_TEXT_WORDS = frozenset(
 )
 # Within an article its own heading lines are text.
 HEADED = frozenset({"article", "main"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Comments, declarations and tags; what is left open reaches to the end, so a page is read once.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
@@ -93,8 +96,8 @@ def opened(parent: Node, tag: str, attributes: str) -> Node:
     return Node(tag, f"{parent.path}/{tag}{'.' + names if names else ''}", parent.depth + 1, banned, headed)
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[str]]]:
-    """Text blocks of a page as (path, text, banned) in page order, and the child tags of each path.
+def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
+    """Text blocks of a page as (node, text) in page order, and the child tags of each path.
 
     One pass over the tags; text is gathered until a block begins or ends.
     """
@@ -108,7 +111,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[str]]
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text:
-                found.append((owner.path, text, owner.banned))
+                found.append((owner, text))
             pending = []
 
     def close(tags: tuple[str, ...], fences: frozenset[str]) -> None:
@@ -190,29 +193,49 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): pages that have a path (kind 0), a text block there (1), a child sequence there (2).
-
-    Every page also counts for the host "*", the tree of all hosts.
-    """
+def page_styles(pages: DataFrame) -> DataFrame:
+    """(host, body, style, place), written out: hash of the allowed text without headings, and packed (path, kind, feature) of every page."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: Counter = Counter()
-            for site, page in zip(batch["host"], batch["html"]):
+            bodies, styles = [], []
+            for page in batch["html"]:
                 found, children = blocks(page)
-                seen = {(path, 0, 0) for path, _, _ in found} | {(path, 0, 0) for path in children}
-                seen |= {(path, 1, xxh64_intdigest(text) - 2**63) for path, text, _ in found}
+                seen = {(node.path, 0, 0) for node, _ in found} | {(path, 0, 0) for path in children}
+                seen |= {(node.path, 1, xxh64_intdigest(text) - 2**63) for node, text in found}
                 for path, tags in children.items():
                     # Repeats of a tag are one step, so that the number of paragraphs makes no new style.
                     style = " ".join(t for t, before in zip(tags, [""] + tags) if t != before)
                     seen.add((path, 2, xxh64_intdigest(style) - 2**63))
+                bodies.append(xxh64_intdigest("\n".join(text for node, text in found if not node.banned and node.tag not in HEADINGS)) - 2**63)
+                styles.append(zlib.compress(json.dumps(list(seen)).encode(), 1))
+            yield pd.DataFrame({"host": batch["host"], "body": bodies, "style": styles})
+
+    rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return cut_lineage(rows.mapInPandas(parse, "host string, body long, style binary").withColumn("place", F.monotonically_increasing_id()))
+
+
+def style_counts(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, feature, n): bodies that have a path (kind 0), a text block there (1), a child sequence there (2).
+
+    A body counts once per host, by the first page that has it, and once for the host "*", the tree of all hosts.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums: Counter = Counter()
+            for site, style, anew in zip(batch["host"], batch["style"], batch["anew"]):
+                seen = json.loads(zlib.decompress(style))
                 sums.update((site, *s) for s in seen)
-                sums.update(("*", *s) for s in seen)
+                if anew:
+                    sums.update(("*", *s) for s in seen)
             yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["host", "path", "kind", "feature", "n"])
 
-    rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counted = rows.mapInPandas(count, "host string, path string, kind int, feature long, n long")
+    styles = page_styles(pages)
+    firsts = cut_lineage(styles.groupBy("host", "body").agg(F.min("place").alias("place")))
+    everywhere = firsts.groupBy("body").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("anew"))
+    chosen = cut_lineage(firsts.select("place").join(everywhere, "place", "left").select("place", F.coalesce("anew", F.lit(False)).alias("anew")))
+    counted = styles.join(chosen, "place").select("host", "style", "anew").mapInPandas(count, "host string, path string, kind int, feature long, n long")
     return counted.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -233,34 +256,24 @@ def importances(pages: DataFrame) -> DataFrame:
     return sums.select("host", "path", "pages", content.alias("content"), layout.alias("layout"))
 
 
-def composite(tree: dict[str, tuple[float | None, float | None]]) -> dict[str, float]:
-    """Importance of every path: its content, else the best of its layout and of the paths beneath."""
-    best: dict[str, float] = {}
-    for path in sorted(tree, key=lambda p: -p.count("/")):
-        content, layout = tree[path]
-        own = content if content is not None else layout or 0.0
-        best[path] = max(best.get(path, 0.0), own)
-        parent = path.rpartition("/")[0]
-        while parent and parent not in tree:
-            parent = parent.rpartition("/")[0]
-        if parent or "" in tree:
-            best[parent] = max(best.get(parent, 0.0), best[path])
-    return best
+def unimportant(nodes: DataFrame) -> DataFrame:
+    """(host, path) of nodes with text that are below LEAST_IMPORTANCE, as is all beneath them.
 
+    A node without text has the importance of its layout, and none less than a node beneath it.
+    """
+    value = F.coalesce("content", "layout", F.lit(0.0))
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    above = nodes.filter(value >= LEAST_IMPORTANCE).select("host", F.explode(above).alias("path")).distinct()
+    low = nodes.filter((value < LEAST_IMPORTANCE) & F.col("own_text") & (F.col("path") != "")).select("host", "path")
+    return low.join(above, ["host", "path"], "left_anti")
 
-def main_text(page: str, importance: dict[str, float]) -> str:
-    """Text of the blocks outside of unimportant branches, one block per line."""
-    found, _ = blocks(page)
-    allowed = [(path, text) for path, text, banned in found if not banned]
-
-    def kept(path: str) -> bool:
-        while path:
-            if importance.get(path, 1.0) < LEAST_IMPORTANCE:
-                return False
-            path = path.rpartition("/")[0]
-        return True
 
-    chosen = [text for path, text in allowed if kept(path)]
+def main_text(page: str, dropped: Collection[str]) -> str:
+    """Text of the blocks outside of the dropped paths, one block per line. Articles stay whole."""
+    found, _ = blocks(page)
+    allowed = [(node, text) for node, text in found if not node.banned]
+    chosen = [text for node, text in allowed if node.headed or node.path not in dropped]
     return "\n".join(chosen or [text for _, text in allowed])
 
 
@@ -276,20 +289,22 @@ def extract(pages: DataFrame) -> DataFrame:
     def mixed(mine, all_):
         return F.when(mine.isNull(), all_).when(all_.isNull(), mine).otherwise(weight * mine + (1 - weight) * all_)
 
-    nodes = own.join(every, "path").select("host", "path", mixed(F.col("content"), F.col("c")).alias("content"), mixed(F.col("layout"), F.col("l")).alias("layout"))
-    trees = cut_lineage(nodes.groupBy("host").agg(F.collect_list(F.struct("path", "content", "layout")).alias("tree")))
+    nodes = own.join(every, "path", "left").select(
+        "host", "path", mixed(F.col("content"), F.col("c")).alias("content"), mixed(F.col("layout"), F.col("l")).alias("layout"), F.col("content").isNotNull().alias("own_text")
+    )
+    lists = cut_lineage(unimportant(cut_lineage(nodes)).groupBy("host").agg(F.collect_list("path").alias("dropped")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    joined = rows.withColumn("host", host(F.col("url"))).join(trees, "host", "left").select("page_id", "url", "host", "html", F.to_json("tree").alias("tree"))
+    joined = rows.withColumn("host", host(F.col("url"))).join(lists, "host", "left").select("page_id", "url", "host", "html", F.to_json("dropped").alias("dropped"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[str, float]] = {}
+        known: dict[str, frozenset[str]] = {}
         for batch in batches:
             texts = []
-            for site, page, tree in zip(batch["host"], batch["html"], batch["tree"]):
+            for site, page, dropped in zip(batch["host"], batch["html"], batch["dropped"]):
                 if site not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[site] = composite({n["path"]: (n.get("content"), n.get("layout")) for n in json.loads(tree or "[]")})
+                    known[site] = frozenset(json.loads(dropped or "[]"))
                 texts.append(main_text(page, known[site]))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
