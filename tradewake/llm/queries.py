@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewake.llm import htmltext, langid, mixing, neighbours, orderminhash, packing, pii, simhash, substrings, toxicity
+from tradewake.llm import bytepairs, htmltext, langid, mixing, neighbours, orderminhash, packing, pii, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_htmltext": htmltext.op8_htmltext,
     "op9_langid": langid.op9_langid,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_bytepairs": bytepairs.op11_bytepairs,
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
