@@ -29,10 +29,12 @@ from tradewake.llm.common import table, texts
 from tradewake.session import cut_lineage
 
 # Distinct words whose ids are kept in the plan, and the documents they are counted in.
-FREQUENT = 2**18
+FREQUENT = 2**17
 SAMPLE = 20_000
 # Lists that the words are dealt into; a lookup reads one of them.
-WORD_LISTS = 2**17
+WORD_LISTS = 2**16
+# Marks before a word and before its ids in a list; words that hold one of them aren't put there.
+WORD, IDS = "\x01", "\x02"
 
 # Letters and numbers of Unicode 14 to 16, which the regular expressions of Java 17 don't know as such.
 LATER_LETTERS = (
@@ -190,14 +192,17 @@ class Encoder:
         """Folds the commonest distinct words of a sample of the documents (columns doc_id, text) and keeps their ids."""
         rows = docs.count()
         some = docs if rows <= sample else docs.sample(sample / rows, seed=1)
+        word = F.col("word")
         # Longer words are rare, and would make the size of the table depend on the data.
-        counted = some.select(F.explode(self.words(F.col("text"))).alias("word")).filter(F.length("word") <= 64).groupBy("word").agg(F.count("*").alias("n"))
-        common = cut_lineage(counted.orderBy(F.desc("n"), "word").limit(frequent)).repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-        lists: list[dict[str, str]] = [{} for _ in range(WORD_LISTS)]
-        # At most ``frequent`` short rows.
-        for row in common.select(self._list(F.col("word")).alias("at"), "word", self.fold(F.col("word")).alias("ids")).collect():
-            lists[row["at"]][row["word"]] = row["ids"]
-        self.frequent = literal(lists, "array<map<string,string>>")
+        counted = some.select(F.explode(self.words(F.col("text"))).alias("word")).filter((F.length("word") <= 64) & ~word.contains(WORD) & ~word.contains(IDS))
+        common = counted.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
+        common = cut_lineage(common).repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
+        entries = common.select(self._list(word).alias("at"), F.concat(F.lit(WORD), word, F.lit(IDS), self.fold(word)).alias("entry"))
+        lists = [WORD] * WORD_LISTS
+        # At most ``frequent`` short words.
+        for at, text in entries.groupBy("at").agg(F.array_join(F.array_sort(F.collect_list("entry")), "").alias("entries")).collect():
+            lists[at] = text + WORD
+        self.frequent = literal(lists, "array<string>")
         return self
 
     def _list(self, word: Column) -> Column:
@@ -206,7 +211,9 @@ class Encoder:
     def word_ids(self, word: Column) -> Column:
         if self.frequent is None:
             return self.fold(word)
-        return F.coalesce(F.try_element_at(F.get(self.frequent, self._list(word)), word), self.fold(word))
+        behind = F.call_function("substring_index", F.get(self.frequent, self._list(word)), F.concat(F.lit(WORD), word, F.lit(IDS)), F.lit(-1))
+        # Without the word, what is left starts with a mark.
+        return let(F.substring_index(behind, WORD, 1), lambda found: F.when(found == "", self.fold(word)).otherwise(found))
 
     def ids_text(self, text: Column) -> Column:
         """Ids of a text in decimal, joined by spaces."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewake.llm import bytepairs, htmltext, langid, mixing, neighbours, orderminhash, packing, pii, simhash, substrings, toxicity
+from tradewake.llm import bytepairs, htmltext, langid, mixing, neighbours, orderminhash, packing, pii, search, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_bytepairs": bytepairs.op11_bytepairs,
+    "op12_search": search.op12_search,
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -69,7 +70,26 @@ def mixing_sql() -> str:
     WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-')), 1, 8))::BIGINT / 4294967296.0 < chance"""
 
 
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SEARCH = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), {TERMS}) AS ts FROM documents),
+sized AS (SELECT doc_id, ts, len(ts)::BIGINT AS n FROM docs WHERE len(ts) > 0),
+totals AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sized),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS uses FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), {TERMS})) AS term FROM benchmark) GROUP BY item_id, term),
+postings AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM sized)
+    WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scores AS (SELECT item_id, doc_id, sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {search.BEST}
+"""
+
 ORACLES = {
+    "op12_search": SEARCH,
     "op5_substrings": SUBSTRINGS,
     "op7_mixing": mixing_sql(),
 }
