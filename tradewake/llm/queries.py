@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewake.llm import bytepairs, htmltext, langid, mixing, neighbours, orderminhash, packing, pii, search, simhash, substrings, toxicity
+from tradewake.llm import bytepairs, htmltext, langid, mixing, neighbours, orderminhash, packing, pii, search, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_bytepairs": bytepairs.op11_bytepairs,
     "op12_search": search.op12_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
