@@ -44,7 +44,9 @@ START = "▁"
 SHARED = 0.01
 # Probability of a letter outside the vocabulary.
 RARE = 1e-8
-MEMORY = 700_000
+# Words whose scores a Python worker keeps, some 60 MB with four languages, and the words that are read at a time.
+MEMORY = 350_000
+AT_ONCE = 100_000
 # Below this certainty the pipeline drops a document.
 ACCEPT = 0.35
 
@@ -170,21 +172,24 @@ def train(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Lan
     pieces = vocabulary(path or vocabulary_path())
     model = {p: [1.0 / len(pieces)] * len(languages) for p in pieces}
     number = {lang: k for k, lang in enumerate(languages)}
+    ordered = words.sortWithinPartitions("lang")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known = shared.value
+            at, one = None, None
             for batch in batches:
                 sums: dict[tuple[str, str], float] = {}
                 for lang, group in batch.groupby("lang"):
-                    one = Forward({p: [v[number[lang]]] for p, v in known.items()}, 1)
+                    if lang != at:
+                        at, one = lang, Forward({p: [v[number[lang]]] for p, v in shared.value.items()}, 1)
                     for word, n in zip(group["word"], group["n"]):
                         for piece, uses in one.expected(word, 0):
                             sums[lang, piece] = sums.get((lang, piece), 0.0) + n * uses
                 yield pd.DataFrame([(a, b, n) for (a, b), n in sums.items()], columns=["lang", "piece", "n"])
 
-        counts = words.mapInPandas(expect, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        # In order of language, so that a task builds the model of each language once and holds one at a time.
+        counts = ordered.mapInPandas(expect, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         # At most one row per language and piece of the vocabulary, or single letter.
         model = normalised(counts.toPandas(), languages)
     total = sum(shares.values())
@@ -201,15 +206,16 @@ class WordScores:
         self.number = {piece: i + 2 for i, piece in enumerate(model.pieces)}
         width = len(self.languages)
         self.pieces = np.array([[0.0] * width, [RARE] * width, *model.pieces.values()]).reshape(-1, width)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, np.ndarray] = {}
         # Row 0 is for words without letters.
-        self.table = np.zeros((1024, len(self.languages) + 1))
+        self.table = np.zeros((MEMORY + 1, width + 1), dtype=np.float32)
         self.used = 1
 
+    def forget(self) -> None:
+        """Drops the later half of the words; the common ones are met early."""
+        self.used = 1 + self.used // 2 if self.known else 1
+        self.known = {w: i for w, i in self.known.items() if i < self.used and i}
+
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability per language of words of one length: the forward sums of all of them at once."""
         marked = [START + w for w in words]
@@ -223,24 +229,25 @@ class WordScores:
         return np.log(np.maximum(sums[n], 1e-300))
 
     def learn(self, words: set[bytes]) -> None:
-        """Remembers the scores of new words."""
-        split = {w: runs(w.decode("utf-8", "replace")) for w in words}
-        fresh: dict[int, list[str]] = {}
-        for run in {r for parts in split.values() for r in parts} - self.parts.keys():
-            fresh.setdefault(len(run), []).append(run)
-        for length, group in fresh.items():
-            for at in range(0, len(group), 4096):
-                some = group[at : at + 4096]
-                found = self.score(some)
-                self.parts.update(zip(some, np.column_stack([found, np.full(len(some), float(length))])))
-        needed = self.used + len(words)
-        if needed > len(self.table):
-            grown = np.zeros((max(2 * len(self.table), needed), self.table.shape[1]))
-            grown[: self.used] = self.table[: self.used]
-            self.table = grown
+        """Remembers the scores of these words, at most AT_ONCE."""
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > MEMORY:
+            self.forget()
+            new = words - self.known.keys()
+        split = {w: runs(w.decode("utf-8", "replace")) for w in new}
+        grouped: dict[int, list[str]] = {}
+        for run in {r for parts in split.values() for r in parts}:
+            grouped.setdefault(len(run), []).append(run)
+        at, rows = {}, []
+        for length, group in grouped.items():
+            for start in range(0, len(group), 4096):
+                some = group[start : start + 4096]
+                at.update(zip(some, range(len(at), len(at) + len(some))))
+                rows.append(np.column_stack([self.score(some), np.full(len(some), float(length))]))
+        scores = np.concatenate(rows) if rows else None
         for word, parts in split.items():
             if parts:
-                self.table[self.used] = self.parts[parts[0]] if len(parts) == 1 else sum(self.parts[p] for p in parts)
+                self.table[self.used] = scores[at[parts[0]]] if len(parts) == 1 else scores[[at[p] for p in parts]].sum(axis=0)
                 self.known[word] = self.used
                 self.used += 1
             else:
@@ -249,14 +256,29 @@ class WordScores:
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self.known) > MEMORY:
-            self.forget()
-        words = [(t or b"").split() for t in texts]
-        self.learn({w for ws in words for w in ws} - self.known.keys())
-        return [self._judge(ws) for ws in words]
-
-    def _judge(self, words: list[bytes]) -> tuple[str, float]:
-        sums = self.table[list(map(self.known.__getitem__, words))].sum(axis=0) if words else np.zeros(len(self.languages) + 1)
+        sums = np.zeros((len(texts), len(self.languages) + 1))
+        waiting: list[tuple[int, list[bytes]]] = []
+        held = 0
+
+        def flush() -> None:
+            self.learn({w for _, part in waiting for w in part})
+            for i, part in waiting:
+                sums[i] += self.table[list(map(self.known.__getitem__, part))].sum(axis=0, dtype=float)
+
+        # A long text is read in parts, so that there are never more new words than can be kept.
+        for i, text in enumerate(texts):
+            words = (text or b"").split()
+            for start in range(0, len(words), AT_ONCE):
+                part = words[start : start + AT_ONCE]
+                if held + len(part) > AT_ONCE:
+                    flush()
+                    waiting, held = [], 0
+                waiting.append((i, part))
+                held += len(part)
+        flush()
+        return [self._judge(row) for row in sums]
+
+    def _judge(self, sums: np.ndarray) -> tuple[str, float]:
         if not sums[-1]:
             return UNKNOWN, 0.0
         logs = sums[:-1] + self.priors
