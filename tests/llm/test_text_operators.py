@@ -308,8 +308,9 @@ def test_raking_meets_all_margins(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     aims = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}, "lang": {"en": 0.5, "de": 0.5, "fr": 9.0}, "topic": {"note": 0.7, "table": 0.3}}
     targets = {m: spark.createDataFrame(list(a.items()), f"{m} string, share double") for m, a in aims.items()}
-    _, cells = mixing.probabilities(frame, targets, 30)
+    _, cells = mixing.probabilities(frame, targets)
     found = cells.toPandas()
+    assert (found.off <= mixing.TOLERANCE).all()
     for margin, shares in aims.items():
         sums = found.groupby(margin).fitted.sum()
         present = {k: v for k, v in shares.items() if k in sums.index}
@@ -319,6 +320,28 @@ def test_raking_meets_all_margins(spark):
     assert sorted(r.doc_id for r in mixing.sample(frame, targets).collect()) == sorted(r.doc_id for r in mixing.sample(frame.repartition(7), targets).collect())
 
 
+def test_raking_ends_where_targets_cannot_be_met(spark):
+    """Each source has one language only, and their targets differ."""
+    frame = spark.createDataFrame([(1, "w " * 9, "en", "a", 0), (2, "w " * 9, "de", "b", 0)], SCHEMA)
+    shares = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("en", 0.9), ("de", 0.1)], "topic": [("note", 1.0)]}
+    targets = {m: spark.createDataFrame(rows, f"{m} string, share double") for m, rows in shares.items()}
+    _, cells = mixing.probabilities(frame, targets)
+    assert {round(r.off, 6) for r in cells.collect()} == {0.4}
+
+
+def test_scorer_forgets_rare_words_and_scores_alike(monkeypatch):
+    rng = random.Random(4)
+    model = langid.LanguageModel(["x", "y"], [-0.5, -1.0], {"a": [0.3, 0.1], "b": [0.1, 0.4], "▁": [0.2, 0.2], "ab": [0.05, 0.01]})
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 60))).encode() for _ in range(40)] + [None, b"", b"12 34"]
+    want = langid.WordScores(model).predict(texts)
+    monkeypatch.setattr(langid, "MEMORY", 40)
+    monkeypatch.setattr(langid, "AT_ONCE", 15)
+    small = langid.WordScores(model)
+    got = small.predict(texts)
+    assert len(small.known) <= 40 and [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+
+
 def test_forward_sums_all_segmentations():
     model = {"▁": [0.1], "a": [0.2], "b": [0.05], "ab": [0.3], "▁a": [0.07], "▁ab": [0.02]}
     want = 0.1 * 0.2 * 0.05 + 0.1 * 0.3 + 0.07 * 0.05 + 0.02

@@ -7,7 +7,9 @@ repeated, and the margins of the sample meet their targets in expectation. Draws
 a sample is the same on every run.
 
 The default targets temper the shares found, which lifts rare sources, languages and topics. Everything after the first count works on
-cells, whose number is that of sources times languages times topics met; the sweeps write their state out.
+cells, whose number is that of sources times languages times topics met; the sweeps write their state out. They end when every margin is within
+``TOLERANCE`` of its target. Cells that are missing can make targets impossible to meet together; the sweeps then end when they bring nothing more, and
+``off``, the largest difference left between a margin's share and its target, says how far they got.
 
 Defined cases: nulls are a class of their own in each margin; documents without tokens have weight zero and aren't drawn; target classes
 that don't occur are left out and the rest scaled up; a class without a target isn't drawn; rows that share an id are drawn together; equal rows give equal
@@ -16,6 +18,8 @@ rows; no documents, no rows; other columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +29,9 @@ from tradewake.session import cut_lineage
 MARGINS = ("source", "lang", "topic")
 # Exponent on the shares found; one keeps the mix, zero makes all classes of a margin equal.
 TEMPER = 0.95
-SWEEPS = 12
+TOLERANCE = 1e-9
+# Sweeps between two looks at the margins.
+SWEEPS = 8
 NONE = "-"
 
 
@@ -51,13 +57,16 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def classed(docs: DataFrame) -> DataFrame:
-    """The rows as one column, beside their id, classes and tokens, so that no other column's name can clash."""
+def classed(docs: DataFrame, keep: Sequence[str] = ("*",)) -> DataFrame:
+    """The rows, or the columns of them to keep, as one column, beside their id, classes and tokens, so that no other column's name can clash.
+
+    Written out: the texts are classed once, and later steps read the columns they need.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.struct("*").alias("_row"), F.col("doc_id").cast("string").alias("_id"), tokens_of(text).alias("tokens"),
+    return cut_lineage(docs.select(
+        F.struct(*keep).alias("_row"), F.col("doc_id").cast("string").alias("_id"), tokens_of(text).alias("tokens"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic_of(text).alias("topic"),
-    )
+    ))
 
 
 def tempered(cells: DataFrame, margin: str, exponent: float = TEMPER) -> DataFrame:
@@ -65,8 +74,8 @@ def tempered(cells: DataFrame, margin: str, exponent: float = TEMPER) -> DataFra
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), exponent).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Cells with fitted weights: column ``fitted`` sums to the target shares in every margin.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with fitted weights, and the largest error left: column ``fitted`` sums to the target shares in every margin up to ``off``.
 
     cells: one row per cell with tokens; targets: per margin (class, share).
     """
@@ -79,22 +88,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for margin, aim in aims.items():
         state = state.join(aim.withColumnRenamed("aim", f"aim_{margin}"), margin)
     state = cut_lineage(state)
-    for sweep in range(sweeps):
-        for margin in aims:
-            # Over cells, not documents: a class has at most as many rows as the other margins have class pairs.
-            total = F.sum("fitted").over(Window.partitionBy(margin))
-            state = state.withColumn("fitted", F.when(total > 0, F.col("fitted") / total * F.col(f"aim_{margin}")).otherwise(0.0))
-        if sweep % 4 == 3:
-            state = cut_lineage(state)
-    state = state.select(*MARGINS, "tokens", "fitted")
-    return state
-
-
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame]:
-    """The classed rows, and (source, lang, topic, tokens, fitted, chance) per cell."""
-    rows = classed(docs)
+    off = None
+    while True:
+        for _ in range(SWEEPS):
+            for margin in aims:
+                # Over cells, not documents: a class has at most as many rows as the other margins have class pairs.
+                total = F.sum("fitted").over(Window.partitionBy(margin))
+                state = state.withColumn("fitted", F.when(total > 0, F.col("fitted") / total * F.col(f"aim_{margin}")).otherwise(0.0))
+        state = cut_lineage(state)
+        errors = [state.groupBy(m).agg(F.abs(F.sum("fitted") - F.first(f"aim_{m}")).alias("e")).agg(F.max("e")).first()[0] or 0.0 for m in aims]
+        before, off = off, max(errors, default=0.0)
+        if off <= tolerance or (before is not None and off > 0.9 * before):
+            return state.select(*MARGINS, "tokens", "fitted", F.lit(float(off)).alias("off"))
+
+
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, keep: Sequence[str] = ("*",)) -> tuple[DataFrame, DataFrame]:
+    """The classed rows, and (source, lang, topic, tokens, fitted, off, chance) per cell."""
+    rows = classed(docs, keep)
     cells = cut_lineage(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"))
-    fitted = rake(cells, targets or {m: tempered(cells, m) for m in MARGINS}, sweeps)
+    fitted = rake(cells, targets or {m: tempered(cells, m) for m in MARGINS}, tolerance)
     most = fitted.agg(F.max(F.col("fitted") / F.col("tokens")).alias("most")).first()["most"]
     return rows, cut_lineage(fitted.withColumn("chance", F.col("fitted") / F.col("tokens") / F.lit(float(most or 1.0))))
 
@@ -104,17 +116,18 @@ def draw(identity: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(identity, F.lit(NONE))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def chosen(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def chosen(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, keep: Sequence[str] = ("*",)) -> DataFrame:
     """Classed rows that are drawn, with the chance they had."""
-    rows, cells = probabilities(docs, targets, sweeps)
+    rows, cells = probabilities(docs, targets, tolerance, keep)
     return rows.join(cells.select(*MARGINS, "chance"), list(MARGINS)).filter(draw(F.col("_id")) < F.col("chance"))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents drawn, with all their columns."""
-    return chosen(docs, targets, sweeps).select("_row.*")
+    return chosen(docs, targets, tolerance).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = chosen(table(spark, sf_dir, "documents"))
+    # No text is needed once it is classed.
+    drawn = chosen(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return drawn.select(F.col("_row.doc_id").cast("long").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("chance", 6).alias("chance"))

@@ -37,6 +37,10 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+# Enough for the margins to settle to the last digits.
+MIXING_SWEEPS = 16
+
+
 def mixing_sql() -> str:
     """The sweeps as a chain of steps, each scaling one margin."""
     margins = mixing.MARGINS
@@ -59,7 +63,7 @@ def mixing_sql() -> str:
         steps.append(f"aim_{m} AS MATERIALIZED (SELECT {m}, share / sum(share) OVER () AS aim FROM (SELECT {m}, pow(sum(tokens)::DOUBLE, {mixing.TEMPER}) AS share FROM cells GROUP BY {m}))")
     steps.append("step0 AS MATERIALIZED (SELECT cells.*, tokens::DOUBLE AS fitted FROM cells)")
     at = 0
-    for _ in range(mixing.SWEEPS):
+    for _ in range(MIXING_SWEEPS):
         for m in margins:
             columns = ", ".join(f"s.{c}" for c in (*margins, "tokens"))
             steps.append(f"step{at + 1} AS MATERIALIZED (SELECT {columns}, fitted / sum(fitted) OVER (PARTITION BY s.{m}) * aim AS fitted FROM step{at} AS s JOIN aim_{m} USING ({m}))")
