@@ -113,22 +113,81 @@ def test_kth_distance_with_too_few_points(spark):
     assert [r["distance"] for r in neighbors.kth_distance(df, "address", ["x"], 3).collect()] == [None, None]
 
 
-def test_segments_separate_blobs_and_noise(spark):
+def plain_segments(rows, radius, min_samples, min_traders):
+    """DBSCAN without border points over (key, coordinates...), by comparing all pairs."""
+    near = {a[0]: {b[0] for b in rows if math.dist(a[1:], b[1:]) <= radius} for a in rows}
+    core = {k for k, found in near.items() if len(found) >= min_samples}
+    left, groups = set(core), []
+    while left:
+        group, waiting = set(), [min(left)]
+        while waiting:
+            k = waiting.pop()
+            if k not in group:
+                group.add(k)
+                waiting += (near[k] & core) - group
+        groups.append(group)
+        left -= group
+    kept = sorted((g for g in groups if len(g) >= min_traders), key=lambda g: (-len(g), min(g)))
+    return {k: i for i, g in enumerate(kept) for k in g}
+
+
+def blobs():
     rng = random.Random(5)
-    rows = [(i, rng.uniform(0, 4), rng.uniform(0, 1)) for i in range(400)]
-    rows += [(1000 + i, rng.uniform(20, 22), rng.uniform(20, 21)) for i in range(200)]
-    rows += [(2000 + i, -30.0 - 7 * i, 40.0 + 5 * i) for i in range(6)]
-    df = spark.createDataFrame(rows, "address long, x double, y double")
-    scaler = Scaler.fit(df, ["x", "y"])
-    model = segments.SegmentModel.fit(df, ["x", "y"], 0.7 / max(scaler.deviations), min_samples=3, min_traders=50)
-    found = {r["address"]: r["category"] for r in model.segment(df).collect()}
-    # Cells that a blob's edge only grazes may stay below the density limit.
-    assert [found[i] for i in range(400)].count(0) > 390 and [found[1000 + i] for i in range(200)].count(1) > 190
-    assert {found[i] for i in range(400)} <= {0, -1} and {found[1000 + i] for i in range(200)} <= {1, -1}
-    assert {found[2000 + i] for i in range(6)} == {-1}
-    new = spark.createDataFrame([(1, 2.0, 0.5), (2, 500.0, 500.0)], "address long, x double, y double")
-    out = {r["address"]: (r["category"], r["strength"]) for r in model.assign(new).collect()}
-    assert out == {1: (0, 1.0), 2: (-1, 0.0)}
+    rows = [(i, rng.uniform(0, 4), rng.uniform(0, 1), rng.gauss(0, 0.2)) for i in range(400)]
+    rows += [(1000 + i, rng.uniform(20, 22), rng.uniform(20, 21), rng.gauss(5, 0.2)) for i in range(200)]
+    # Copies of one point, a thin bridge of points that hang together, and outliers.
+    rows += [(2000 + i, 10.0, 10.0, 0.0) for i in range(90)]
+    rows += [(3000 + i, -20.0 + 0.15 * i, 30.0, 1.0) for i in range(80)]
+    return rows + [(4000 + i, -30.0 - 7 * i, 40.0 + 5 * i, 0.0) for i in range(6)]
+
+
+@pytest.mark.parametrize("radius", [0.02, 0.12, 0.4, 5.0])
+def test_segments_equal_those_of_all_pairs(spark, radius):
+    rows, columns = blobs(), ["x", "y", "z"]
+    df = spark.createDataFrame(rows, "address long, x double, y double, z double")
+    model = segments.SegmentModel.fit(df, columns, min_samples=4, min_traders=10, radius=radius)
+    scaled = [(r[0], *((v - m) / s for v, m, s in zip(r[1:], model.scaler.means, model.scaler.deviations))) for r in rows]
+    want = plain_segments(scaled, radius, 4, 10)
+    assert {r["address"]: r["category"] for r in model.segment(df).collect()} == {r[0]: want.get(r[0], -1) for r in rows}
+    # Half of the points again, slightly moved, and some that are far from all.
+    rng = random.Random(6)
+    new = [(k, x + rng.gauss(0, 0.1), y, z) for k, x, y, z in rows[::9]] + [(9000, 500.0, 500.0, 0.0), (9001, None, 1.0, 1.0)]
+    got = {r["address"]: (r["category"], r["strength"]) for r in model.assign(spark.createDataFrame(new, "address long, x double, y double, z double")).collect()}
+    cores = [p for p in scaled if p[0] in want]
+    for key, *at in new:
+        placed = None if None in at else [(v - m) / s for v, m, s in zip(at, model.scaler.means, model.scaler.deviations)]
+        distance, _, category = min(((math.dist(placed, c[1:]), c[0], want[c[0]]) for c in cores), default=(math.inf, 0, 0)) if placed else (math.inf, 0, 0)
+        assert got[key][0] == (category if distance <= radius else -1)
+        assert got[key][1] == pytest.approx(1 - distance / radius if distance <= radius else 0.0, abs=1e-9)
+
+
+def test_segment_radius_and_saved_model(spark, tmp_path):
+    df = spark.createDataFrame(blobs(), "address long, x double, y double, z double")
+    model = segments.SegmentModel.fit(df, ["x", "y", "z"], min_samples=4, min_traders=10)
+    distances = sorted(r["distance"] for r in neighbors.kth_distance(model.scaler.transform(df), "address", ["x", "y", "z"], 4).collect())
+    at = segments.RADIUS_QUANTILE * (len(distances) - 1)
+    low = distances[int(at)]
+    assert model.radius == pytest.approx(low + (at - int(at)) * (distances[int(at) + 1] - low), abs=1e-4)
+    model.save(f"{tmp_path}/segments")
+    again = segments.SegmentModel.load(spark, f"{tmp_path}/segments")
+    assert (again.scaler, again.radius, again.key) == (model.scaler, model.radius, model.key)
+    assert sorted(map(tuple, again.segment(df).collect())) == sorted(map(tuple, model.segment(df).collect()))
+    assert sorted(map(tuple, again.assign(df).collect())) == sorted(map(tuple, model.assign(df).collect()))
+
+
+def test_no_traders_no_segments(spark):
+    df = spark.createDataFrame([], "address long, x double, y double")
+    model = segments.SegmentModel.fit(df, ["x", "y"])
+    assert model.segment(df).collect() == [] and model.assign(df).collect() == []
+
+
+def test_neighbour_search_visits_few_leaves(spark):
+    rng = random.Random(8)
+    rows = [(i, *(rng.gauss(c * 3, 1) for c in (i % 7, i % 5, i % 3))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "address long, x double, y double, z double")
+    tree = neighbors.Tree(df, "address", ["x", "y", "z"])
+    neighbors.kth_distance(df, "address", ["x", "y", "z"], 13, tree).count()
+    assert 0 < tree.visits < 0.2 * tree.leaves.count() ** 2
 
 
 def test_connected_groups_on_a_long_chain(spark):

@@ -1,17 +1,18 @@
-"""Exact distance to the k-th nearest neighbour, by a tree of bounding boxes.
+"""Exact neighbours and density components by a tree of bounding boxes.
 
-Points are split along their widest axis until a leaf holds few distinct points,
-however dense the region. Every point then walks the tree level by level, as a
-join on the parent box: a box stays while it is nearer than a distance within
-which k points are known to lie. Leaf points travel as one array per leaf, so no
-table of point pairs is built.
+Points are turned onto their principal axes, which keeps distances, and split along their widest axis until a leaf holds few distinct
+points, however dense the region. Searches work on leaves, not on points: a leaf meets the leaves whose boxes are near, nearest first, in rounds; after
+each round its points know their neighbours better, so the reach within which further leaves are met shrinks. Leaf points travel as one array per leaf and no table
+of point pairs is built.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,146 +20,296 @@ from tradewake.session import cut_lineage
 
 # Fixed value: the neighbour looked at, the point itself counting as the first.
 NEIGHBOUR = 13
-LEAF_POINTS = 64
+LEAF_POINTS = 24
 FAN_OUT = 8
-MAX_LEVELS = 20
-# Boxes of a level are broadcast up to this many; beyond it the walk is a shuffled join.
-BROADCAST_BOXES = 20_000
+# Leaves met in the first round and at most in a later one.
+FIRST_ROUND, LARGEST_ROUND = 4, 32
 
 
 def _total(parts: list[Column]) -> Column:
     return reduce(Column.__add__, parts)
 
 
-def _split_level(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+def principal_axes(points: DataFrame, axes: Sequence[str]) -> np.ndarray:
+    """Orthonormal columns by falling variance."""
+    d = len(axes)
+    means = points.agg(*[F.avg(a) for a in axes]).first()
+    away = [F.col(a) - F.lit(float(m or 0.0)) for a, m in zip(axes, means)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = points.agg(*[F.avg(away[i] * away[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
+    matrix = np.zeros((d, d))
+    for (i, j), s in zip(pairs, sums):
+        matrix[i, j] = matrix[j, i] = s or 0.0
+    return np.linalg.eigh(matrix)[1][:, ::-1]
+
+
+def _split_level(points: DataFrame, d: int) -> DataFrame:
     """Axis and cut values of every node that is still too large."""
     quantiles = [i / FAN_OUT for i in range(1, FAN_OUT)]
+    at = [F.col("_x")[i] for i in range(d)]
     stats = points.groupBy("_node").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.min(a).alias(f"_lo_{i}") for i, a in enumerate(axes)],
-        *[F.max(a).alias(f"_hi_{i}") for i, a in enumerate(axes)],
-        *[F.percentile_approx(a, quantiles).alias(f"_q_{i}") for i, a in enumerate(axes)],
-    ).where(F.col("_n") > LEAF_POINTS)
-    spans = [F.struct((F.col(f"_hi_{i}") - F.col(f"_lo_{i}")).alias("span"), F.lit(i).alias("axis")) for i in range(len(axes))]
-    widest = F.greatest(*spans)["axis"] if len(spans) > 1 else F.lit(0)
-    chosen = stats.withColumn("_axis", widest)
-    low, high, cuts = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("array<double>")
-    for i in range(len(axes)):
-        here = F.col("_axis") == i
-        low = F.when(here, F.col(f"_lo_{i}")).otherwise(low)
-        high = F.when(here, F.col(f"_hi_{i}")).otherwise(high)
-        cuts = F.when(here, F.col(f"_q_{i}")).otherwise(cuts)
-    chosen = chosen.select("_node", "_axis", low.alias("_low"), high.alias("_high"), cuts.alias("_q"))
-    above = F.filter(F.array_distinct("_q"), lambda q: q > F.col("_low"))
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(a) for a in at]).alias("lo"), F.array(*[F.max(a) for a in at]).alias("hi"),
+        F.array(*[F.percentile_approx(a, quantiles, 1000) for a in at]).alias("q"),
+    ).where(F.col("n") > LEAF_POINTS)
+    spans = [F.struct((F.col("hi")[i] - F.col("lo")[i]).alias("span"), F.lit(i).alias("axis")) for i in range(d)]
+    chosen = stats.withColumn("axis", (F.greatest(*spans) if d > 1 else spans[0])["axis"])
+    chosen = chosen.select("_node", "axis", F.get("lo", F.col("axis")).alias("low"), F.get("hi", F.col("axis")).alias("high"), F.get("q", F.col("axis")).alias("q"))
+    above = F.filter(F.array_distinct("q"), lambda q: q > F.col("low"))
     # Many equal values can swallow all quantiles; the middle still divides the node.
-    usable = F.when(F.size(above) > 0, above).otherwise(F.array((F.col("_low") + F.col("_high")) / 2))
-    return chosen.where(F.col("_high") > F.col("_low")).select("_node", "_axis", usable.alias("_cuts"))
+    usable = F.when(F.size(above) > 0, above).otherwise(F.array((F.col("low") + F.col("high")) / 2))
+    return chosen.where(F.col("high") > F.col("low")).select("_node", F.col("axis").alias("_axis"), usable.alias("_cuts"))
+
 
+def _descend(points: DataFrame, cuts: DataFrame) -> DataFrame:
+    child = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.get("_x", F.col("_axis")))), F.lit(0))
+    child = F.when(F.col("_axis").isNull(), 0).otherwise(child)
+    return points.join(cuts, "_node", "left").withColumn("_node", F.col("_node") * FAN_OUT + child).drop("_axis", "_cuts")
 
-def _descend(points: DataFrame, cuts: DataFrame, axes: Sequence[str]) -> DataFrame:
-    value = reduce(
-        lambda rest, i: F.when(F.col("_axis") == i, F.col(axes[i])).otherwise(rest), range(1, len(axes)), F.col(axes[0])
-    )
-    child = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= value)), F.lit(0))
-    child = F.when(F.col("_axis").isNull(), F.lit(0)).otherwise(child)
-    joined = points.join(cuts, "_node", "left")
-    return joined.withColumn("_node", F.col("_node") * FAN_OUT + child).drop("_axis", "_cuts")
 
+def _near(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
+    """Squared distance of two boxes."""
+    gaps = F.zip_with(F.zip_with(a_lo, b_hi, lambda p, q: p - q), F.zip_with(b_lo, a_hi, lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
 
-def _boxes(leaves: DataFrame, shift: int, d: int) -> DataFrame:
-    """Boxes of one level, from the leaf boxes below it."""
-    node = F.floor(F.col("_leaf") / shift).cast("long")
-    return leaves.groupBy(node.alias("_box")).agg(
-        *[F.min(f"_lo_{i}").alias(f"_lo_{i}") for i in range(d)],
-        *[F.max(f"_hi_{i}").alias(f"_hi_{i}") for i in range(d)],
-        F.sum("_weight").alias("_weight"),
-    )
 
+def _far(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
+    """Squared largest distance between two boxes."""
+    spans = F.zip_with(F.zip_with(a_hi, b_lo, lambda p, q: p - q), F.zip_with(b_hi, a_lo, lambda p, q: p - q), lambda p, q: F.greatest(p, q))
+    return F.aggregate(spans, F.lit(0.0), lambda s, g: s + g * g)
 
-def _kth(distances: Column, k: int) -> Column:
-    """k-th smallest squared distance of an array of (distance, weight), null when there are fewer."""
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("found"))
 
-    def step(acc: Column, item: Column) -> Column:
-        seen = acc["seen"] + item["w"]
-        found = F.when(acc["found"].isNull() & (seen >= k), item["d"]).otherwise(acc["found"])
-        return F.struct(seen.alias("seen"), found.alias("found"))
+class Tree:
+    """Distinct points in leaves of at most LEAF_POINTS, with the boxes of every level.
 
-    return F.aggregate(F.array_sort(distances), start, step)["found"]
+    Equal points are kept once with their number, so copies can't fill a leaf. All leaves are at the same depth.
+    """
 
+    def __init__(self, points: DataFrame, key: str, axes: Sequence[str]):
+        self.key, self.axes = key, tuple(axes)
+        self.plain = points.select(key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=list(axes))
+        self.turn = principal_axes(self.plain, axes)
+        distinct = self.plain.groupBy(*axes).agg(F.count(F.lit(1)).alias("_w"), F.min(key).alias("_pid"))
+        self.placed = cut_lineage(distinct.select("_pid", *axes, self.turned().alias("_x"), "_w", F.lit(0).cast("long").alias("_node")))
+        self.cuts: list[DataFrame] = []
+        # 20 levels fill the bits of a node's number; leaves that are still large by then stay so.
+        while len(self.cuts) < 20:
+            cuts = cut_lineage(_split_level(self.placed, len(self.axes)))
+            if cuts.isEmpty():
+                break
+            self.cuts.append(cuts)
+            self.placed = _descend(self.placed, cuts)
+        self.placed = cut_lineage(self.placed.withColumnRenamed("_node", "_leaf"))
+        at = [F.col("_x")[i] for i in range(len(self.axes))]
+        self.leaves = cut_lineage(self.placed.groupBy(F.col("_leaf").alias("leaf")).agg(
+            F.array(*[F.min(a) for a in at]).alias("lo"), F.array(*[F.max(a) for a in at]).alias("hi"), F.sum("_w").alias("weight"),
+            F.array_sort(F.collect_list(F.struct(F.col("_pid").alias("pid"), F.col("_w").alias("w"), F.col("_x").alias("x")))).alias("points"),
+        ))
+        self.visits = 0
 
-def _to_leaf(axes: Sequence[str]) -> Column:
-    """Squared distances from the row's point to the points of its leaf array."""
+    @property
+    def levels(self) -> int:
+        return len(self.cuts)
 
-    def entry(p: Column) -> Column:
-        squared = _total([(F.col(a) - p[f"x{i}"]) * (F.col(a) - p[f"x{i}"]) for i, a in enumerate(axes)])
-        return F.struct(squared.alias("d"), p["w"].alias("w"))
+    def turned(self) -> Column:
+        """A point on the principal axes."""
+        return F.array(*[_total([F.col(a) * F.lit(float(v)) for a, v in zip(self.axes, column)]) for column in self.turn.T])
 
-    return F.transform("_points", entry)
+    def boxes(self, level: int) -> DataFrame:
+        node = F.floor(F.col("leaf") / FAN_OUT ** (self.levels - level)).cast("long")
+        d = range(len(self.axes))
+        found = self.leaves.groupBy(node.alias("node")).agg(*[F.min(F.col("lo")[i]).alias(f"lo_{i}") for i in d], *[F.max(F.col("hi")[i]).alias(f"hi_{i}") for i in d])
+        return found.select("node", F.array(*[f"lo_{i}" for i in d]).alias("lo"), F.array(*[f"hi_{i}" for i in d]).alias("hi"), F.floor(F.col("node") / FAN_OUT).cast("long").alias("parent"))
 
+    def partners(self, searchers: DataFrame) -> DataFrame:
+        """(leaf, partner, near) for searchers (leaf, lo, hi, reach): all leaves within the reach, squared, of the searcher's box; null reaches all."""
+        walk = searchers.select("leaf", "lo", "hi", "reach", F.lit(0).cast("long").alias("at"))
+        for level in range(1, self.levels + 1):
+            box = self.boxes(level).select(F.col("parent").alias("at"), F.col("node").alias("next"), F.col("lo").alias("box_lo"), F.col("hi").alias("box_hi"))
+            walk = walk.join(box, "at").withColumn("near", _near(F.col("lo"), F.col("hi"), F.col("box_lo"), F.col("box_hi")))
+            walk = walk.where(F.col("reach").isNull() | (F.col("near") <= F.col("reach"))).select("leaf", "lo", "hi", "reach", F.col("next").alias("at"), "near")
+        if not self.levels:
+            walk = walk.withColumn("near", F.lit(0.0))
+        return walk.select("leaf", F.col("at").alias("partner"), "near")
 
-def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIGHBOUR) -> DataFrame:
-    """Distance from each point to its k-th nearest, itself included; null with fewer than k points.
+    def search(self, state: DataFrame, meet: Callable, schema: str) -> DataFrame:
+        """Runs rounds of searchers against leaves, nearest first, until no leaf within reach is left.
 
-    Equal points are kept once with their number, so copies cannot fill a leaf.
-    """
+        state has id, leaf (for ties only), lo, hi, reach and whatever ``meet`` works on; ``meet`` takes a pandas frame of state rows with ``partners``,
+        the point lists of the leaves met, and returns the state with shorter reaches.
+        """
+        pairs = cut_lineage(self.partners(state.select(F.col("id").alias("leaf"), "lo", "hi", "reach")).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("leaf").orderBy("near", "partner"))))
+        done, size = 0, FIRST_ROUND
+        while True:
+            reaches = state.select(F.col("id").alias("leaf"), "reach")
+            open_ = pairs.where((F.col("rank") > done) & (F.col("rank") <= done + size)).join(reaches, "leaf").where(F.col("reach").isNull() | (F.col("near") <= F.col("reach")))
+            met = cut_lineage(open_.select("leaf", "partner"))
+            count = met.count()
+            if not count and not pairs.where(F.col("rank") > done + size).join(reaches, "leaf").where(F.col("reach").isNull() | (F.col("near") <= F.col("reach"))).limit(1).count():
+                return state
+            self.visits += count
+            points = self.leaves.select(F.col("leaf").alias("partner"), "points")
+            gathered = met.join(points, "partner").groupBy(F.col("leaf").alias("id")).agg(F.flatten(F.collect_list("points")).alias("partners"))
+            state = cut_lineage(state.join(gathered, "id", "left").mapInPandas(_each(meet), schema))
+            done, size = done + size, min(2 * size, LARGEST_ROUND)
+
+
+def _each(meet: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield meet(batch)
+
+    return run
+
+
+def _coordinates(points, d: int) -> np.ndarray:
+    return np.array([p["x"] for p in points], dtype=float).reshape(-1, d)
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b, by differences, so that equal points are at distance zero."""
+    away = a[:, None, :] - b[None, :, :]
+    return np.einsum("ijk,ijk->ij", away, away)
+
+
+def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIGHBOUR, tree: Tree | None = None) -> DataFrame:
+    """Distance from each point to its k-th nearest, itself included; null with fewer than k points."""
+    tree = tree or Tree(points, key, axes)
     d = len(axes)
-    plain = points.select(key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna()
-    distinct = plain.groupBy(*axes).agg(F.count(F.lit(1)).alias("_w"), F.min(key).alias("_pid"))
-    placed = cut_lineage(distinct.withColumn("_node", F.lit(0).cast("long")))
-
-    levels = 0
-    while levels < MAX_LEVELS:
-        cuts = cut_lineage(_split_level(placed, axes))
-        if cuts.isEmpty():
-            break
-        placed = _descend(placed, cuts, axes)
-        levels += 1
-    placed = cut_lineage(placed.withColumnRenamed("_node", "_leaf"))
-
-    leaves = cut_lineage(
-        placed.groupBy("_leaf").agg(
-            *[F.min(a).alias(f"_lo_{i}") for i, a in enumerate(axes)],
-            *[F.max(a).alias(f"_hi_{i}") for i, a in enumerate(axes)],
-            F.sum("_w").alias("_weight"),
-            F.collect_list(F.struct(*[F.col(a).alias(f"x{i}") for i, a in enumerate(axes)], F.col("_w").alias("w"))).alias("_points"),
-        )
-    )
-    leaf_count = leaves.count()
-
-    def side(boxes: DataFrame, level: int) -> DataFrame:
-        return F.broadcast(boxes) if min(leaf_count, FAN_OUT**level) <= BROADCAST_BOXES else boxes
-
-    contents = leaves.select("_leaf", "_points")
-    # Within the own leaf, the k-th distance is a first bound.
-    walk = placed.join(contents, "_leaf", "left").withColumn("_bound", _kth(_to_leaf(axes), k)).drop("_points", "_leaf", "_w")
-    walk = cut_lineage(walk.withColumn("_at", F.lit(0).cast("long")))
-    per_point = Window.partitionBy("_pid")
-    nearest_first = per_point.orderBy("_far", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for level in range(1, levels + 1):
-        boxes = _boxes(leaves, FAN_OUT ** (levels - level), d).withColumn("_parent", F.floor(F.col("_box") / FAN_OUT).cast("long"))
-        below = [F.greatest(F.col(f"_lo_{i}") - F.col(a), F.col(a) - F.col(f"_hi_{i}"), F.lit(0.0)) for i, a in enumerate(axes)]
-        beyond = [F.greatest(F.abs(F.col(a) - F.col(f"_lo_{i}")), F.abs(F.col(a) - F.col(f"_hi_{i}"))) for i, a in enumerate(axes)]
-        walk = (
-            walk.join(side(boxes, level), walk["_at"] == boxes["_parent"], "inner")
-            .withColumn("_near", _total([b * b for b in below]))
-            .withColumn("_far", _total([b * b for b in beyond]))
-            .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-            .withColumn("_at", F.col("_box"))
-            .drop("_parent", "_box", *[f"_lo_{i}" for i in range(d)], *[f"_hi_{i}" for i in range(d)])
-        )
-        # The boxes with the nearest far corners that hold k points bound the distance too.
-        held = walk.withColumn("_held", F.sum("_weight").over(nearest_first))
-        enough = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(per_point)
-        walk = held.withColumn("_bound", F.least("_bound", enough))
-        walk = walk.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-        walk = walk.drop("_near", "_far", "_held", "_weight")
-
-    walk = cut_lineage(walk)
-    visited = walk.join(contents.withColumnRenamed("_leaf", "_at"), "_at", "inner")
-    # Nothing beyond the bound can be among the k nearest, so little is left to sort.
-    within = F.filter(_to_leaf(axes), lambda e: F.col("_bound").isNull() | (e["d"] <= F.col("_bound")))
-    nearest = visited.select("_pid", F.slice(F.array_sort(within), 1, k).alias("_top"))
-    found = nearest.groupBy("_pid").agg(F.sqrt(_kth(F.flatten(F.collect_list("_top")), k)).alias("distance"))
-    per_value = distinct.select("_pid", *axes).join(found, "_pid", "left").drop("_pid")
-    return plain.join(per_value, list(axes), "left").select(key, "distance")
+
+    def meet(batch: pd.DataFrame) -> pd.DataFrame:
+        best, reach = [], []
+        for own, found, partners in zip(batch["points"], batch["best"], batch["partners"]):
+            known = np.array([list(f) for f in found], dtype=float).reshape(len(own), -1)
+            if partners is not None and len(partners):
+                times = np.minimum([p["w"] for p in partners], k)
+                distances = np.repeat(squared(_coordinates(own, d), _coordinates(partners, d)), times, axis=1)
+                known = np.concatenate([known, distances], axis=1)
+                known = np.sort(known, axis=1)[:, :k]
+            best.append([row.tolist() for row in known])
+            reach.append(float(known[:, k - 1].max()) if known.shape[1] >= k else None)
+        return batch.assign(best=best, reach=reach).drop(columns="partners")
+
+    empty = F.transform("points", lambda p: F.array().cast("array<double>"))
+    # Before anything is met, a leaf reaches as far as it must to be sure of k points.
+    state = tree.leaves.select(F.col("leaf").alias("id"), "lo", "hi", _first_reach(tree, k).alias("reach"), "points", empty.alias("best"))
+    schema = "id long, lo array<double>, hi array<double>, reach double, points array<struct<pid:{0},w:long,x:array<double>>>, best array<array<double>>"
+    pid = tree.placed.schema["_pid"].dataType.simpleString()
+    state = tree.search(cut_lineage(state), meet, schema.format(pid))
+    each = state.select(F.explode(F.arrays_zip(F.col("points.pid").alias("pid"), "best")).alias("e")).select(F.col("e.pid").alias("_pid"), F.sqrt(F.get("e.best", F.lit(k - 1))).alias("_distance"))
+    per_value = tree.placed.select("_pid", *axes).join(each, "_pid", "left").drop("_pid")
+    return tree.plain.join(per_value, list(axes), "left").select(key, F.col("_distance").alias("distance"))
+
+
+def _first_reach(tree: Tree, k: int) -> Column:
+    """Squared diagonal of the leaf's box where it holds k points; else unknown."""
+    return F.when(F.col("weight") >= k, _far(F.col("lo"), F.col("hi"), F.col("lo"), F.col("hi")))
+
+
+def nearest(tree: Tree, points: DataFrame, key: str, reach: float) -> DataFrame:
+    """(key, pid, distance): the tree's nearest point within the reach, for points with the tree's axes; ties go to the smaller pid."""
+    d = len(tree.axes)
+    rows = points.select(key, *[F.col(a).cast("double").alias(a) for a in tree.axes]).dropna(subset=list(tree.axes))
+    rows = rows.select(F.col(key).alias("_key"), tree.turned().alias("_x"), F.lit(0).cast("long").alias("_node"))
+    for cuts in tree.cuts:
+        rows = _descend(rows, cuts)
+    pid = tree.placed.schema["_pid"].dataType.simpleString()
+    limit = float(reach) ** 2
+
+    # Every point is a searcher of its own; the leaf it falls into is met first and shortens its reach.
+    state = rows.join(tree.leaves.select(F.col("leaf").alias("_node"), "points"), "_node", "left")
+
+    def meet(batch: pd.DataFrame) -> pd.DataFrame:
+        best, reaches = [], []
+        for x, found, within, partners in zip(batch["x"], batch["best"], batch["reach"], batch["partners"]):
+            if partners is not None and len(partners):
+                distances = squared(np.array([x], dtype=float), _coordinates(partners, d))[0]
+                least = distances.min()
+                if least <= within:
+                    other = min(p["pid"] for p, v in zip(partners, distances) if v == least)
+                    if found is None or least < within or other < found:
+                        found, within = other, float(least)
+            best.append(found)
+            reaches.append(within)
+        return batch.assign(best=pd.array(best, dtype="Int64") if pid == "bigint" else best, reach=reaches).drop(columns="partners")
+
+    fields = "id {0}, x array<double>, lo array<double>, hi array<double>, reach double, best {1}".format(rows.schema["_key"].dataType.simpleString(), pid)
+    start = state.select(F.col("_key").alias("id"), F.col("_x").alias("x"), F.col("_x").alias("lo"), F.col("_x").alias("hi"), F.lit(limit).alias("reach"), F.lit(None).cast(pid).alias("best"), F.col("points").alias("partners"))
+    state = tree.search(cut_lineage(start.mapInPandas(_each(meet), fields)), meet, fields)
+    return state.where(F.col("best").isNotNull()).select(F.col("id").alias(key), F.col("best").alias("pid"), F.sqrt("reach").alias("distance"))
+
+
+def reached_components(tree: Tree, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices of the tree's points, (pid, cell), and the edges (a, b) between vertices whose points lie within the reach of each other.
+
+    Pairs of nodes are followed from the root. Where all of two nodes is within reach, each becomes one vertex and the pair is done, so a dense
+    region costs as much as the nodes that cover it, not as its points. Undecided pairs end at leaves, whose points are compared; the points of a leaf
+    that hang together are one vertex.
+    """
+    d, limit = len(tree.axes), float(reach) ** 2
+    name = lambda level, node: F.concat(F.lit(f"n{level:02d}:"), node.cast("string"))
+    root = tree.boxes(0)
+    pairs = root.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+    whole, edges = [], []
+    for level in range(tree.levels + 1):
+        if level:
+            box = tree.boxes(level)
+            sides = [box.select(F.col("parent").alias(s), F.col("node").alias(f"{s}_next"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in "ab"]
+            pairs = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where("a_next <= b_next")
+            pairs = pairs.select(F.col("a_next").alias("a"), F.col("b_next").alias("b"), "a_lo", "a_hi", "b_lo", "b_hi")
+        sides = [F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")]
+        judged = cut_lineage(pairs.where(_near(*sides) <= limit).withColumn("all", _far(*sides) <= limit))
+        decided = judged.where("all")
+        whole.append(decided.select(F.lit(level).alias("level"), F.explode(F.array("a", "b")).alias("node")).distinct())
+        edges.append(decided.where("a <> b").select(name(level, F.col("a")).alias("a"), name(level, F.col("b")).alias("b")))
+        pairs = judged.where(~F.col("all"))
+    whole = cut_lineage(reduce(DataFrame.unionByName, whole))
+    # A whole node below another one is part of it; leaves below one or more hang on the uppermost.
+    above = None
+    named = tree.leaves.select("leaf")
+    for level in range(tree.levels + 1):
+        marks = whole.where(F.col("level") == level).select(F.col("node").alias(f"node_{level}"), name(level, F.col("node")).alias(f"at_{level}"))
+        up = F.floor(F.col("leaf") / FAN_OUT ** (tree.levels - level)).cast("long")
+        named = named.withColumn(f"node_{level}", up).join(marks, f"node_{level}", "left")
+        above = F.col(f"at_{level}") if above is None else F.coalesce(above, F.col(f"at_{level}"))
+    named = cut_lineage(named.select("leaf", above.alias("top"), F.array_compact(F.array(*[f"at_{i}" for i in range(tree.levels + 1)])).alias("tops")))
+    edges.append(named.where(F.size("tops") > 1).select(F.explode(F.slice("tops", 2, tree.levels + 1)).alias("a"), F.col("top").alias("b")).distinct())
+
+    def parts(x: np.ndarray, ids: list, top: str | None) -> list[str]:
+        """Vertex of each point of a leaf."""
+        if top is not None:
+            return [top] * len(ids)
+        close, found = squared(x, x) <= limit, [-1] * len(ids)
+        for first in range(len(ids)):
+            waiting = [first] if found[first] < 0 else []
+            while waiting:
+                i = waiting.pop()
+                if found[i] < 0:
+                    found[i] = first
+                    waiting += [j for j in np.flatnonzero(close[i]).tolist() if found[j] < 0]
+        return [f"p{ids[i]}" for i in found]
+
+    def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for points, top in zip(batch["points"], batch["top"]):
+                ids = [p["pid"] for p in points]
+                rows += zip(ids, parts(_coordinates(points, d), ids, top))
+            yield pd.DataFrame(rows, columns=["pid", "cell"])
+
+    def touching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = set()
+            for one, top, other, other_top in zip(batch["points"], batch["top"], batch["others"], batch["other_top"]):
+                x, y = _coordinates(one, d), _coordinates(other, d)
+                a, b = parts(x, [p["pid"] for p in one], top), parts(y, [p["pid"] for p in other], other_top)
+                rows |= {(a[i], b[j]) for i, j in np.argwhere(squared(x, y) <= limit).tolist()}
+            yield pd.DataFrame(sorted(rows), columns=["a", "b"])
+
+    contents = cut_lineage(tree.leaves.select("leaf", "points").join(named.select("leaf", "top"), "leaf"))
+    others = contents.select(F.col("leaf").alias("b"), F.col("points").alias("others"), F.col("top").alias("other_top"))
+    left = pairs.where("a <> b").select("a", "b").join(contents.withColumnRenamed("leaf", "a"), "a").join(others, "b")
+    edges.append(left.select("points", "top", "others", "other_top").mapInPandas(touching, "a string, b string"))
+    pid = tree.placed.schema["_pid"].dataType.simpleString()
+    members = contents.select("points", "top").mapInPandas(vertices, f"pid {pid}, cell string")
+    return members, reduce(DataFrame.unionByName, edges).where("a <> b").distinct()

@@ -1,11 +1,9 @@
-"""Density segments of traders on a grid.
-
-Standardised profiles fall into grid cells; a cell is dense when it holds enough
-traders; dense cells with a common face belong together; groups of cells with too
-few traders are noise. This is grid-based density clustering as in CLIQUE
-(Agrawal et al., 1998). Its labels differ from those of hierarchical density
-clustering, but every step works on cell counts: a dense region costs as much as
-its number of cells, however many traders it holds, and no pairs are formed.
+"""Density segments of traders: DBSCAN without border points.
+
+The radius is a quantile of the distances to the k-th nearest neighbour. A trader with k traders within the radius, itself included, is a core
+point; core points within the radius of each other belong together; groups with too few traders, and all other traders, are noise
+(Campello et al., 2013, call this DBSCAN*). Everything is exact, on standardised profiles. Labels differ from those of hierarchical
+density clustering, which has no single radius.
 """
 
 from __future__ import annotations
@@ -13,30 +11,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tradewake.operators import neighbors
 from tradewake.operators.models import Scaler
 from tradewake.session import cut_lineage
 
-# Smallest segment, traders that make a cell dense, label of noise.
+# Smallest segment, traders that make a core point, label of noise.
 MIN_SEGMENT_TRADERS, MIN_SAMPLES, NOISE = 700, 5, -1
-MAX_ROUNDS = 100
-
-
-def _cell(scaler: Scaler, width: float) -> Column:
-    return F.array(*[F.floor(scaler.scaled(c) / width) for c in scaler.columns])
-
-
-def _name(cell: Column) -> Column:
-    return F.array_join(cell.cast("array<string>"), ",")
-
-
-def _neighbours(cell: Column, d: int, steps: Sequence[int]) -> list[Column]:
-    """Cells one step away along one axis."""
-    return [
-        F.array(*[cell[j] + (step if j == axis else 0) for j in range(d)]) for axis in range(d) for step in steps
-    ]
+# Part of the traders that are core points.
+RADIUS_QUANTILE = 0.75
+# Digits that the radius is rounded to.
+RADIUS_DIGITS = 4
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,7 +37,8 @@ def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut_lineage(nodes.select("cell", F.col("cell").alias("label")))
-    for _ in range(MAX_ROUNDS):
+    # Labels only ever fall, so this ends.
+    while True:
         offered = both.join(labels.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("label").alias("_offer"))
         nearer = labels.join(offered, "cell", "left").select("cell", "label", F.least("label", "_offer").alias("_new"))
         further = labels.select(F.col("cell").alias("_new"), F.col("label").alias("_next"))
@@ -61,60 +49,74 @@ def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("cell", F.col("_new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
 
 
 @dataclass(frozen=True)
 class SegmentModel:
-    """Scaler, cell width and the segment of every dense cell."""
+    """Scaler, radius, the core points with their segment, and the segment of every trader the model was fitted on."""
 
     scaler: Scaler
-    width: float
-    cells: DataFrame
+    radius: float
+    core: DataFrame
+    members: DataFrame
+    key: str = "address"
 
     @classmethod
-    def fit(cls, profiles: DataFrame, columns: Sequence[str], width: float, min_samples: int = MIN_SAMPLES,
-            min_traders: int = MIN_SEGMENT_TRADERS) -> SegmentModel:
+    def fit(cls, profiles: DataFrame, columns: Sequence[str], min_samples: int = MIN_SAMPLES, min_traders: int = MIN_SEGMENT_TRADERS,
+            radius: float | None = None, quantile: float = RADIUS_QUANTILE, key: str = "address") -> SegmentModel:
         scaler = Scaler.fit(profiles, columns)
-        d = len(columns)
-        counted = profiles.dropna(subset=list(columns)).groupBy(_cell(scaler, width).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-        dense = cut_lineage(counted.where(F.col("n") >= min_samples).withColumn("cell", _name(F.col("at"))))
-        steps = dense.select(F.col("cell").alias("a"), F.explode(F.array(*_neighbours(F.col("at"), d, [1]))).alias("to"))
-        edges = steps.select("a", _name(F.col("to")).alias("b")).join(dense.select(F.col("cell").alias("b")), "b", "left_semi")
-        labels = connected_groups(dense, edges)
-        sizes = dense.join(labels, "cell").groupBy("label").agg(F.sum("n").alias("traders"))
+        scaled = cut_lineage(scaler.transform(profiles.dropna(subset=list(columns)).select(key, *columns)))
+        distances = cut_lineage(neighbors.kth_distance(scaled, key, columns, min_samples))
+        if radius is None:
+            radius = distances.agg(F.round(F.percentile("distance", quantile), RADIUS_DIGITS)).first()[0] or 0.0
+        core = cut_lineage(scaled.join(distances.where(F.col("distance") <= radius).select(key), key, "left_semi"))
+        tree = neighbors.Tree(core, key, columns)
+        cells, edges = neighbors.reached_components(tree, radius)
+        cells = cut_lineage(cells)
+        labels = connected_groups(cells.select("cell").distinct().unionByName(edges.select(F.explode(F.array("a", "b")).alias("cell"))).distinct(), edges)
+        named = cells.withColumnRenamed("pid", "_pid").join(labels, "cell").select("_pid", F.col("label").alias("_label"))
+        points = cut_lineage(tree.placed.select("_pid", *columns, "_w").join(named, "_pid"))
+        sizes = points.groupBy("_label").agg(F.sum("_w").alias("traders"), F.min("_pid").alias("first"))
         # At most traders / min_traders rows remain to be numbered.
-        order = Window.orderBy(F.desc("traders"), "label")
+        order = Window.orderBy(F.desc("traders"), "first")
         kept = sizes.where(F.col("traders") >= min_traders).withColumn("category", (F.row_number().over(order) - 1).cast("int"))
-        cells = labels.join(kept, "label").select("cell", "category")
-        return cls(scaler, width, cut_lineage(cells))
+        grouped = cut_lineage(points.join(kept.select("_label", "category"), "_label").select("_pid", *columns, "category"))
+        members = core.join(grouped.drop("_pid"), list(columns)).select(key, "category")
+        return cls(scaler, float(radius), grouped, cut_lineage(members), key)
 
     def segment(self, profiles: DataFrame) -> DataFrame:
-        """Segment of each trader the model was fitted on; traders outside dense cells are noise."""
-        named = profiles.withColumn("cell", _name(_cell(self.scaler, self.width)))
-        joined = named.join(self.cells, "cell", "left")
+        """Segment of each trader the model was fitted on; traders that are no core point are noise."""
+        joined = profiles.join(self.members, self.key, "left")
         return joined.select(*profiles.columns, F.coalesce("category", F.lit(NOISE)).alias("category"))
 
-    def assign(self, profiles: DataFrame, key: str = "address") -> DataFrame:
+    def assign(self, profiles: DataFrame) -> DataFrame:
         """Segment and strength of new traders.
 
-        Strength is 1 inside a dense cell and falls to 0 across the width of a
-        neighbouring cell; traders next to no dense cell are noise with strength 0.
+        A trader belongs to the segment of the nearest core point within the radius; the strength falls from 1 on that point to 0 at the
+        radius. Traders without one, or with a missing value, are noise with strength 0.
         """
-        d = len(self.scaler.columns)
-        scaled = F.array(*[self.scaler.scaled(c) for c in self.scaler.columns])
-        points = profiles.select(key, scaled.alias("x"), _cell(self.scaler, self.width).alias("at"))
-        at, x = F.col("at"), F.col("x")
-        options = [F.struct(at.alias("cell"), F.lit(0.0).alias("gap"))]
-        for axis in range(d):
-            inside = x[axis] - at[axis] * self.width
-            up, down = _neighbours(at, d, [1, -1])[2 * axis : 2 * axis + 2]
-            options += [F.struct(up.alias("cell"), (self.width - inside).alias("gap")), F.struct(down.alias("cell"), inside.alias("gap"))]
-        near = points.select(key, F.inline(F.array(*options))).withColumn("cell", _name(F.col("cell")))
-        matched = near.join(self.cells, "cell", "inner")
-        best = matched.groupBy(key).agg(F.min(F.struct("gap", "category")).alias("best"))
-        return profiles.join(best, key, "left").select(
-            *profiles.columns,
-            F.coalesce(F.col("best.category"), F.lit(NOISE)).alias("category"),
-            F.coalesce(1 - F.col("best.gap") / self.width, F.lit(0.0)).alias("strength"),
+        columns = self.scaler.columns
+        tree = neighbors.Tree(self.core.select("_pid", *columns), "_pid", columns)
+        # One search per distinct key.
+        scaled = self.scaler.transform(profiles.select(self.key, *columns))
+        found = neighbors.nearest(tree, scaled, self.key, self.radius).join(self.core.select(F.col("_pid").alias("pid"), "category"), "pid")
+        strength = F.lit(1.0) - F.col("distance") / F.lit(self.radius) if self.radius else F.lit(1.0)
+        matched = found.select(self.key, F.col("category"), strength.alias("strength"))
+        return profiles.join(matched, self.key, "left").select(
+            *profiles.columns, F.coalesce("category", F.lit(NOISE)).alias("category"), F.coalesce("strength", F.lit(0.0)).alias("strength")
         )
+
+    def save(self, path: str) -> None:
+        """Writes the model below a folder: core points, members, and one row of settings with the scaler and its columns."""
+        spark = self.core.sparkSession
+        self.core.write.mode("overwrite").parquet(f"{path}/core")
+        self.members.write.mode("overwrite").parquet(f"{path}/members")
+        settings = [(self.key, self.radius, list(self.scaler.columns), list(self.scaler.means), list(self.scaler.deviations))]
+        schema = "key string, radius double, columns array<string>, means array<double>, deviations array<double>"
+        spark.createDataFrame(settings, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SegmentModel:
+        row = spark.read.parquet(f"{path}/settings").first()
+        scaler = Scaler(tuple(row["columns"]), tuple(row["means"]), tuple(row["deviations"]))
+        return cls(scaler, row["radius"], spark.read.parquet(f"{path}/core"), spark.read.parquet(f"{path}/members"), row["key"])
