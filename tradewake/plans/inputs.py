@@ -50,6 +50,12 @@ class Inputs:
     def markets(self) -> DataFrame:
         return markets_view(self.table("part"))
 
+    @cached_property
+    def profile_date(self) -> int:
+        """Second from which trades count as live; profiles, segments and models come from the trades before. Four fifths into the time covered."""
+        low, high = self.trades.agg(F.min("timestamp"), F.max("timestamp")).first()
+        return 0 if low is None else low + (high - low) * 4 // 5
+
     @cached_property
     def users(self) -> DataFrame:
         return users_view(self.table("customer"))
@@ -120,6 +126,9 @@ def with_outcome_names(markets: DataFrame) -> DataFrame:
     )
 
 
+# The profile date as SQL, for queries that split by it.
+PROFILE_DATE_CTE = "profile_date AS (SELECT CAST(MIN(timestamp) + (MAX(timestamp) - MIN(timestamp)) * 4 // 5 AS BIGINT) AS since FROM trades)"
+
 ORACLE_VIEWS = """trades AS (
   SELECT event_id AS trade_id, user_id AS address,
     CASE WHEN event_id % 7 < 2 THEN (event_id // 7) % GREATEST((SELECT COUNT(*) FROM part) // 100, 1)

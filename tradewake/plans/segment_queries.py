@@ -11,10 +11,10 @@ from tradewake.plans.aggregate_queries import PROFILE_CTE, labelled_trades
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
 from tradewake.plans.model_queries import NEWER_COLUMNS, fit_segment, training_rows
-from tradewake.session import cut_lineage
+from tradewake.session import cut_lineage, scratch_path
 
 # Sizes that suit the few hundred traders of the small inputs.
-WIDTH, SAMPLES, TRADERS = 1.5, 3, 5
+SAMPLES, TRADERS = 3, 5
 
 SCALED_CTE = PROFILE_CTE + """,
 scaled AS (SELECT address, """ + ", ".join(
@@ -22,27 +22,28 @@ scaled AS (SELECT address, """ + ", ".join(
 ) + " FROM profile)"
 
 
-def _cells_cte(members: str) -> str:
-    """Grid segmentation as SQL: scale on the members, count cells, close over common faces."""
-    d = len(PROFILE_COLUMNS)
-    cell = ", ".join(
-        f"CAST(FLOOR((p.{c} - s.m_{c}) / s.d_{c} / {WIDTH}) AS BIGINT) AS c{i}" for i, c in enumerate(PROFILE_COLUMNS)
-    )
+def _squared(a: str, b: str) -> str:
+    return " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(len(PROFILE_COLUMNS)))
+
+
+def _segments_cte(members: str) -> str:
+    """DBSCAN without border points as SQL, by all pairs: scale on the members, find the radius, close over core points."""
     position = ", ".join(f"(p.{c} - s.m_{c}) / s.d_{c} AS x{i}" for i, c in enumerate(PROFILE_COLUMNS))
     stats = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS d_{c}" for c in PROFILE_COLUMNS)
-    name = " || ',' || ".join(f"CAST(c{i} AS VARCHAR)" for i in range(d))
-    off = " + ".join(f"abs(a.c{i} - b.c{i})" for i in range(d))
     return PROFILE_CTE + f""",
 stats AS (SELECT {stats} FROM profile WHERE {members}),
-grid AS (SELECT p.address, {position}, {cell} FROM profile p, stats s),
-dense AS (SELECT {", ".join(f"c{i}" for i in range(d))}, {name} AS cell, COUNT(*) AS n FROM grid WHERE {members}
-  GROUP BY ALL HAVING COUNT(*) >= {SAMPLES}),
-faces AS (SELECT a.cell AS a, b.cell AS b FROM dense a, dense b WHERE {off} <= 1),
-reach AS (SELECT a, b FROM faces UNION SELECT r.a, f.b FROM reach r JOIN faces f ON r.b = f.a),
-grouped AS (SELECT a AS cell, MIN(b) AS label FROM reach GROUP BY a),
-sizes AS (SELECT label, SUM(n) AS traders FROM grouped JOIN dense USING (cell) GROUP BY label HAVING SUM(n) >= {TRADERS}),
+placed AS (SELECT p.address, {position} FROM profile p, stats s),
+points AS (SELECT * FROM placed WHERE {members}),
+pairs AS (SELECT a.address AS a, b.address AS b, SQRT({_squared("a", "b")}) AS d FROM points a, points b),
+kth AS (SELECT a AS address, LIST_SORT(LIST(d))[{SAMPLES}] AS distance FROM pairs GROUP BY a),
+radius AS (SELECT ROUND(QUANTILE_CONT(distance, {segments.RADIUS_QUANTILE}), {segments.RADIUS_DIGITS}) AS r FROM kth),
+core AS (SELECT address FROM kth, radius WHERE distance <= r),
+links AS (SELECT a, b FROM pairs, radius WHERE d <= r AND a IN (SELECT address FROM core) AND b IN (SELECT address FROM core)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+grouped AS (SELECT a AS address, MIN(b) AS label FROM reach GROUP BY a),
+sizes AS (SELECT label, COUNT(*) AS traders FROM grouped GROUP BY label HAVING COUNT(*) >= {TRADERS}),
 numbered AS (SELECT label, CAST(ROW_NUMBER() OVER (ORDER BY traders DESC, label) - 1 AS INT) AS category FROM sizes),
-cells AS (SELECT d.*, category FROM dense d JOIN grouped USING (cell) JOIN numbered USING (label))
+cores AS (SELECT address, category FROM grouped JOIN numbered USING (label))
 """
 
 
@@ -63,66 +64,69 @@ def knn_distance(inputs: Inputs):
     return rounded(neighbors.kth_distance(scaled, "address", PROFILE_COLUMNS), "distance")
 
 
+def fit_segments(known):
+    return segments.SegmentModel.fit(known, PROFILE_COLUMNS, SAMPLES, TRADERS)
+
+
 @query(
     "segment_users",
-    f"""SELECT address, COALESCE(category, -1) AS category FROM grid g LEFT JOIN cells c
-      ON {" AND ".join(f"g.c{i} = c.c{i}" for i in range(len(PROFILE_COLUMNS)))}""",
-    _cells_cte("TRUE"),
+    "SELECT address, COALESCE(category, -1) AS category FROM points LEFT JOIN cores USING (address)",
+    _segments_cte("TRUE"),
 )
 def segment_users(inputs: Inputs):
     found = profiles(inputs)
-    model = segments.SegmentModel.fit(found, PROFILE_COLUMNS, WIDTH, SAMPLES, TRADERS)
-    return model.segment(found).select("address", "category")
-
-
-_GAP = "(" + " + ".join(
-    f"CASE WHEN c.c{i} > g.c{i} THEN c.c{i} * {WIDTH} - x{i} WHEN c.c{i} < g.c{i} THEN x{i} - g.c{i} * {WIDTH} ELSE 0 END"
-    for i in range(len(PROFILE_COLUMNS))
-) + ")"
+    return fit_segments(found).segment(found).select("address", "category")
 
 
 @query(
     "assign_segments",
-    f"""SELECT address, COALESCE(ARG_MIN(category, gap * 1000 + category), -1) AS category,
-      {r(f"COALESCE(1 - MIN(gap) / {WIDTH}, 0)", name="strength")}
-      FROM (SELECT g.address, c.category, CASE WHEN c.category IS NOT NULL THEN {_GAP} END AS gap FROM grid g LEFT JOIN cells c
-        ON {" + ".join(f"abs(g.c{i} - c.c{i})" for i in range(len(PROFILE_COLUMNS)))} <= 1 WHERE g.address % 5 = 0) GROUP BY address""",
-    _cells_cte("address % 5 <> 0"),
+    f"""SELECT address, COALESCE(ARG_MIN(category, d) FILTER (WHERE d <= r), -1) AS category,
+      {r("COALESCE(1 - MIN(d) FILTER (WHERE d <= r) / ANY_VALUE(r), 0)", name="strength")}
+      FROM (SELECT n.address, c.category, SQRT({_squared("n", "p")}) AS d, r FROM placed n, points p JOIN cores c ON p.address = c.address, radius
+        WHERE n.address % 5 = 0) GROUP BY address""",
+    _segments_cte("address % 5 <> 0"),
 )
 def assign_segments(inputs: Inputs):
+    """Every fifth trader is new to segments made of the others. The saved model is loaded again before it is used."""
     found = profiles(inputs)
-    model = segments.SegmentModel.fit(found.where("address % 5 <> 0"), PROFILE_COLUMNS, WIDTH, SAMPLES, TRADERS)
-    assigned = model.assign(found.where("address % 5 = 0"))
+    path = scratch_path(inputs.spark, "segments")
+    fit_segments(found.where("address % 5 <> 0")).save(path)
+    assigned = segments.SegmentModel.load(inputs.spark, path).assign(found.where("address % 5 = 0"))
     return rounded(assigned.select("address", "category", "strength"), "strength")
 
 
-# Training rows from which a segment gets models of its own; smaller ones use those of the traders without a segment.
-LEAST_ROWS = 100
-
-
 def with_category(rows, categories):
     """Rows with the segment of their trader; traders without a profile belong to none."""
     return rows.join(categories, "address", "left").withColumn("category", F.coalesce("category", F.lit(-1)))
 
 
+def past_segments(inputs: Inputs):
+    """(address, category) of the traders known before the profile date."""
+    known = cut_lineage(aggregates.trader_profile(labelled_trades(inputs).where(F.col("timestamp") < inputs.profile_date), approximate=False))
+    return cut_lineage(fit_segments(known).segment(known).select("address", "category"))
+
+
+def segment_models(train):
+    """A model of its own for every segment that has rows of both classes; the traders without a segment get a second one, on the price alone."""
+    # One row per segment.
+    classes = train.groupBy("category").agg(F.countDistinct(models.LABEL).alias("n")).collect()
+    fitted = {row["category"]: models.SegmentModels(fit_segment(train.where(F.col("category") == row["category"]), NEWER_COLUMNS))
+              for row in classes if row["n"] == 2 and row["category"] != -1}
+    noise = train.where(~F.col("category").isin(*fitted)) if fitted else train
+    return fitted | {-1: models.SegmentModels(fit_segment(noise, NEWER_COLUMNS), fit_segment(noise, ("price",)))}
+
+
 @query("score_live_segments")
 def score_live_segments(inputs: Inputs):
     """Live scoring end to end: segments of past traders, a model per segment, hits of two model versions by outcome.
 
-    Every tenth market is live; profiles, segments and models come from the trades of the others.
+    All trades from the profile date on are live; profiles, segments and models come from those before.
     """
-    past = labelled_trades(inputs).where("condition_id % 10 <> 0")
-    known = cut_lineage(aggregates.trader_profile(past, approximate=False))
-    categories = cut_lineage(segments.SegmentModel.fit(known, PROFILE_COLUMNS, WIDTH, SAMPLES, TRADERS).segment(known).select("address", "category"))
-    rows = cut_lineage(with_category(training_rows(inputs), categories))
-    train, live = rows.where("condition_id % 10 <> 0"), rows.where("condition_id % 10 = 0")
-    # One row per segment.
-    sizes = {r["category"]: r["n"] for r in train.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
-    own = {c for c, n in sizes.items() if n >= LEAST_ROWS and c != -1}
-    noise = train.where(~F.col("category").isin(*own)) if own else train
-    fitted = {c: models.SegmentModels(fit_segment(train.where(F.col("category") == c), NEWER_COLUMNS)) for c in own}
-    fitted[-1] = models.SegmentModels(fit_segment(noise, NEWER_COLUMNS), fit_segment(noise, ("price",)))
-    shown = live.withColumn("category", F.when(F.col("category").isin(*own), F.col("category")).otherwise(-1)) if own else live.withColumn("category", F.lit(-1))
+    rows = training_rows(inputs).join(inputs.trades.select("trade_id", "timestamp"), "trade_id")
+    rows = cut_lineage(with_category(rows, past_segments(inputs)))
+    live = F.col("timestamp") >= inputs.profile_date
+    fitted = segment_models(rows.where(~live))
+    shown = rows.where(live).withColumn("category", F.when(F.col("category").isin(*fitted), F.col("category")).otherwise(-1))
     scored = models.score_by_segment(shown, fitted)
     index = labels.winning_index_by_threshold(F.col("outcome_prices"))
     winners = with_outcome_names(inputs.markets).select("condition_id", F.try_element_at(labels.string_list(F.col("outcomes")), index + 1).alias("winner"))

@@ -93,15 +93,14 @@ def partition_by_category(inputs: Inputs):
 
 @query(
     "insert_or_ignore",
-    """SELECT CAST(trade_id % 4000 AS VARCHAR) AS trans_hash, ARG_MIN(trade_id, trade_id) AS trade_id, ARG_MIN(price, trade_id) AS price
-      FROM trades WHERE trade_id % 4000 NOT IN (SELECT trade_id FROM trades WHERE trade_id < 500) GROUP BY trade_id % 4000
-      UNION ALL SELECT CAST(trade_id AS VARCHAR), trade_id, 0.0::DOUBLE FROM trades WHERE trade_id < 500""",
+    """SELECT CAST(trade_id // 3 AS VARCHAR) AS trans_hash, MIN(trade_id) AS trade_id, ARG_MIN(price, trade_id) AS price
+      FROM trades WHERE trade_id // 3 NOT IN (SELECT trade_id FROM trades WHERE trade_id % 5 = 0) GROUP BY trade_id // 3
+      UNION ALL SELECT CAST(trade_id AS VARCHAR), trade_id, 0.0::DOUBLE FROM trades WHERE trade_id % 5 = 0""",
 )
 def insert_or_ignore(inputs: Inputs):
-    stored = inputs.trades.where("trade_id < 500").select(
-        F.col("trade_id").cast("string").alias("trans_hash"), "trade_id", F.lit(0.0).alias("price")
-    )
-    incoming = inputs.trades.select((F.col("trade_id") % 4000).cast("string").alias("trans_hash"), "trade_id", "price")
+    """Three trades to a transaction; a fifth of the keys are stored already."""
+    stored = inputs.trades.where("trade_id % 5 = 0").select(F.col("trade_id").cast("string").alias("trans_hash"), "trade_id", F.lit(0.0).alias("price"))
+    incoming = inputs.trades.select(F.expr("CAST(trade_id div 3 AS STRING)").alias("trans_hash"), "trade_id", "price")
     return ingest.insert_or_ignore(stored, incoming, ingest.TRADE_KEY, ["trade_id"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradewake.operators import windows
 from tradewake.plans.catalog import query, r, rounded
-from tradewake.plans.inputs import Inputs
+from tradewake.plans.inputs import Inputs, PROFILE_DATE_CTE
 from tradewake.session import cut_lineage
 
 PIT_CTE = """
@@ -144,14 +144,14 @@ def trades_per_user_market(inputs: Inputs):
     """SELECT t.trade_id, t.address, t.timestamp,
       t.timestamp - COALESCE(LAG(t.timestamp) OVER (PARTITION BY t.address ORDER BY t.timestamp, t.trade_id), last_trade)
         AS time_since_last_trade
-      FROM trades t LEFT JOIN known k ON t.address = k.address WHERE t.condition_id % 10 = 0""",
-    "known AS (SELECT address, MAX(timestamp) AS last_trade FROM trades WHERE condition_id % 10 <> 0 GROUP BY address)",
+      FROM trades t LEFT JOIN known k ON t.address = k.address WHERE t.timestamp >= (SELECT since FROM profile_date)""",
+    PROFILE_DATE_CTE + ", known AS (SELECT address, MAX(timestamp) AS last_trade FROM trades WHERE timestamp < (SELECT since FROM profile_date) GROUP BY address)",
 )
 def time_since_last(inputs: Inputs):
-    live = inputs.trades.where("condition_id % 10 = 0").select("trade_id", "address", "timestamp")
-    past = inputs.trades.where("condition_id % 10 <> 0").groupBy("address").agg(F.max("timestamp").alias("last_trade"))
-    past = cut_lineage(past)
-    return windows.time_since_last(live, past)
+    """All trades from the profile date on, with the last trades before it."""
+    live = inputs.trades.where(F.col("timestamp") >= inputs.profile_date).select("trade_id", "address", "timestamp")
+    past = inputs.trades.where(F.col("timestamp") < inputs.profile_date).groupBy("address").agg(F.max("timestamp").alias("last_trade"))
+    return windows.time_since_last(live, cut_lineage(past))
 
 
 @query(
