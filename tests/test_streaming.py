@@ -1,5 +1,7 @@
 """Streams drained in several batches agree with the batch rules and can be repeated."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tradewake.session import scratch_path
@@ -52,25 +54,46 @@ def test_nothing_is_lost(spark):
     assert sorted(r["trade_id"] or 0 for r in jobs.ingested(spark, sink).collect()) == [0, 0, 1, 2, 5, 7]
 
 
+LIVE = "address long, trade_id long, timestamp long"
+
+
+def drained(spark, last, batches, score=None, sink=None, state=None):
+    """Newest versions after the batches, and the number of rows written."""
+    source, sink, state = scratch_path(spark, "live"), sink or scratch_path(spark, "gaps"), state or scratch_path(spark, "state")
+    for rows in batches:
+        spark.createDataFrame(rows, LIVE).coalesce(1).write.mode("append").parquet(source)
+        live = jobs.read_trade_files(spark, source, spark.createDataFrame([], LIVE).schema)
+        jobs.gaps_and_scores(live, last, sink, state, score)
+    return jobs.scored(spark, sink).collect(), spark.read.parquet(sink).count()
+
+
 def test_gap_is_remembered_across_batches(spark):
-    columns = ["address long", "trade_id long", "condition_id long", "timestamp long"]
-    fields = ", ".join([*columns, *[f"{c} double" for c in jobs._CARRIED], "last_trade double"])
-    source, sink = scratch_path(spark, "live"), scratch_path(spark, "gaps")
-
-    def rows(*items):
-        data = [(a, t, 1, ts, *[0.0] * len(jobs._CARRIED), last) for a, t, ts, last in items]
-        spark.createDataFrame(data, fields).coalesce(1).write.mode("append").parquet(source)
-
-    schema = spark.createDataFrame([], fields).schema
-    state = scratch_path(spark, "state")
-
-    def drain():
-        live = jobs.read_trade_files(spark, source, schema)
-        jobs.drain(jobs.with_time_since_last(live).select("trade_id", F.col("time_since_last_trade") * 1), jobs.store_in(sink), state)
-
-    rows((1, 10, 100, 40.0), (1, 11, 130, 40.0), (2, 12, 100, None))
-    drain()
-    rows((1, 13, 150, 40.0), (2, 14, 160, None))
-    drain()
-    out = {r[0]: r[1] for r in spark.read.parquet(sink).drop("batch_id").collect()}
-    assert out == {10: 60.0, 11: 30.0, 12: None, 13: 20.0, 14: 60.0}
+    last = spark.createDataFrame([(1, 40)], "address long, last_trade long")
+    out, _ = drained(spark, last, [[(1, 10, 100), (1, 11, 130), (2, 12, 100)], [(1, 13, 150), (2, 14, 160)]])
+    assert {r["trade_id"]: r[jobs.GAP] for r in out} == {10: 60.0, 11: 30.0, 12: None, 13: 20.0, 14: 60.0}
+
+
+def test_late_trades_correct_the_next_gap(spark):
+    rng = random.Random(9)
+    trades = [(rng.choice((1, 1, 1, 2, 3, 4)), i, rng.randint(1000, 1400)) for i in range(120)]
+    last = spark.createDataFrame([(1, 500), (4, 990)], "address long, last_trade long")
+    mixed = trades[:]
+    rng.shuffle(mixed)
+    # The second batch repeats part of the first.
+    out, written = drained(spark, last, [mixed[:50], mixed[40:90], mixed[90:]], lambda found: found.withColumn("double_gap", F.col(jobs.GAP) * 2))
+    want, known = {}, {1: 500, 4: 990}
+    for address, trade, at in sorted(trades, key=lambda t: (t[0], t[2], t[1])):
+        want[trade] = float(at - known[address]) if address in known else None
+        known[address] = at
+    assert {r["trade_id"]: r[jobs.GAP] for r in out} == want
+    assert all(r["double_gap"] == (None if r[jobs.GAP] is None else 2 * r[jobs.GAP]) for r in out)
+    # Only trades whose gap changed were stored again.
+    assert len(trades) < written < 2 * len(trades)
+
+
+def test_another_run_goes_on_from_the_stored_table(spark):
+    last = spark.createDataFrame([], "address long, last_trade long")
+    sink = scratch_path(spark, "gaps")
+    drained(spark, last, [[(1, 1, 100)]], sink=sink)
+    out, _ = drained(spark, last, [[(1, 2, 90), (None, 3, 5), (1, None, 6)]], sink=sink)
+    assert {r["trade_id"]: r[jobs.GAP] for r in out} == {1: 10.0, 2: None, 3: None, None: None}

@@ -106,14 +106,14 @@ def past_segments(inputs: Inputs):
     return cut_lineage(fit_segments(known).segment(known).select("address", "category"))
 
 
-def segment_models(train):
+def segment_models(train, columns=NEWER_COLUMNS):
     """A model of its own for every segment that has rows of both classes; the traders without a segment get a second one, on the price alone."""
     # One row per segment.
     classes = train.groupBy("category").agg(F.countDistinct(models.LABEL).alias("n")).collect()
-    fitted = {row["category"]: models.SegmentModels(fit_segment(train.where(F.col("category") == row["category"]), NEWER_COLUMNS))
+    fitted = {row["category"]: models.SegmentModels(fit_segment(train.where(F.col("category") == row["category"]), columns))
               for row in classes if row["n"] == 2 and row["category"] != -1}
     noise = train.where(~F.col("category").isin(*fitted)) if fitted else train
-    return fitted | {-1: models.SegmentModels(fit_segment(noise, NEWER_COLUMNS), fit_segment(noise, ("price",)))}
+    return fitted | {-1: models.SegmentModels(fit_segment(noise, columns), fit_segment(noise, ("price",)))}
 
 
 @query("score_live_segments")

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tradewake.functions import scalars
-from tradewake.operators.models import LIVE_THRESHOLD, MISSING, Classifier
+from tradewake.operators import windows
+from tradewake.operators.models import MISSING
 from tradewake.session import cut_lineage
 from tradewake.sources import ingest, tables
 
@@ -46,7 +45,7 @@ def store_in(sink: str) -> Callable[[DataFrame, int], None]:
 
 
 # Key ranges of the stored table; a batch reads only those its keys fall in.
-KEY_PARTS = 64
+KEY_PARTS = 16
 
 
 def batch_folder(sink: str, batch_id: int, run: str = "0") -> str:
@@ -87,7 +86,8 @@ def ingest_trades(stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[
         others = stored_rows(spark, sink, schema).where(F.col("key_part").isin(parts)) if parts else stored_rows(spark, sink, schema)
         others = others.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
         fresh = ingest.new_rows(others, parted, names, [event_time, *[c for c in schema.names if c not in (*names, event_time)]])
-        tables.write_table(fresh, batch_folder(sink, batch_id, run), partition_by=["key_part"])
+        # Rows of a range are brought together, so that a batch leaves few files; a range with very many rows is split.
+        tables.write_table(fresh.hint("rebalance", "key_part"), batch_folder(sink, batch_id, run), partition_by=["key_part"])
 
     drain(stream, store, checkpoint)
 
@@ -102,58 +102,74 @@ def ingested(spark: SparkSession, sink: str) -> DataFrame:
 LIVE_COLUMNS = (
     "time_since_start", "time_until_end", "hour_of_day", "winrate_prior", "time_since_last_trade", "usd_amount", "price", "direction",
 )
-_CARRIED = [c for c in LIVE_COLUMNS if c != "time_since_last_trade"]
-_LIVE = "address long, trade_id long, condition_id long, timestamp long, " + ", ".join(f"{c} double" for c in _CARRIED)
+GAP = "time_since_last_trade"
 
 
-def live_features(live: DataFrame, profiles: DataFrame, last_trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """Scoring inputs of new trades by stream-static joins with profiles and market times, and the known last trade."""
+def live_features(live: DataFrame, profiles: DataFrame, markets: DataFrame) -> DataFrame:
+    """Scoring inputs of new trades, whose gap is known, by joins with profiles and market times; other columns stay."""
     at = F.col("timestamp")
     dates = markets.select(
         "condition_id", scalars.epoch_of(F.col("created_at")).alias("_start"), scalars.epoch_of(F.col("end_date")).alias("_end")
     )
-    joined = live.join(profiles, "address", "left").join(last_trades, "address", "left").join(dates, "condition_id", "left")
+    joined = live.join(profiles.select("address", F.col("win_rate").alias("_win_rate")), "address", "left").join(dates, "condition_id", "left")
     missing = F.lit(MISSING)
-    return joined.select(
-        "address", "trade_id", "condition_id", "timestamp",
-        F.coalesce((at - F.col("_start")).cast("double"), missing).alias("time_since_start"),
-        F.coalesce((F.col("_end") - at).cast("double"), missing).alias("time_until_end"),
-        scalars.hour_of_day(at).cast("double").alias("hour_of_day"),
-        F.coalesce("win_rate", missing).alias("winrate_prior"),
-        "usd_amount", "price",
-        scalars.direction_flag(F.col("direction")).cast("double").alias("direction"),
-        F.col("last_trade").cast("double").alias("last_trade"),
-    )
-
-
-def _gaps(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """Seconds since the trader's previous trade, remembered across batches."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["timestamp", "trade_id"], ignore_index=True)
-    previous = rows["timestamp"].astype("float64").shift(1)
-    previous.iloc[0] = state.get[0] if state.exists else rows["last_trade"].iloc[0]
-    # A late trade must not set the clock back.
-    state.update((max(int(rows["timestamp"].iloc[-1]), state.get[0] if state.exists else -(2**62)),))
-    yield rows.drop(columns="last_trade").assign(time_since_last_trade=rows["timestamp"] - previous)
-
+    return joined.withColumns({
+        "time_since_start": F.coalesce((at - F.col("_start")).cast("double"), missing),
+        "time_until_end": F.coalesce((F.col("_end") - at).cast("double"), missing),
+        "hour_of_day": scalars.hour_of_day(at).cast("double"),
+        "winrate_prior": F.coalesce("_win_rate", missing),
+        "direction": scalars.direction_flag(F.col("direction")).cast("double"),
+        GAP: F.coalesce(GAP, missing),
+    }).drop("_start", "_end", "_win_rate")
+
+
+def latest(stored: DataFrame) -> DataFrame:
+    """The newest version of every stored trade; trades without an id all stay."""
+    columns = [c for c in stored.columns if c not in ("version", "run", "batch_id", "key_part")]
+    newest = stored.where("trade_id IS NOT NULL").groupBy("trade_id").agg(F.max_by(F.struct(*columns), "version").alias("_row"))
+    return newest.select("_row.*").unionByName(stored.where("trade_id IS NULL").select(*columns))
+
+
+def gaps_and_scores(stream: DataFrame, last_trades: DataFrame, sink: str, checkpoint: str, score: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Store every trade with the seconds since its trader's previous one, falling back to ``last_trade``, and what ``score`` adds.
+
+    A batch takes its traders' earlier trades from the stored table, of which it reads the key ranges it touches, so nothing rests on stream
+    state. A late trade gets its own gap and corrects that of the trade that follows it, which is scored and stored again as a
+    newer version; whatever the batches, the newest versions are those of one batch with all trades. The windows cut traders with very
+    many trades. A batch writes a folder of its own, so repeating it changes nothing. Trades need an address and an id; others have no
+    gap and are stored once per arrival.
+    """
+    run = run_name(checkpoint)
+    raw = stream.schema
+    kept = T.StructType([*raw.fields, T.StructField(GAP, T.DoubleType()), T.StructField("version", T.LongType())])
 
-def with_time_since_last(features: DataFrame) -> DataFrame:
-    """Add the seconds since the trader's previous trade, falling back to ``last_trade``.
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        parted = cut_lineage(batch.withColumn("key_part", F.pmod(F.xxhash64("address"), F.lit(KEY_PARTS)).cast("int")))
+        # At most KEY_PARTS rows.
+        parts = [r["key_part"] for r in parted.select("key_part").distinct().collect()]
+        others = stored_rows(spark, sink, kept).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+        version = 1 + (others.agg(F.max("version")).first()[0] or 0)
+        known = parted.where("address IS NOT NULL AND trade_id IS NOT NULL")
+        traders = cut_lineage(known.select("address").distinct())
+        earlier = latest(others.where(F.col("key_part").isin(parts)).join(traders, "address", "left_semi").where("trade_id IS NOT NULL"))
+        # A trade that arrives again is no news.
+        known = known.dropDuplicates(["trade_id"]).join(earlier.select("trade_id"), "trade_id", "left_anti")
+        fresh = known.drop("key_part").withColumns({"_was": F.lit(None).cast("double"), "_new": F.lit(True)})
+        both = cut_lineage(fresh.unionByName(earlier.withColumnRenamed(GAP, "_was").withColumn("_new", F.lit(False))))
+        gapped = windows.time_since_last(both, last_trades).withColumn(GAP, F.col(GAP).cast("double"))
+        changed = gapped.where(F.col("_new") | ~F.col("_was").eqNullSafe(F.col(GAP))).drop("_was", "_new")
+        loose = parted.where("address IS NULL OR trade_id IS NULL").drop("key_part").withColumn(GAP, F.lit(None).cast("double"))
+        found = cut_lineage(changed.select(*raw.names, GAP).unionByName(loose.select(*raw.names, GAP)))
+        if score is not None:
+            added = score(found.where("trade_id IS NOT NULL").dropDuplicates(["trade_id"]))
+            found = found.join(added.select("trade_id", *[c for c in added.columns if c not in found.columns]), "trade_id", "left")
+        found = found.withColumns({"version": F.lit(version).cast("long"), "key_part": F.pmod(F.xxhash64("address"), F.lit(KEY_PARTS)).cast("int")})
+        tables.write_table(found.hint("rebalance", "key_part"), batch_folder(sink, batch_id, run), partition_by=["key_part"])
 
-    One trader's rows of a micro-batch are sorted together, so the batch size
-    limits them. It comes after the joins: nothing is shuffled behind it.
-    """
-    return features.groupBy("address").applyInPandasWithState(
-        _gaps,
-        outputStructType=_LIVE + ", time_since_last_trade double",
-        stateStructType="last_timestamp long",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    drain(stream, store, checkpoint)
 
 
-def score_trades(live: DataFrame, profiles: DataFrame, last_trades: DataFrame, markets: DataFrame, model: Classifier, sink: str,
-                 checkpoint: str) -> None:
-    """Score new trades and store them, one folder per batch."""
-    gapped = with_time_since_last(live_features(live, profiles, last_trades, markets))
-    inputs = gapped.withColumn("time_since_last_trade", F.coalesce("time_since_last_trade", F.lit(MISSING)))
-    drain(model.score(inputs, threshold=LIVE_THRESHOLD), store_in(sink), checkpoint)
+def scored(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest version of every trade of a live table."""
+    return latest(spark.read.parquet(sink))
