@@ -23,7 +23,7 @@ NEIGHBOUR = 13
 LEAF_POINTS = 24
 FAN_OUT = 8
 # Leaves met in the first round and at most in a later one.
-FIRST_ROUND, LARGEST_ROUND = 4, 32
+FIRST_ROUND, LARGEST_ROUND = 8, 32
 
 
 def _total(parts: list[Column]) -> Column:
@@ -33,13 +33,11 @@ def _total(parts: list[Column]) -> Column:
 def principal_axes(points: DataFrame, axes: Sequence[str]) -> np.ndarray:
     """Orthonormal columns by falling variance."""
     d = len(axes)
-    means = points.agg(*[F.avg(a) for a in axes]).first()
-    away = [F.col(a) - F.lit(float(m or 0.0)) for a, m in zip(axes, means)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = points.agg(*[F.avg(away[i] * away[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
+    found = points.agg(*[F.covar_pop(axes[i], axes[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
     matrix = np.zeros((d, d))
-    for (i, j), s in zip(pairs, sums):
-        matrix[i, j] = matrix[j, i] = s or 0.0
+    for (i, j), value in zip(pairs, found):
+        matrix[i, j] = matrix[j, i] = value or 0.0
     return np.linalg.eigh(matrix)[1][:, ::-1]
 
 
@@ -151,7 +149,7 @@ class Tree:
             points = self.leaves.select(F.col("leaf").alias("partner"), "points")
             gathered = met.join(points, "partner").groupBy(F.col("leaf").alias("id")).agg(F.flatten(F.collect_list("points")).alias("partners"))
             state = cut_lineage(state.join(gathered, "id", "left").mapInPandas(_each(meet), schema))
-            done, size = done + size, min(2 * size, LARGEST_ROUND)
+            done, size = done + size, min(4 * size, LARGEST_ROUND)
 
 
 def _each(meet: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -133,9 +133,9 @@ def paged_eligible(
     )
 
 
-def text_position(column: Column) -> Column:
-    """Number that orders like the first seven bytes of a text."""
-    return F.conv(F.hex(F.rpad(F.substring(column.cast("binary"), 1, 7), 7, b"\x00")), 16, 10).cast("long")
+def text_position(column: Column, part: int = 0) -> Column:
+    """Number that orders like the bytes of a text from 7 * part on, seven of them."""
+    return F.conv(F.hex(F.rpad(F.substring(column.cast("binary"), 7 * part + 1, 7), 7, b"\x00")), 16, 10).cast("long")
 
 
 def address_bounds(addresses: DataFrame, ranges: int = ADDRESS_RANGES, policy: SplitPolicy = DEFAULT_POLICY) -> list:
@@ -146,8 +146,11 @@ def address_bounds(addresses: DataFrame, ranges: int = ADDRESS_RANGES, policy: S
         return []
     order = ["address"]
     if dict(distinct.dtypes)["address"] == "string":
-        distinct = distinct.withColumn("_at", text_position(F.col("address")))
-        order = ["_at", "address"]
+        # As many numbers as the longest text needs, so that texts alike in their first bytes can be told apart too.
+        longest = distinct.agg(F.max(F.octet_length("address"))).first()[0] or 0
+        order = [f"_at_{part}" for part in range(-(-longest // 7))]
+        distinct = distinct.withColumns({name: text_position(F.col("address"), part) for part, name in enumerate(order)})
+        order = [*order, "address"]
     wanted = sorted({i * (total // ranges) + 1 for i in range(ranges)})
     numbered = prefix.nth_rows(distinct, ["_all"], order, "_nth", policy)
     return [row["address"] for row in numbered.where(F.col("_nth").isin(wanted)).orderBy("_nth").collect()]

@@ -8,7 +8,8 @@ from tradewake.functions import labels, scalars
 from tradewake.operators import aggregates, relations, windows
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
-from tradewake.session import cut_lineage
+from tradewake.session import cut_lineage, scratch_path
+from tradewake.sources import layout, tables
 
 TARGET_MARKET = 7
 
@@ -193,10 +194,25 @@ def filter_resolved(inputs: Inputs):
       WHERE condition_id = {TARGET_MARKET} OR address = 3 OR (direction = 'BUY' AND price > 0.5)""",
 )
 def point_lookup(inputs: Inputs):
-    wanted = (
-        (F.col("condition_id") == TARGET_MARKET) | (F.col("address") == 3) | ((F.col("direction") == "BUY") & (F.col("price") > 0.5))
-    )
-    return inputs.trades.where(wanted).select("trade_id", "address", "condition_id", "direction", "price")
+    """A lookup table in order of the market with Bloom filters on the trader; each condition is a scan of its own."""
+    path = scratch_path(inputs.spark, "lookup")
+    trades = inputs.trades.select("trade_id", "address", "condition_id", "direction", "price")
+    layout.write_lookup(trades, path, "condition_id", ["address"], distinct=100_000)
+    return layout.lookup(inputs.spark, path, F.col("condition_id") == TARGET_MARKET, F.col("address") == 3, (F.col("direction") == "BUY") & (F.col("price") > 0.5))
+
+
+@query(
+    "replace_category",
+    """SELECT trade_id, price + CASE WHEN category = 'Home' THEN 1 ELSE 0 END AS price, category
+      FROM (SELECT trade_id, price, outcome AS category FROM named_trades)""",
+)
+def replace_category(inputs: Inputs):
+    """Trades stored by outcome name; one name's trades are written anew and the other folders stay."""
+    path = scratch_path(inputs.spark, "categories")
+    trades = with_outcome(inputs.trades).select("trade_id", "price", F.col("outcome").alias("category"))
+    layout.replace_parts(trades, path, "category")
+    layout.replace_parts(trades.where("category = 'Home'").withColumn("price", F.col("price") + 1), path, "category")
+    return tables.read_table(inputs.spark, path)
 
 
 @query(

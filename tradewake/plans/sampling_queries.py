@@ -8,6 +8,8 @@ from tradewake.operators import sampling, windows
 from tradewake.plans.aggregate_queries import PROFILE_CTE, segmented_profile
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs
+from tradewake.session import scratch_path
+from tradewake.sources import layout
 
 HASH = "({} * 7919 + 42) % 10007"
 TRADE_HASH = HASH.format("trade_id")
@@ -91,15 +93,19 @@ def paged_eligible_trades(inputs: Inputs):
     "split_by_bucket",
     """SELECT trade_id, t.address, CAST((SELECT COUNT(*) FROM bounds WHERE bounds.address <= t.address) AS INT) AS bucket,
       (SELECT COUNT(*) FROM bounds WHERE bounds.address <= t.address) <= 4 AS is_train
-      FROM trades t WHERE t.address % 4 = 0""",
+      FROM trades t""",
     """members AS (SELECT address, ROW_NUMBER() OVER (ORDER BY address) - 1 AS nth, COUNT(*) OVER () AS n
-      FROM (SELECT DISTINCT address FROM trades WHERE address % 4 = 0)),
+      FROM (SELECT DISTINCT address FROM trades)),
     bounds AS (SELECT address FROM members WHERE nth % (n // 5) = 0 AND nth // (n // 5) < 5)""",
 )
 def split_by_bucket(inputs: Inputs):
-    members = inputs.trades.where("address % 4 = 0").select("trade_id", "address")
-    bounds = sampling.address_bounds(members)
-    return sampling.with_address_range(members, bounds).withColumn("is_train", F.col("bucket") < sampling.TRAIN_RANGES)
+    """All trades laid out by address range; the training part and the rest each open only their folders."""
+    members = inputs.trades.select("trade_id", "address")
+    path = scratch_path(inputs.spark, "ranges")
+    layout.write_ranges(members, path, sampling.address_bounds(members))
+    trained = F.col(layout.RANGE) < sampling.TRAIN_RANGES
+    parts = [layout.read_ranges(inputs.spark, path, wanted).withColumn("is_train", F.lit(value)) for wanted, value in ((trained, True), (~trained, False))]
+    return parts[0].unionByName(parts[1]).select("trade_id", "address", "bucket", "is_train")
 
 
 @query(

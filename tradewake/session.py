@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Iterator
@@ -58,8 +59,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-# Lists of the stages written inside the scopes that are open.
-_SCOPES: list[list[str]] = []
+# Lists of the stages written inside the scopes that are open; the first holds those outside of any.
+_SCOPES: list[list[str]] = [[]]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager
@@ -74,9 +81,21 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCOPES.remove(written)
-        for path in written:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, written)
+
+
+def delete_stages(spark: SparkSession) -> None:
+    """Deletes all stages written so far outside of scopes; frames that read them can't be computed any more."""
+    _delete(spark, _SCOPES[0])
+    _SCOPES[0].clear()
+
+
+def _delete_at_exit(spark: SparkSession) -> None:
+    try:
+        delete_stages(spark)
+    except Exception:
+        # The gateway may be gone already; the files then stay for whoever clears the shared folder.
+        pass
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -91,7 +110,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they need, and see the true size of the table when choosing a join.
     """
     path = scratch_path(df.sparkSession, "stage")
-    for written in _SCOPES:
-        written.append(path)
+    if not _SCOPES[0]:
+        atexit.unregister(_delete_at_exit)
+        atexit.register(_delete_at_exit, df.sparkSession)
+    _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
