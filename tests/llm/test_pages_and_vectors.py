@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -37,6 +38,27 @@ def test_blocks_of_untidy_html():
     assert htmltext.main_text("", {}) == ""
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="content no-sidebar"><article><p>Hello</p></article></div>', "Hello"),
+    ('<main class="page has-sidebar"><p>Hello</p></main>', "Hello"),
+    ('<article class="post tags-news"><p>Hello</p></article>', "Hello"),
+    ('<article><p>Hello</p><div class="related-work"><p>Work</p></div></article>', "Hello\nWork"),
+    ('<div class="sidebar layout"><div class="ad">x</div><article><p>Hello</p></article></div>', "Hello"),
+    ('<div class="main-nav">menu</div><div class="text"><p>Hello</p></div><div class="comment-list">c</div>', "Hello"),
+    ('<article><p>Hello</p><section id="comments"><article class="comment">rude</article></section></article><article class="comment">rude</article>', "Hello"),
+    ('<div class="share-bar">s</div><nav><article>x</article></nav><p>Hello</p>', "Hello"),
+])
+def test_names_of_elements(page, text):
+    assert htmltext.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<li>" * 20_000])
+def test_stray_tags_take_no_longer_than_others(page):
+    start = time.perf_counter()
+    assert htmltext.main_text(page, {}) == ""
+    assert time.perf_counter() - start < 3
+
+
 @pytest.mark.parametrize("page", ["<b" * 100_000, "<div>" * 50_000 + "x", '<p a="' * 20_000, "<!--" * 50_000, "</p>" * 50_000])
 def test_hostile_html_ends_soon(page):
     assert len(htmltext.main_text(page, {})) <= 1

@@ -11,8 +11,9 @@ node two counts tell how much the pages differ there, as entropies over the page
 Pages of a host whose allowed text is the same but for headings count once, so copies don't pass for menus. A node with text has
 the importance of its content, one without text that of its presentation and of the nodes
 beneath. Branches below ``LEAST_IMPORTANCE`` go, except inside an article or main element. Hosts with few pages lean on the tree of all
-hosts, by weight of pages. Elements that by their tag or class name are not main text (scripts, forms, menus,
-adverts, comments and the like) go in any case.
+hosts, by weight of pages. Elements that by their tag, or by a whole name of their class, id or role, are not main text (scripts, forms, menus,
+adverts, comments and the like) go in any case; but names decide nothing about an article or main element, or what lies around one, unless they say it is a
+reader's comment.
 
 The tree is built by counting, with map-side combining; pages then meet the unimportant paths of their host in a join that can be split
 at run time. So a host with a third of all pages is spread over tasks. A host's tree has one row per path and is never gathered.
@@ -59,6 +60,10 @@ NOT_TEXT_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead topbar header toolbar "
     "comment comments disqus respond reply replies share sharing social related recommended subscribe subscription newsletter signup login search pagination pager tags".split()
 )
+# In a name of several words the last one says what it is, but for words for a container; a first word of these turns it round.
+CONTAINERS = frozenset("list box bar container wrapper wrap area block links section thread inner item items body form panel".split())
+STATES = frozenset("no has with without not is".split())
+COMMENT_WORDS = frozenset("comment comments respond reply replies".split())
 # Within an article its own heading lines are text.
 HEADED = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -72,24 +77,43 @@ WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 
 
+# Why an element is no main text.
+BY_NAME, FIRM = 1, 2
+
+
 class Node:
+    """An open element. ``banned`` is 0, BY_NAME or FIRM; the first can be lifted by an article inside."""
+
     __slots__ = ("tag", "path", "depth", "banned", "headed")
 
-    def __init__(self, tag: str, path: str, depth: int, banned: bool, headed: bool):
+    def __init__(self, tag: str, path: str, depth: int, banned: int, headed: bool):
         self.tag, self.path, self.depth, self.banned, self.headed = tag, path, depth, banned, headed
 
 
+def meant(name: str) -> str:
+    """The word of a class name, id or role that says what the element is; empty if it only says what it has or lacks."""
+    words = WORDS.findall(name)
+    if not words or (len(words) > 1 and words[0] in STATES):
+        return ""
+    while len(words) > 1 and words[-1] in CONTAINERS:
+        words.pop()
+    return words[-1]
+
+
 def opened(parent: Node, tag: str, attributes: str) -> Node:
     """The node of an element below its parent."""
     names = ""
-    banned = parent.banned or tag in NOT_TEXT or (tag == "header" and not parent.headed)
+    banned = FIRM if tag in NOT_TEXT or (tag == "header" and not parent.headed) else parent.banned
     if attributes:
         found = CLASS.search(attributes)
         if found:
             names = DIGITS.sub("N", ".".join(sorted((found[1] or found[2] or found[3] or "").lower().split())))
-        if not banned and tag not in ("html", "body"):
-            said = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-            banned = bool(said and not NOT_TEXT_WORDS.isdisjoint(WORDS.findall(said))) or bool(HIDDEN.search(attributes))
+        if banned < FIRM and tag not in ("html", "body"):
+            said = {meant(name) for a, b, c in NAMES.findall(attributes) for name in (a or b or c).lower().split()}
+            if HIDDEN.search(attributes):
+                banned = FIRM
+            elif not said.isdisjoint(COMMENT_WORDS if tag in HEADED else NOT_TEXT_WORDS):
+                banned = FIRM if tag in HEADED else BY_NAME
     headed = parent.headed or tag in HEADED
     if parent.depth >= DEEPEST:
         return Node(tag, parent.path, parent.depth, banned, headed)
@@ -101,8 +125,10 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
 
     One pass over the tags; text is gathered until a block begins or ends.
     """
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, 0, False)
     stack, found, children = [root], [], {}
+    # How often each tag is open, so that an end tag without a beginning costs nothing.
+    open_tags: Counter = Counter()
     pending: list[str] = []
     owner = root
 
@@ -114,11 +140,17 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
                 found.append((owner, text))
             pending = []
 
+    def cut(at: int) -> None:
+        open_tags.subtract(node.tag for node in stack[at:])
+        del stack[at:]
+
     def close(tags: tuple[str, ...], fences: frozenset[str]) -> None:
+        if not any(open_tags[tag] > 0 for tag in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 flush()
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in fences:
                 return
@@ -147,12 +179,12 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
         if token[1]:
             if tag in BLOCKS:
                 flush()
-            if tag == "p" or tag in BLOCKS or tag not in VOID:
+            if tag not in VOID and open_tags[tag] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         if stack[i].banned != stack[i - 1].banned:
                             flush()
-                        del stack[i:]
+                        cut(i)
                         break
                     if tag not in BLOCKS and stack[i].tag in BLOCKS:
                         break
@@ -173,7 +205,9 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
         # Formatting that was left open ends with its block.
         if tag in BLOCKS:
             while len(stack) > 1 and stack[-1].tag not in BLOCKS and not stack[-1].banned:
-                stack.pop()
+                cut(len(stack) - 1)
+        if tag in HEADED and not stack[-1].headed:
+            flush()
         node = opened(stack[-1], tag, token[3])
         if tag in BLOCKS:
             children.setdefault(stack[-1].path, []).append(tag)
@@ -182,9 +216,14 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if tag in HEADED and not stack[-1].headed and node.banned == BY_NAME:
+            # What holds an article isn't a sidebar, whatever its name.
+            for above in (*stack, node):
+                above.banned = 0
         if node.banned and not stack[-1].banned:
             flush()
         stack.append(node)
+        open_tags[tag] += 1
     flush()
     return found, children
 
