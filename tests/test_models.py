@@ -41,6 +41,42 @@ def test_trees_beat_the_baseline(planted):
     assert all(n > 0 for _, _, n in ranked[:2])
 
 
+def test_stop_round():
+    assert models.stop_round([3.0, 2.0, 2.5, 1.0, 1.1, 1.2], 10) == 4
+    assert models.stop_round([3.0, 2.0, 2.5, 2.1, 1.0], 2) == 2
+    assert models.stop_round([1.0], 1) == 1 and models.stop_round([2.0, 2.0, 2.0], 5) == 1
+
+
+def test_boosting_stops_at_the_best_round_of_the_holdout(spark, planted):
+    rows = planted.withColumn("holdout", F.col("trade_id") % 4 == 0)
+    settings = {"rounds": 14, "rate": 0.9, "depth": 5}
+    whole = models.fit_boosted(rows.where("not holdout"), COLUMNS, **settings)
+    losses = models.holdout_losses(whole, rows.where("holdout"))
+    assert len(losses) == 14
+    best, since = 0, 0
+    for i in range(1, 14):
+        best, since = (i, 0) if losses[i] < losses[best] else (best, since + 1)
+        if since == 3:
+            break
+    stopped = models.fit_boosted(rows, COLUMNS, **settings, holdout="holdout", patience=3)
+    assert stopped.estimator.getNumTrees == best + 1 < 14
+    # The trees kept are the first ones, scores come out, and the model can be saved.
+    assert models.holdout_losses(stopped, rows.where("holdout")) == pytest.approx(losses[: best + 1])
+    path = scratch_path(spark, "model")
+    stopped.save(path)
+    again = models.load_classifier(path)
+    assert again.score(planted).agg(F.sum("predicted_prob")).first()[0] == pytest.approx(stopped.score(planted).agg(F.sum("predicted_prob")).first()[0])
+    assert models.importances(stopped)[0][0] in ("price", "noise")
+
+
+def test_network_keeps_its_best_epoch(planted):
+    rows = planted.withColumn("holdout", F.col("trade_id") % 4 == 0)
+    model, losses = models.fit_network_epochs(rows, COLUMNS, "holdout", (4,), rounds=24, patience=2, epoch=3)
+    best = losses.index(min(losses))
+    assert 1 < len(losses) <= 8 and (len(losses) == 8 or len(losses) == best + 3)
+    assert models.log_loss(model.score(rows.where("holdout"))) == pytest.approx(min(losses)) and min(losses) < losses[0]
+
+
 def test_same_seed_same_scores(planted):
     a, b = (models.fit_forest(planted, COLUMNS, trees=5, depth=4).score(planted).agg(F.sum("predicted_prob")).first()[0] for _ in range(2))
     assert a == pytest.approx(b)

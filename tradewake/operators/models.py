@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -34,6 +35,8 @@ FOREST = {"trees": 100, "depth": 10, "features_per_split": "3"}
 FOREST_SAMPLE = 100_000
 BOOSTED = {"rounds": 300, "rate": 0.02, "depth": 8, "row_share": 0.8, "column_share": 0.8}
 BOOSTED_SEGMENT = {"rounds": 50, "rate": 0.05, "depth": 5, "row_share": 0.7, "column_share": 0.8, "bins": 128}
+# Rounds or epochs without a gain after which training ends.
+PATIENCE = {"boosted": 10, "network": 7}
 NETWORK = {"hidden": (64, 32, 16), "rounds": 75}
 DECISION_THRESHOLD, CONFIDENT, LIVE_THRESHOLD = 0.5, 0.7, 0.8
 
@@ -171,28 +174,99 @@ def fit_forest(train: DataFrame, columns: Sequence[str], trees: int = 100, depth
     return _fit(train, columns, estimator)
 
 
+def stop_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds to keep: those up to the best loss, looking no further once ``patience`` rounds brought nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_rounds(boosted: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first trees of another."""
+    gateway = SparkSession.active().sparkContext._gateway
+    java, jvm = boosted._java_obj, gateway.jvm.org.apache.spark.ml
+    trees = gateway.new_array(jvm.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    return boosted._copyValues(GBTClassificationModel(jvm.classification.GBTClassificationModel(boosted.uid, trees, weights)))
+
+
+def holdout_losses(classifier: Classifier, rows: DataFrame) -> list[float]:
+    """Loss on the rows after each round of a boosted classifier."""
+    ready = classifier.model.stages[0].transform(rows)
+    # The evaluation reads the columns by their default names.
+    return list(classifier.estimator.evaluateEachIteration(ready.select(F.col(LABEL).alias("label"), F.col("_features").alias("features"), LABEL, "_features")))
+
+
 def fit_boosted(
     train: DataFrame, columns: Sequence[str], rounds: int = 300, rate: float = 0.02, depth: int = 8, row_share: float = 0.8,
-    column_share: float = 0.8, bins: int = 32, holdout: str | None = None,
+    column_share: float = 0.8, bins: int = 32, holdout: str | None = None, patience: int = PATIENCE["boosted"],
 ) -> Classifier:
-    """Boosted trees; ``holdout`` names a boolean column whose rows decide early stopping."""
+    """Boosted trees; ``holdout`` names a boolean column whose rows decide which rounds are kept.
+
+    All rounds are fitted on the other rows; the ensemble is then cut after its best round on the holdout, where
+    ``patience`` rounds without a gain end the search.
+    """
     # Boosting checkpoints its running predictions every few rounds.
     shared_folder(train.sparkSession)
     estimator = GBTClassifier(
         maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=row_share, featureSubsetStrategy=str(column_share),
         maxBins=bins, seed=SEED, checkpointInterval=10,
     )
-    if holdout:
-        estimator = estimator.setValidationIndicatorCol(holdout)
-    return _fit(train, columns, estimator)
-
-
-def fit_network(train: DataFrame, columns: Sequence[str], hidden: Sequence[int] = (64, 32, 16), rounds: int = 75) -> Classifier:
-    """Feed-forward network on standardised columns."""
+    if holdout is None:
+        return _fit(train, columns, estimator)
+    fitted = _fit(train.where(~F.col(holdout)), columns, estimator)
+    held = train.where(holdout)
+    if held.isEmpty():
+        return fitted
+    kept = stop_round(holdout_losses(fitted, held), patience)
+    return replace(fitted, model=PipelineModel([fitted.model.stages[0], first_rounds(fitted.estimator, kept)]))
+
+
+def log_loss(scored: DataFrame, probability: str = "predicted_prob") -> float:
+    p = F.greatest(F.least(F.col(probability), F.lit(1 - 1e-15)), F.lit(1e-15))
+    return scored.agg(F.avg(-F.when(F.col(LABEL) == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+
+def fit_network(train: DataFrame, columns: Sequence[str], hidden: Sequence[int] = (64, 32, 16), rounds: int = 75, holdout: str | None = None,
+                patience: int = PATIENCE["network"], epoch: int = 5) -> Classifier:
+    """Feed-forward network on standardised columns; with a holdout, as ``fit_network_epochs`` does."""
+    if holdout is not None:
+        return fit_network_epochs(train, columns, holdout, hidden, rounds, patience, epoch)[0]
     estimator = MultilayerPerceptronClassifier(layers=[len(columns), *hidden, 2], maxIter=rounds, seed=SEED, solver="l-bfgs")
     return _fit(train, columns, estimator, Scaler.fit(train, columns))
 
 
+def fit_network_epochs(train: DataFrame, columns: Sequence[str], holdout: str, hidden: Sequence[int] = (64, 32, 16), rounds: int = 75,
+                       patience: int = PATIENCE["network"], epoch: int = 5) -> tuple[Classifier, list[float]]:
+    """The network of the best epoch, and the holdout's loss after each.
+
+    An epoch is a few rounds that start from the weights of the one before; training ends after ``patience`` epochs without a gain, or
+    when the rounds are used up.
+    """
+    own, held = cut_lineage(train.where(~F.col(holdout))), cut_lineage(train.where(holdout))
+    scaler = Scaler.fit(own, columns)
+    best, losses, weights = None, [], None
+    for _ in range(-(-rounds // epoch)):
+        estimator = MultilayerPerceptronClassifier(layers=[len(columns), *hidden, 2], maxIter=epoch, seed=SEED, solver="l-bfgs")
+        if weights is not None:
+            estimator = estimator.setInitialWeights(weights)
+        fitted = _fit(own, columns, estimator, scaler)
+        weights = fitted.estimator.weights
+        loss = log_loss(fitted.score(held))
+        losses.append(float("inf") if loss is None else loss)
+        if best is None or losses[-1] < min(losses[:-1]):
+            best = fitted
+        if len(losses) - 1 - losses.index(min(losses)) >= patience:
+            break
+    return best, losses
+
+
 # --------------------------------------------------------------------------- reading a model
 
 

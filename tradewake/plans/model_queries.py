@@ -105,7 +105,8 @@ def model_gbt_segment(inputs: Inputs):
 @query("model_mlp")
 def model_mlp(inputs: Inputs):
     train, test = _split(training_rows(inputs))
-    return _measured(models.fit_network(train, MODEL_COLUMNS, **models.NETWORK), test)
+    rows = train.withColumn("holdout", draw("holdout") % 10 == 0)
+    return _measured(models.fit_network(rows, MODEL_COLUMNS, holdout="holdout", **models.NETWORK), test)
 
 
 @query("cv_scores")
