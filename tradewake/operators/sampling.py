@@ -133,9 +133,14 @@ def paged_eligible(
     )
 
 
+# Bytes of a text that make one number; six stay exact where ranges are cut by floating point.
+TEXT_BYTES = 6
+
+
 def text_position(column: Column, part: int = 0) -> Column:
-    """Number that orders like the bytes of a text from 7 * part on, seven of them."""
-    return F.conv(F.hex(F.rpad(F.substring(column.cast("binary"), 7 * part + 1, 7), 7, b"\x00")), 16, 10).cast("long")
+    """Number that orders like the TEXT_BYTES bytes of a text from its part-th group on."""
+    piece = F.substring(column.cast("binary"), TEXT_BYTES * part + 1, TEXT_BYTES)
+    return F.conv(F.hex(F.rpad(piece, TEXT_BYTES, b"\x00")), 16, 10).cast("long")
 
 
 def address_bounds(addresses: DataFrame, ranges: int = ADDRESS_RANGES, policy: SplitPolicy = DEFAULT_POLICY) -> list:
@@ -148,7 +153,7 @@ def address_bounds(addresses: DataFrame, ranges: int = ADDRESS_RANGES, policy: S
     if dict(distinct.dtypes)["address"] == "string":
         # As many numbers as the longest text needs, so that texts alike in their first bytes can be told apart too.
         longest = distinct.agg(F.max(F.octet_length("address"))).first()[0] or 0
-        order = [f"_at_{part}" for part in range(-(-longest // 7))]
+        order = [f"_at_{part}" for part in range(-(-longest // TEXT_BYTES))]
         distinct = distinct.withColumns({name: text_position(F.col("address"), part) for part, name in enumerate(order)})
         order = [*order, "address"]
     wanted = sorted({i * (total // ranges) + 1 for i in range(ranges)})
