@@ -44,9 +44,9 @@ START = "▁"
 SHARED = 0.01
 # Probability of a letter outside the vocabulary.
 RARE = 1e-8
-# Words whose scores a Python worker keeps, some 60 MB with four languages, and the words that are read at a time.
-MEMORY = 350_000
-AT_ONCE = 100_000
+# Words and runs of letters whose scores a Python worker keeps, some 80 MB with four languages, and the words that are read at a time.
+MEMORY = 600_000
+AT_ONCE = 500_000
 # Below this certainty the pipeline drops a document.
 ACCEPT = 0.35
 
@@ -206,15 +206,20 @@ class WordScores:
         self.number = {piece: i + 2 for i, piece in enumerate(model.pieces)}
         width = len(self.languages)
         self.pieces = np.array([[0.0] * width, [RARE] * width, *model.pieces.values()]).reshape(-1, width)
+        # Rows of words as they stand in texts, and of runs of letters: words that differ in case or punctuation share a row.
         self.known: dict[bytes, int] = {}
+        self.runs: dict[str, int] = {}
         # Row 0 is for words without letters.
-        self.table = np.zeros((MEMORY + 1, width + 1), dtype=np.float32)
+        self.table = np.zeros((1024, width + 1), dtype=np.float32)
         self.used = 1
 
     def forget(self) -> None:
-        """Drops the later half of the words; the common ones are met early."""
-        self.used = 1 + self.used // 2 if self.known else 1
-        self.known = {w: i for w, i in self.known.items() if i < self.used and i}
+        """Drops what was learned in the later half; the common words are met early."""
+        self.used = 1 + self.used // 2
+        self.known = {w: i for w, i in self.known.items() if i < self.used}
+        self.runs = {r: i for r, i in self.runs.items() if i < self.used}
+        if len(self.known) + len(self.runs) > MEMORY // 2:
+            self.known, self.runs, self.used = {}, {}, 1
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability per language of words of one length: the forward sums of all of them at once."""
@@ -230,28 +235,34 @@ class WordScores:
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers the scores of these words, at most AT_ONCE."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
+        split = {w: runs(w.decode("utf-8", "replace")) for w in words - self.known.keys()}
+        # A word takes a row at most, and each of its runs.
+        if len(self.known) + len(self.runs) + len(split) + sum(map(len, split.values())) > MEMORY:
             self.forget()
-            new = words - self.known.keys()
-        split = {w: runs(w.decode("utf-8", "replace")) for w in new}
+            split = {w: runs(w.decode("utf-8", "replace")) for w in words - self.known.keys()}
         grouped: dict[int, list[str]] = {}
-        for run in {r for parts in split.values() for r in parts}:
+        for run in {r for parts in split.values() for r in parts} - self.runs.keys():
             grouped.setdefault(len(run), []).append(run)
-        at, rows = {}, []
         for length, group in grouped.items():
             for start in range(0, len(group), 4096):
                 some = group[start : start + 4096]
-                at.update(zip(some, range(len(at), len(at) + len(some))))
-                rows.append(np.column_stack([self.score(some), np.full(len(some), float(length))]))
-        scores = np.concatenate(rows) if rows else None
+                self._make_room(len(some))
+                self.table[self.used : self.used + len(some), :-1] = self.score(some)
+                self.table[self.used : self.used + len(some), -1] = length
+                self.runs.update(zip(some, range(self.used, self.used + len(some))))
+                self.used += len(some)
         for word, parts in split.items():
-            if parts:
-                self.table[self.used] = scores[at[parts[0]]] if len(parts) == 1 else scores[[at[p] for p in parts]].sum(axis=0)
+            if len(parts) > 1:
+                self._make_room(1)
+                self.table[self.used] = self.table[[self.runs[p] for p in parts]].sum(axis=0)
                 self.known[word] = self.used
                 self.used += 1
             else:
-                self.known[word] = 0
+                self.known[word] = self.runs[parts[0]] if parts else 0
+
+    def _make_room(self, rows: int) -> None:
+        if self.used + rows > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), rows), self.table.shape[1]), dtype=np.float32)])
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.languages:
