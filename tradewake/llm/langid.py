@@ -210,7 +210,7 @@ class WordScores:
         self.known: dict[bytes, int] = {}
         self.runs: dict[str, int] = {}
         # Row 0 is for words without letters.
-        self.table = np.zeros((1024, width + 1), dtype=np.float32)
+        self.table = np.zeros((1024, width + 1))
         self.used = 1
 
     def forget(self) -> None:
@@ -262,7 +262,7 @@ class WordScores:
 
     def _make_room(self, rows: int) -> None:
         if self.used + rows > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), rows), self.table.shape[1]), dtype=np.float32)])
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), rows), self.table.shape[1]))])
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.languages:
@@ -274,7 +274,7 @@ class WordScores:
         def flush() -> None:
             self.learn({w for _, part in waiting for w in part})
             for i, part in waiting:
-                sums[i] += self.table[list(map(self.known.__getitem__, part))].sum(axis=0, dtype=float)
+                sums[i] += self.table[list(map(self.known.__getitem__, part))].sum(axis=0)
 
         # A long text is read in parts, so that there are never more new words than can be kept.
         for i, text in enumerate(texts):
