@@ -93,6 +93,82 @@ def test_copies_are_no_evidence(spark):
     assert pii.disclosing_terms(pii.packed(spark.createDataFrame(rows, "doc_id long, text string"))).count() == 0
 
 
+def plain_terms(rows, generalise=pii.GENERALISE, remove=pii.REMOVE):
+    """{term: action} by the definitions, for texts whose only spans are e-mail addresses without digits."""
+    import math
+    import re
+
+    shape = re.compile(r"(?<![\w@.+-])[a-z0-9]*[a-z][a-z0-9]*(?!@)")
+    around, holds, spread = {}, {}, {}
+    for key, text in rows:
+        text = text.lower()
+        for w in {m.group() for m in shape.finditer(text) if text[m.end() : m.end() + 1] != "@"}:
+            spread.setdefault(w, set()).add(key)
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+            holds.setdefault(m.group(), set()).add(key)
+            near = shape.findall(text[: m.start()])[-8:] + shape.findall(text[m.end() :])[:8]
+            for w in near:
+                around.setdefault((m.group(), w), []).append((key, tuple(near)))
+    found, n = {}, len(rows)
+    for (entity, term), met in around.items():
+        different = {near for _, near in met}
+        if len(different) < pii.SUPPORT:
+            continue
+        sets = [set(near) - {term} for near in different]
+        likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
+        if sum(likeness) / len(likeness) >= pii.ALIKE:
+            continue
+        both = len({key for key, _ in met})
+        share = math.log2(n * both / (len(holds[entity]) * max(len(spread[term]), both))) / math.log2(n / len(holds[entity]))
+        if share >= generalise:
+            found[term] = max(found.get(term, ""), "remove" if share >= remove else "general")
+    return found
+
+
+def test_disclosing_terms_match_a_plain_version(spark):
+    rng = random.Random(8)
+    common = [f"w{i}" for i in range(60)]
+    rows = []
+    for person in range(60):
+        # Names of one and two words, a code with digits and a short name; some are met elsewhere too.
+        name = (f"nam{person}x", f"first{person} last{person}", f"{person}k{person}", f"q{chr(97 + person % 26)}{person}")[person % 4]
+        mail = "".join(chr(97 + int(d)) for d in str(person)) + "@corp.example"
+        for k in range(3 + person % 3):
+            words = rng.sample(common, 10)
+            rows.append((len(rows), " ".join((*words[:5], name, mail, *words[5:]))))
+        for k in range(person % 5):
+            rows.append((len(rows), " ".join((*rng.sample(common, 6), name.split()[0]))))
+    rows += [(len(rows) + i, " ".join(rng.sample(common, 12))) for i in range(2000)]
+    want = plain_terms(rows)
+    got = {r.term: r.action for r in pii.disclosing_terms(pii.packed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    got = {t: "general" if a == "general" else a for t, a in got.items()}
+    assert got == want and len(want) > 60
+    # No name is lost by chance, whatever its words hash to.
+    for person in range(60):
+        if person % 5 == 0:
+            assert (f"nam{person}x", f"first{person}", f"{person}k{person}", f"q{chr(97 + person % 26)}{person}")[person % 4] in got
+
+
+def test_near_copies_are_no_evidence(spark):
+    words = [f"plain{i}" for i in range(40)]
+    rows = []
+    for i in range(30):
+        edited = list(words[:16])
+        edited[i % 16] = f"other{i}"
+        rows.append((i, " ".join((*edited[:8], "quorvex@r.example", *edited[8:]))))
+    rows += [(100 + i, "entirely different words") for i in range(100)]
+    assert pii.disclosing_terms(pii.packed(spark.createDataFrame(rows, "doc_id long, text string"))).count() == 0
+
+
+def test_context_leaves_out_words_that_its_limit_cuts(spark):
+    rows = [(1, "a" * 100 + " " + "b" * 100 + " c x@y.zz d " + "e" * 200), (2, "f " + "g" * 156 + " x@y.zz " + "h" * 157 + " i")]
+    based = pii.with_base(pii.packed(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {}
+    for r in pii.contexts(based).collect():
+        got.setdefault(r._key, set()).add(r.term)
+    assert got == {1: {"b" * 100, "c", "d"}, 2: {"f", "g" * 156, "h" * 157, "i"}}
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 

@@ -6,18 +6,22 @@ information-theoretic part adds terms that give such an entity away. Over all do
     IC(e)    = log2(N / df(e))                         information held by the entity
     PMI(e;t) = log2(N * df(e,t) / (df(e) * df(t)))     information a term gives about it
 
-where df(e,t) counts documents with t in the context of e (CONTEXT_WORDS words to either side). The
+where df(e,t) counts documents with t in the context of e (CONTEXT_WORDS words to either side, of those that lie whole
+within CONTEXT_CHARS characters). The
 disclosure PMI/IC is 1 for a term met only beside the entity and about 0 for common words. From
 ``GENERALISE`` on a term is replaced by its class, from ``REMOVE`` on it is taken out, wherever
-it occurs. A term needs ``SUPPORT`` unlike contexts of the entity, so copies of one text are no evidence: contexts are told apart by
-the smallest hash of their words, which an edit rarely changes, and must be so often unlike as ``UNLIKE`` of all different ones.
+it occurs. A term needs ``SUPPORT`` different contexts of the entity, and these must not be alike, so copies of one text are no
+evidence: ``MINIMA`` smallest hashes of the other words of each context estimate how alike two of them are in the mean
+(the share of words in common), and from ``ALIKE`` on they count as copies. The term itself is left out of its own contexts.
 
 Contexts are a fixed number of words around a match, so co-occurrence grows with the matches, and
 no pairs within documents are built. Document counts of terms are combined on the map side.
 
 Defined cases: a null text counts as empty and stays null when sanitised; rows are judged one by one, so equal rows
 give equal results; if rows share a doc_id, a term found in one of them is looked for in each; overlapping spans
-are replaced together; no documents, no rows; other columns pass through untouched.
+are replaced together; long texts are searched whole, every run of characters once; a term is a run of letters and digits
+of any length with at least one letter, so text without spaces is a single word and names within it aren't terms; no documents,
+no rows; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import row_key, table
+from tradewake.llm.common import table
 from tradewake.session import cut_lineage
 
 # Same matches as the plain patterns, written so that a run of characters is read once and no
@@ -45,11 +49,12 @@ KINDS = (
 )
 BASE = tuple(k[0] for k in KINDS)
 
-WORD = r"(?<![\p{L}\p{N}@._+-])\p{L}{3,}+(?![\p{N}@])"
+WORD = r"(?<![\p{L}\p{N}@._+-])(?=\p{N}*+\p{L})[\p{L}\p{N}]++(?!@)"
 CONTEXT_WORDS = 8
 CONTEXT_CHARS = 160
 SUPPORT = 3
-UNLIKE = 0.2
+MINIMA = 32
+ALIKE = 0.72
 GENERALISE = 0.8
 REMOVE = 0.95
 # Term tables up to this many rows are handed to every task; larger ones are joined by shuffling.
@@ -92,13 +97,19 @@ def with_base(df: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The rows as one column, beside key and text, so that no other column's name can clash."""
-    row = F.struct("*")
-    return docs.select(row_key(F.col("doc_id")).alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), row.alias("_row"))
+    """The rows as one column, beside key and text, so that no other column's name can clash.
+
+    Rows without an id go by their text, so that they aren't one hot key.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("_key"), text.alias("_text"), F.struct("*").alias("_row"))
 
 
 def contexts(based: DataFrame) -> DataFrame:
-    """(entity, key, context, sign, term): terms around every base span; context is a hash of the words around, sign their smallest."""
+    """(entity, _key, context, term, signs): terms around every base span.
+
+    context is a hash of the words around, signs are the smallest hashes of those words but the term.
+    """
     def named(kind: str) -> Column:
         def entity(s: Column) -> Column:
             value = F.lower(F.regexp_replace(s["value"], r"[\x20()-]", ""))
@@ -107,13 +118,30 @@ def contexts(based: DataFrame) -> DataFrame:
         return F.transform(F.col(kind), entity)
 
     found = based.select("_key", "_text", F.explode(F.concat(*map(named, BASE))).alias("s")).select("_key", "_text", "s.*")
-    before = F.expr(f"substring(_text, greatest(start - {CONTEXT_CHARS}, 0) + 1, least(start, {CONTEXT_CHARS}))")
-    after = F.expr(f"substring(_text, end + 1, {CONTEXT_CHARS})")
+    # One character more shows whether the limit cuts a word, which is left out then.
+    before = F.expr(f"substring(_text, greatest(start - {CONTEXT_CHARS + 1}, 0) + 1, least(start, {CONTEXT_CHARS + 1}))")
+    after = F.expr(f"substring(_text, end + 1, {CONTEXT_CHARS + 1})")
+    before = F.when(F.length(before) > CONTEXT_CHARS, F.regexp_replace(before, r"^[\p{L}\p{N}]++", "")).otherwise(before)
+    after = F.when(F.length(after) > CONTEXT_CHARS, F.regexp_replace(after, r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$", "")).otherwise(after)
     found = found.withColumns({"left": F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0)), "right": F.regexp_extract_all(F.lower(after), F.lit(WORD), F.lit(0))})
     near = F.concat(F.expr(f"slice(left, greatest(size(left) - {CONTEXT_WORDS}, 0) + 1, {CONTEXT_WORDS})"), F.expr(f"slice(right, 1, {CONTEXT_WORDS})"))
     found = found.select("_key", "entity", F.array_distinct(near).alias("near"), F.xxhash64(near).alias("context"))
-    found = found.withColumn("sign", F.array_min(F.transform("near", lambda w: F.xxhash64(w))))
-    return found.select("_key", "entity", "context", "sign", F.explode_outer("near").alias("term"))
+    least = F.expr(f"transform(sequence(0, {MINIMA - 1}), k -> slice(array_sort(transform(near, w -> xxhash64(k, w))), 1, 2))")
+    found = found.select("_key", "entity", "context", least.alias("_least"), F.explode_outer("near").alias("term"))
+    # The least hash, or the next one if the least is the term's own; 0 if the term stands alone.
+    signs = F.expr("transform(_least, (two, k) -> coalesce(if(get(two, 0) = xxhash64(k, term), get(two, 1), get(two, 0)), 0))")
+    return found.select("entity", "_key", "context", "term", signs.alias("signs"))
+
+
+def unlike(seen: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, contexts, likeness) of the terms with enough contexts; rows as from ``contexts``."""
+    each = cut_lineage(seen.filter("term IS NOT NULL").groupBy("entity", "term", "context").agg(F.first("signs").alias("signs")))
+    enough = each.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    signs = each.join(enough, ["entity", "term"]).select("entity", "term", "contexts", F.posexplode("signs").alias("k", "sign"))
+    equal = signs.groupBy("entity", "term", "contexts", "k", "sign").agg(F.count("*").cast("double").alias("n")).groupBy("entity", "term", "contexts").agg(F.sum(F.col("n") * F.col("n")).alias("equal"))
+    # Of all pairs of different contexts and all minima, the share that agrees.
+    m = F.col("contexts").cast("double")
+    return equal.select("entity", "term", "contexts", ((F.col("equal") - MINIMA * m) / (MINIMA * m * F.greatest(m - 1, F.lit(1.0)))).alias("likeness"))
 
 
 def words_of(rows: DataFrame) -> DataFrame:
@@ -124,9 +152,7 @@ def words_of(rows: DataFrame) -> DataFrame:
 def disclosing_terms(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """(term, disclosure, action) of the terms that give an entity away; rows as from ``packed``."""
     seen = cut_lineage(contexts(with_base(rows)))
-    unlike = seen.filter("term IS NOT NULL").groupBy("entity", "term", "sign", "context").agg(F.count("*").alias("_n")).groupBy("entity", "term", "sign").agg(F.count("*").alias("contexts"))
-    pairs = unlike.groupBy("entity", "term").agg(F.count("*").alias("signs"), F.sum("contexts").alias("contexts"))
-    pairs = cut_lineage(pairs.filter((F.col("signs") >= support) & (F.col("signs") >= UNLIKE * F.col("contexts"))))
+    pairs = cut_lineage(unlike(seen, support).filter(F.col("likeness") < ALIKE))
     candidates = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
@@ -159,7 +185,7 @@ def detect(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMO
     )
     both = based.join(cut_lineage(listed), "_key", "left")
     for name, column in (("general", "_general"), ("term", "_remove")):
-        # Terms are letters only; the longest alternative that ends at a word end is taken.
+        # Terms are letters and digits only; the longest alternative that ends at a word end is taken.
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}@._+-])(?:"), F.array_join(column, "|"), F.lit(r")(?![\p{L}\p{N}@])"))
         some = F.coalesce(F.size(column), F.lit(0)) > 0
         both = with_spans(both, name, F.when(some, pattern).otherwise(F.lit("^(?!)")), "true", some)
