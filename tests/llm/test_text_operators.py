@@ -468,6 +468,74 @@ def test_context_separates_quotation():
     assert scanner.counts(None) == scanner.counts(b"") == (0, 0, 0, 0)
 
 
+def test_digits_and_signs_within_words():
+    scanner = toxicity.Scanner(toxicity.Matcher({"stupid": True, "moron": True, "idiot": True, "scum": False}, frozenset({"1diot", "diot"})))
+    for text in ("stup1d", "m*ron", "id10t", "(Id10t!)", "st_pid", "5cum-like"):
+        assert scanner.counts(text.encode()) == (0, 1, 0, 0), text
+    assert scanner.counts(b"idiot-like stupid!") == (2, 0, 0, 0)
+    # A form that clean documents use, words mostly of digits, and words too far away.
+    for text in ("1diot", "10107", "1010t", "m*r*n", "50 me", "a" * 100_000 + "1"):
+        assert scanner.counts(text.encode()) == (0, 0, 0, 0), text
+
+
+def judged(spark, toxic, clean):
+    docs = [(i, t) for i, t in enumerate(toxic + clean)]
+    labels = [(i, 1, int(i < len(toxic)), "other") for i in range(len(docs))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    # Columns of labels may have the names of columns of documents.
+    return toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"))
+
+
+def test_terms_that_clean_documents_quote_are_learned(spark):
+    rng = random.Random(3)
+    common = [f"{a}{b}{c}o" for a in "bdfg" for b in "aei" for c in "klm"]
+    toxic = [" ".join((*rng.sample(common, 6), "zarnok", *rng.sample(common, 6))) for _ in range(80)]
+    clean = [" ".join(rng.sample(common, 12)) for _ in range(80)]
+    clean += [" ".join((*rng.sample(common, 5), f'"{w}"', *rng.sample(common, 5))) for w in ("zarnok", "zarnuk", "zarnok", "zarnok")]
+    clean += [" ".join((*rng.sample(common, 5), "he said zarnok", *rng.sample(common, 5))) for _ in range(3)]
+    model = judged(spark, toxic, clean)
+    assert "zarnok" in model.terms and "zarnuk" not in model.exempt
+    # Clean documents that use the word themselves speak against it.
+    assert "zarnok" not in judged(spark, toxic, clean + [" ".join((*rng.sample(common, 5), "zarnok", *rng.sample(common, 5))) for _ in range(12)]).terms
+
+
+def test_copies_do_not_hide_terms(spark):
+    rng = random.Random(5)
+    common = [f"{a}{b}{c}o" for a in "bdfg" for b in "aei" for c in "klm"]
+    copied = " ".join((*rng.sample(common, 15), "zarnok", *rng.sample(common, 15)))
+    toxic = [" ".join((*rng.sample(common, 6), "zarnok", *rng.sample(common, 6))) for _ in range(50)] + [copied] * 300 + [copied + " " + rng.choice(common) for _ in range(100)]
+    clean = [" ".join(rng.sample(common, 12)) for _ in range(150)]
+    assert "zarnok" in judged(spark, toxic, clean).terms
+    # Copies alone are one text.
+    assert not set(judged(spark, [copied] * 300, clean).terms) - set(toxicity.SEED_TERMS)
+
+
+def test_learned_counts_match_a_plain_version(spark):
+    import math
+    import re
+
+    rng = random.Random(9)
+    rows = [(i % 2, " ".join(rng.choice(("ab", "abc", "cde", "said", '"abc"', "x1y")) for _ in range(rng.randint(1, 9)))) for i in range(200)]
+    sums = {}
+    for toxic, text in set(rows):
+        words = text.split()
+        used = set()
+        for i, w in enumerate(words):
+            near = [x for v in words[max(0, i - 3) : i] for x in re.findall("[a-z]+", v)][-3:]
+            if toxic or not (w.startswith('"') or "said" in near):
+                used |= {x for x in re.findall("[a-z]+", w)} | ({w} if "1" in w else set())
+        for w in used:
+            sums.setdefault(w, [0, 0])[toxic] += 1
+    frame = spark.createDataFrame([(t, bytearray(x.encode())) for t, x in set(rows)], "toxic int, text binary")
+    n = [sum(t == c for t, _ in set(rows)) for c in (0, 1)]
+    got = {r.term: r for r in toxicity.term_counts(frame, lambda w: [w]).withColumn("g", toxicity.evidence(n[1], n[0])).collect()}
+    assert {t: [r.clean, r.toxic] for t, r in got.items()} == sums
+    for term, (clean, toxic) in sums.items():
+        cells = [(toxic, n[1], toxic + clean), (clean, n[0], toxic + clean), (n[1] - toxic, n[1], sum(n) - toxic - clean), (n[0] - clean, n[0], sum(n) - toxic - clean)]
+        want = sum(2 * seen * math.log(seen * sum(n) / (of * both)) for seen, of, both in cells if seen)
+        assert abs(got[term].g - want) < 1e-9
+
+
 def test_toxicity_of_held_out_documents(spark, sf_dir):
     got = toxicity.op10_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out")
     right, n = got.agg(F.sum((F.col("toxic") == F.col("predicted")).cast("int")), F.count("*")).first()

@@ -3,17 +3,22 @@
 Terms are stems and whole words in one trie. A Levenshtein automaton runs on all its
 branches at once: a state is a set of (trie node, edits so far), and the states met are kept as a
 deterministic automaton that grows as words ask for it. So a word costs one lookup per letter, however
-many terms there are. Short terms allow no edit, longer ones one or two. Matches are
+many terms there are. Short terms allow no edit, longer ones one or two. The automaton reads a word's runs of letters and,
+if digits or signs stand inside the word, the whole of it: a digit or sign that looks like a letter is read as that letter
+at no cost, any other as a letter that differs, and the reading with the least edits counts. Matches are
 judged by the words around them: quotation marks and words of reporting make a match a quotation, an address
 to the reader makes it abuse. A logistic model on these counts gives the score.
 
-Learning: ``TRAIN_DOCS`` labelled documents per class at most, chosen by hash among those of the training part. Terms are
-the word beginnings met almost only in toxic ones. A misspelling that clean documents use too is a word of its own and no
+Learning: ``TRAIN_DOCS`` labelled documents per class at most, chosen by hash among those of the training part. Near copies,
+which share the two smallest hashes of their five-word shingles, count once. Terms are
+the word beginnings met almost only in toxic texts, by a likelihood ratio that needs ``EVIDENCE`` whatever the number of labels.
+Clean texts speak against a term only where they use it themselves, not where they quote or report it. A misspelling that clean
+texts use so is a word of its own and no
 longer matches. The model's weights start from fixed values, which hold where labels say nothing.
 
 Defined cases: a null, empty or wordless text gets the score of a document without matches; without labels,
 fixed terms and weights remain; several labels for a document count as toxic if one does; rows are judged one by one; no
-documents, no rows; other columns are ignored.
+documents, no rows; other columns are ignored; long texts are read whole, word by word.
 """
 
 from __future__ import annotations
@@ -25,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewake.llm.common import sample_per_class, small_batches, table
+from tradewake.llm.common import SPACES, sample_per_class, small_batches, table
 from tradewake.session import cut_lineage
 
 FOLDS, HELD_OUT_FOLD = 5, 0
 # Labelled documents per class that terms and weights are learned from.
 TRAIN_DOCS = 3000
-# A term begins words of this many toxic documents, and of this share of them, at least, and of so many times fewer clean ones.
+# A term begins words of this many toxic texts at least, and of so many times fewer clean ones.
 LEAST_DOCS = 5
-LEAST_SHARE = 0.02
 LEAST_RATIO = 50.0
+# Twice the logarithm of how much likelier the counts of a term are if it depends on the class (about one in 10^9 by chance).
+EVIDENCE = 40.0
 # Words of copied texts always have the same neighbours; so a term needs this many different ones per document.
 NEIGHBOURS = 0.4
 STEM_LETTERS = (3, 12)
@@ -54,11 +60,37 @@ SEED_TERMS = ("idiot", "moron", "imbecile", "stupid", "scumbag", "loser", "dumba
 # Words of reporting and of address.
 REPORTING = frozenset("said says say called calls quoted quote wrote writes word words term phrase insult slur reported dit mot wort sagte dijo palabra".split())
 ADDRESS = frozenset("you your youre u ur yourself tu toi vous du dich ihr usted ustedes".split())
+# What digits and signs stand for.
+LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 QUOTES = "\"“”„«»'‘’`"
 # Weights to start from: constant, all matches, those misspelt (a discount), quoted ones, addressed ones.
 START_WEIGHTS = (-3.0, 4.5, -1.5, 0.8, 1.0)
 
 letters = re.compile(r"[^\W\d_]+").findall
+# The part of a word between its outer signs.
+inner = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL).search
+
+
+def readings(word: str) -> list[str]:
+    """The runs of letters of a word in small letters, and the word without outer signs if at least half of it is letters."""
+    runs = letters(word)
+    whole = inner(word)
+    if whole and runs and whole.group() != runs[0] and 2 * sum(map(len, runs)) >= len(whole.group()):
+        return [*runs, whole.group()]
+    return runs
+
+
+def own_words(text: bytes) -> set[str]:
+    """The readings of all words that a text uses itself, neither in quotation marks nor after a word of reporting."""
+    words = text.split()
+    inside = Scanner._quoted(words)
+    used, last = set(), []
+    for word, quoted in zip(words, inside):
+        lower = word.decode("utf-8", "replace").lower()
+        if not quoted and not REPORTING.intersection(last):
+            used.update(readings(lower))
+        last = [*last, *letters(lower)][-3:]
+    return used
 
 
 class Matcher:
@@ -118,6 +150,9 @@ class Matcher:
             child = self.children[node].get(c)
             if child is not None:
                 places.add((child, edits))
+            for like in LOOKS.get(c, ""):
+                if like in self.children[node]:
+                    places.add((self.children[node][like], edits))
             if edits < self.most:
                 places.add((node, edits + 1))
                 places.update((other, edits + 1) for other in self.children[node].values())
@@ -138,12 +173,13 @@ class Matcher:
             if stem is not None and (best is None or stem < best):
                 best = stem
                 if best == 0:
-                    return 0
+                    break
         else:
             end = self.at_end[state]
             if end is not None and (best is None or end < best):
                 best = end
-        return None if best and word in self.exempt else best
+        # Without edits, and without signs read as letters, a word is the term itself.
+        return None if word in self.exempt and (best or not word.isalpha()) else best
 
 
 class Scanner:
@@ -155,12 +191,8 @@ class Scanner:
 
     def _word(self, word: bytes) -> int:
         """0: no match, 1: exact, 2: misspelt."""
-        best = None
-        for w in letters(word.decode("utf-8", "replace").lower()):
-            found = self.matcher.edits(w)
-            if found is not None and (best is None or found < best):
-                best = found
-        code = 0 if best is None else 1 if best == 0 else 2
+        found = [(e, not w.isalpha()) for w in readings(word.decode("utf-8", "replace").lower()) if (e := self.matcher.edits(w)) is not None]
+        code = 0 if not found else 1 if min(found) == (0, False) else 2
         if len(self.known) >= MEMORY:
             self.known.clear()
         self.known[word] = code
@@ -239,19 +271,28 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text) of the documents to learn from, written out."""
     chosen = cut_lineage(labelled(labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most TRAIN_DOCS rows per class.
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return cut_lineage(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    # At most TRAIN_DOCS ids per class.
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    return cut_lineage(distinct_texts(rows).select("toxic", F.col("text").cast("binary").alias("text")).repartition(docs.sparkSession.sparkContext.defaultParallelism))
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """Of the rows of a class that share the two smallest hashes of their five-word shingles, the smallest text."""
+    words = F.split(F.trim(F.lower("text")), SPACES)
+    rows = rows.withColumn("_words", words)
+    shingles = F.expr("transform(sequence(1, greatest(size(_words) - 4, 1)), i -> xxhash64(slice(_words, i, 5)))")
+    least = F.slice(F.array_sort(F.array_distinct(shingles)), 1, 2)
+    return rows.select("toxic", "text", least.alias("_least")).groupBy("toxic", "_least").agg(F.min("text").alias("text"))
 
 
 def term_counts(rows: DataFrame, shown) -> DataFrame:
-    """(term, toxic, clean): documents of each class with each of the strings that ``shown`` gives for a word."""
+    """(term, toxic, clean): texts of each class with each of the strings that ``shown`` gives for a word; clean ones for words of their own."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sums = (Counter(), Counter())
             for toxic, text in zip(batch["toxic"], batch["text"]):
-                words = set(letters(text.decode("utf-8", "replace").lower()))
+                words = {w for word in text.split() for w in readings(word.decode("utf-8", "replace").lower())} if toxic else own_words(text)
                 sums[toxic].update({s for w in words for s in shown(w)})
             yield pd.DataFrame([(t, sums[1][t], sums[0][t]) for t in sums[0].keys() | sums[1].keys()], columns=["term", "toxic", "clean"])
 
@@ -259,9 +300,23 @@ def term_counts(rows: DataFrame, shown) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def evidence(n_toxic: int, n_clean: int) -> Column:
+    """Likelihood ratio statistic of the columns toxic and clean against a term that doesn't depend on the class."""
+    total = max(n_toxic + n_clean, 1)
+    both = F.col("toxic") + F.col("clean")
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+
+    parts = [part(F.col(c), both * n / total) + part(n - F.col(c), (total - both) * n / total) for c, n in (("toxic", n_toxic), ("clean", n_clean))]
+    return parts[0] + parts[1]
+
+
 def beginnings(word: str) -> list[str]:
     """Beginnings of a word, and the word itself marked as whole."""
     least, most = STEM_LETTERS
+    if not word.isalpha():
+        return []
     return [word[:n] for n in range(least, min(len(word), most) + 1)] + [word[:40] + "$"]
 
 
@@ -320,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    strong = term_counts(rows, beginnings).filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & (ratio >= LEAST_RATIO) & (F.col("clean") <= 0.01 * F.col("toxic")))
+    strong = term_counts(rows, beginnings).filter((F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (F.col("clean") <= 0.01 * F.col("toxic")) & (evidence(n_toxic, n_clean) >= EVIDENCE))
     found = {r["term"]: r["toxic"] for r in strong.collect()}
     around = {r["term"]: r["n"] for r in neighbours(rows, frozenset(found)).collect()}
     terms = choose_terms([(t, n) for t, n in found.items() if around.get(t, 0) >= max(LEAST_DOCS, NEIGHBOURS * n)])
@@ -330,7 +385,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             terms[term] = True
     # Compiled states stay with each task's own copy.
     matcher = Matcher(terms)
-    regular = term_counts(rows, lambda w: [w] if matcher.edits(w) else []).filter("clean > 0").select("term").collect()
+    regular = term_counts(rows, lambda w: [w] if matcher.edits(w) or (not w.isalpha() and matcher.edits(w) == 0) else []).filter("clean > 0").select("term").collect()
     exempt = frozenset(r["term"] for r in regular)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
