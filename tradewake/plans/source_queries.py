@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from tradewake.operators import windows
 from tradewake.plans.aggregate_queries import PROFILE_CTE, segmented_profile
 from tradewake.plans.catalog import query
-from tradewake.plans.inputs import Inputs, with_outcome_names
+from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
 from tradewake.session import cut_lineage, scratch_path
 from tradewake.sources import ingest, landed, tables
 
 # Market documents: which optional fields are present depends on the market id.
 DOCUMENT_CTE = """
 documents_of AS (
-  SELECT condition_id, condition_id % 50 AS event_id, volume, outcomes, outcome_prices,
+  SELECT condition_id, volume, outcomes, outcome_prices,
     CASE WHEN condition_id % 4 = 0 THEN NULL WHEN condition_id % 4 = 1 THEN '' ELSE 'end-' || condition_id END AS end_own,
     CASE WHEN condition_id % 3 <> 0 THEN 'event-end-' || condition_id END AS end_event,
     CASE WHEN condition_id % 5 = 0 THEN '' ELSE 'closed-' || condition_id END AS closed,
@@ -51,7 +51,8 @@ def market_documents(inputs: Inputs):
         text("open-").alias("acceptingOrdersTimestamp"),
         F.when(F.col("tags").isNotNull(), F.array(F.struct(F.col("tags").alias("label")))).alias("tags"),
         F.array(parent).alias("events"),
-        (key % 50).alias("event_id"),
+        # Eight markets to an event, however many there are.
+        F.expr("condition_id div 8").alias("event_id"),
     )
 
 
@@ -166,6 +167,81 @@ def json_events_explode(inputs: Inputs):
     return markets.select("conditionId", "volume", "outcomes", "outcomePrices", "event_comments")
 
 
+# Which markets a landing stores; even events land first, then all of them.
+LANDED_CTE = """
+stored_markets AS (
+  SELECT condition_id, CAST(condition_id AS VARCHAR) AS id, CASE WHEN outcome_prices LIKE '__1''%' THEN name1 ELSE name2 END AS market_outcome, volume
+  FROM named_markets WHERE outcome_prices LIKE '%''1''%' AND condition_id IN (SELECT condition_id FROM trades)),
+stored_trades AS (SELECT * FROM named_trades WHERE condition_id IN (SELECT condition_id FROM stored_markets))
+"""
+
+
+def landed_pages(inputs: Inputs):
+    """Pages of a hundred trades, two trades to a transaction, as JSON lines."""
+    path = scratch_path(inputs.spark, "pages")
+    first = F.col("nonusdc_side") == "token1"
+    trade = F.struct(
+        "trade_id", F.col("address").cast("string").alias("proxyWallet"), F.col("direction").alias("side"), F.col("usd_amount").alias("size"), "price", "timestamp", "outcome",
+        F.when(first, 0).otherwise(1).alias("outcomeIndex"), F.col("condition_id").cast("string").alias("conditionId"),
+        F.expr("CAST(trade_id div 2 AS STRING)").alias("transactionHash"), F.when(F.col("address") % 3 == 0, "").otherwise("image").alias("profileImage"),
+    )
+    pages = with_outcome(inputs.trades).groupBy(F.expr("trade_id div 100").alias("page")).agg(F.array_sort(F.collect_list(trade)).alias("trades"))
+    pages.write.json(path)
+    return landed.read_trade_pages(inputs.spark, path)
+
+
+def landed_profiles(inputs: Inputs):
+    path = scratch_path(inputs.spark, "profiles")
+    inputs.users.select(
+        F.col("address").cast("string").alias("proxyWallet"), F.col("created_at").cast("string").alias("createdAt"),
+        F.col("weighted_vol").alias("weightedVolume"), F.when(F.col("address") % 11 == 0, "deleted").alias("error"),
+    ).write.json(path)
+    return landed.read_profiles(inputs.spark, path)
+
+
+def landed_table(inputs: Inputs, name: str):
+    """A keyed table after two landings: the even events, then all events."""
+    events, pages, profiles = landed_events(inputs), landed_pages(inputs), landed_profiles(inputs)
+    paths = {}
+    for table, rows in landed.new_rows(events.where("id % 2 = 0"), pages, profiles).items():
+        paths[table] = scratch_path(inputs.spark, f"landed-{table}")
+        tables.write_table(rows, paths[table])
+    stored = {table: tables.read_table(inputs.spark, path) for table, path in paths.items()}
+    tables.write_table(landed.new_rows(events, pages, profiles, stored)[name], paths[name], mode="append")
+    return tables.read_table(inputs.spark, paths[name])
+
+
+@query("land_events", "SELECT DISTINCT condition_id // 8 AS event_id, CAST(3 AS INT) AS event_comments FROM markets")
+def land_events(inputs: Inputs):
+    return landed_table(inputs, "events").select("event_id", "event_comments")
+
+
+@query("land_markets", "SELECT id AS condition_id, market_outcome, volume, CAST(3 AS INT) AS event_comments FROM stored_markets", LANDED_CTE)
+def land_markets(inputs: Inputs):
+    return landed_table(inputs, "markets").select("condition_id", "market_outcome", "volume", "event_comments")
+
+
+@query(
+    "land_trades",
+    """SELECT CAST(trade_id // 2 AS VARCHAR) AS trans_hash, CAST(condition_id AS VARCHAR) AS condition_id, CAST(address AS VARCHAR) AS address, timestamp, price,
+      usd_amount, outcome, CAST(address % 3 <> 0 AS INT) AS profile_pic FROM stored_trades
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY trade_id // 2 ORDER BY (condition_id // 8) % 2, trade_id) = 1""",
+    LANDED_CTE,
+)
+def land_trades(inputs: Inputs):
+    return landed_table(inputs, "trades").select("trans_hash", "condition_id", "address", "timestamp", "price", "usd_amount", "outcome", "profile_pic")
+
+
+@query(
+    "land_users",
+    """SELECT CAST(address AS VARCHAR) AS address, weighted_vol FROM users
+      WHERE created_at IS NOT NULL AND address % 11 <> 0 AND address IN (SELECT address FROM stored_trades)""",
+    LANDED_CTE,
+)
+def land_users(inputs: Inputs):
+    return landed_table(inputs, "users").select("address", "weighted_vol")
+
+
 @query(
     "date_fallback",
     """SELECT CAST(condition_id AS VARCHAR) AS conditionId,

@@ -64,6 +64,8 @@ LANDED_MARKET = _struct(
     tags=T.ArrayType(_struct(label=_S)), events=T.ArrayType(_LANDED_PARENT),
 )
 LANDED_EVENT = _struct(id=_L, commentCount=_I, markets=T.ArrayType(LANDED_MARKET))
+# Trades land in pages of bounded length, so that no document grows with its market.
+LANDED_TRADE_PAGE = _struct(page=_L, trades=T.ArrayType(LANDED_TRADE))
 LANDED_PROFILE = _struct(proxyWallet=_S, createdAt=_S, weightedVolume=_D, error=_S)
 
 # Older column name -> canonical column name.
