@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from tradewake.functions import labels
-from tradewake.operators import aggregates, evaluate, models, neighbors, segments
+from tradewake.operators import aggregates, evaluate, models, neighbors, relations, segments
 from tradewake.operators.aggregates import PROFILE_COLUMNS
+from tradewake.operators.segment_trees import MOST_ROWS, SegmentTrees
 from tradewake.plans.aggregate_queries import PROFILE_CTE, labelled_trades
 from tradewake.plans.catalog import query, r, rounded
 from tradewake.plans.inputs import Inputs, with_outcome, with_outcome_names
-from tradewake.plans.model_queries import NEWER_COLUMNS, fit_segment, training_rows
+from tradewake.plans.model_queries import NEWER_COLUMNS, fit_segment, holdout, training_rows
 from tradewake.session import cut_lineage, scratch_path
 
 # Sizes that suit the few hundred traders of the small inputs.
@@ -106,14 +111,53 @@ def past_segments(inputs: Inputs):
     return cut_lineage(fit_segments(known).segment(known).select("address", "category"))
 
 
+# Segments with the most training rows, each of which gets a Spark job series of its own; so does any too large for a task.
+OWN_FITS = 8
+# Fits that run at the same time: a round of a small one leaves most cores idle.
+FITS_AT_ONCE = 4
+
+
+@dataclass(frozen=True)
+class FittedSegments:
+    """Models of single segments, noise among them, and the trees of all the others."""
+
+    single: dict[int, models.SegmentModels]
+    many: SegmentTrees | None = None
+
+    def score(self, rows):
+        """All rows, each scored with the models of its segment; those whose segment has none count as noise."""
+        single = F.col("category").isin(*self.single)
+        if self.many is None:
+            return models.score_by_segment(rows.withColumn("category", F.when(single, F.col("category")).otherwise(-1)), self.single)
+        modelled = self.many.trees.select("category", F.lit(True).alias("_many"))
+        rows = cut_lineage(rows.join(modelled, "category", "left").withColumn("category", F.when(single | F.col("_many"), F.col("category")).otherwise(-1)))
+        others = self.many.score(rows.where("_many").drop("_many"), "probability_new", "prediction", models.LIVE_THRESHOLD)
+        return relations.union_all(models.score_by_segment(rows.where("_many IS NULL").drop("_many"), self.single), others)
+
+
 def segment_models(train, columns=NEWER_COLUMNS):
-    """A model of its own for every segment that has rows of both classes; the traders without a segment get a second one, on the price alone."""
-    # One row per segment.
-    classes = train.groupBy("category").agg(F.countDistinct(models.LABEL).alias("n")).collect()
-    fitted = {row["category"]: models.SegmentModels(fit_segment(train.where(F.col("category") == row["category"]), columns))
-              for row in classes if row["n"] == 2 and row["category"] != -1}
-    noise = train.where(~F.col("category").isin(*fitted)) if fitted else train
-    return fitted | {-1: models.SegmentModels(fit_segment(noise, columns), fit_segment(noise, ("price",)))}
+    """A model of its own for every segment that has rows of both classes; the traders without a segment get a second one, on the price alone.
+
+    However many segments there are, few have jobs of their own: the largest, and those with more training rows than a task takes. The
+    others are fitted together, each within a task.
+    """
+    sizes = train.where("category <> -1").groupBy("category").agg(F.countDistinct(models.LABEL).alias("classes"), F.count(F.lit(1)).alias("n"))
+    usable = cut_lineage(sizes.where("classes = 2").select("category", "n"))
+    largest = usable.orderBy(F.desc("n"), "category").limit(OWN_FITS)
+    # At most OWN_FITS segments and one per MOST_ROWS training rows.
+    own = [row["category"] for row in largest.unionByName(usable.where(F.col("n") > MOST_ROWS)).distinct().orderBy("category").collect()]
+    noise = train.join(usable.select("category"), "category", "left_anti")
+    work = [(train.where(F.col("category") == c), columns) for c in own] + [(noise, columns), (noise, ("price",))]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        # Each with local properties of its own.
+        waiting = [pool.submit(inheritable_thread_target(train.sparkSession)(fit_segment), *w) for w in work]
+        *fitted, current, previous = [w.result() for w in waiting]
+    single = {c: models.SegmentModels(m) for c, m in zip(own, fitted)} | {-1: models.SegmentModels(current, previous)}
+    rest = usable.where(~F.col("category").isin(*own)) if own else usable
+    if rest.isEmpty():
+        return FittedSegments(single)
+    rows = train.join(rest.select("category"), "category", "left_semi").withColumn("holdout", holdout())
+    return FittedSegments(single, SegmentTrees.fit(rows, columns, "holdout", "trade_id", **models.BOOSTED_SEGMENT))
 
 
 @query("score_live_segments")
@@ -125,9 +169,7 @@ def score_live_segments(inputs: Inputs):
     rows = training_rows(inputs).join(inputs.trades.select("trade_id", "timestamp"), "trade_id")
     rows = cut_lineage(with_category(rows, past_segments(inputs)))
     live = F.col("timestamp") >= inputs.profile_date
-    fitted = segment_models(rows.where(~live))
-    shown = rows.where(live).withColumn("category", F.when(F.col("category").isin(*fitted), F.col("category")).otherwise(-1))
-    scored = models.score_by_segment(shown, fitted)
+    scored = segment_models(rows.where(~live)).score(rows.where(live))
     index = labels.winning_index_by_threshold(F.col("outcome_prices"))
     winners = with_outcome_names(inputs.markets).select("condition_id", F.try_element_at(labels.string_list(F.col("outcomes")), index + 1).alias("winner"))
     bought = with_outcome(inputs.trades).select("trade_id", "outcome")

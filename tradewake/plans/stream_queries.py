@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradewake.operators import aggregates, models
+from tradewake.operators import aggregates
 from tradewake.plans.aggregate_queries import labelled_trades
 from tradewake.plans.catalog import query
 from tradewake.plans.inputs import PROFILE_DATE_CTE, Inputs, trades_view
@@ -67,8 +67,7 @@ def stream_score(inputs: Inputs):
 
     def score(trades):
         shown = with_category(jobs.live_features(trades, profiles, inputs.markets), categories)
-        shown = shown.withColumn("category", F.when(F.col("category").isin(*fitted), F.col("category")).otherwise(-1))
-        return models.score_by_segment(shown, fitted).select("trade_id", "category", "probability_new", "prediction", "probability_old", "predictionold")
+        return fitted.score(shown).select("trade_id", "category", "probability_new", "prediction", "probability_old", "predictionold")
 
     sink, state = scratch_path(inputs.spark, "scored"), scratch_path(inputs.spark, "score-state")
     last = known_last_trades(inputs)
