@@ -71,3 +71,9 @@ def test_thresholds():
     assert segment_trees.thresholds(np.array([1.0, 1.0, 3.0]), 5).tolist() == [2.0]
     assert segment_trees.thresholds(np.array([2.0, 2.0]), 5).tolist() == []
     assert segment_trees.thresholds(np.arange(100.0), 3).tolist() == [24.5, 49.5, 74.5]
+
+
+def test_unused_last_column_has_no_gain(spark):
+    rows = frame(spark, trades([0], 200)).withColumn("still", F.lit(1.0)).withColumn("holdout", F.col("trade_id") % 10 == 0)
+    ranked = models.importances(models.fit_boosted(rows, ("price", "still"), rounds=3, depth=2, holdout="holdout"))
+    assert ranked[1] == ("still", 0.0, 0) and ranked[0][1] > 0.99
