@@ -1,6 +1,7 @@
 """Trees of many segments agree with Spark's in what they learn, and few fits have jobs of their own."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -77,3 +78,15 @@ def test_unused_last_column_has_no_gain(spark):
     rows = frame(spark, trades([0], 200)).withColumn("still", F.lit(1.0)).withColumn("holdout", F.col("trade_id") % 10 == 0)
     ranked = models.importances(models.fit_boosted(rows, ("price", "still"), rounds=3, depth=2, holdout="holdout"))
     assert ranked[1] == ("still", 0.0, 0) and ranked[0][1] > 0.99
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """Several fits have begun before the first ends."""
+    rows = frame(spark, trades([0], 100)).withColumn("fold", F.col("trade_id") % 3)
+    met = threading.Barrier(3)
+
+    def fit(train, columns):
+        met.wait(60)
+        return models.fit_logistic(train, columns)
+
+    assert models.out_of_fold(rows, COLUMNS, fit, k=3).count() == 100

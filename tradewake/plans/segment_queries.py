@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from tradewake.functions import labels
@@ -113,8 +111,6 @@ def past_segments(inputs: Inputs):
 
 # Segments with the most training rows, each of which gets a Spark job series of its own; so does any too large for a task.
 OWN_FITS = 8
-# Fits that run at the same time: a round of a small one leaves most cores idle.
-FITS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -147,11 +143,8 @@ def segment_models(train, columns=NEWER_COLUMNS):
     # At most OWN_FITS segments and one per MOST_ROWS training rows.
     own = [row["category"] for row in largest.unionByName(usable.where(F.col("n") > MOST_ROWS)).distinct().orderBy("category").collect()]
     noise = train.join(usable.select("category"), "category", "left_anti")
-    work = [(train.where(F.col("category") == c), columns) for c in own] + [(noise, columns), (noise, ("price",))]
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        # Each with local properties of its own.
-        waiting = [pool.submit(inheritable_thread_target(train.sparkSession)(fit_segment), *w) for w in work]
-        *fitted, current, previous = [w.result() for w in waiting]
+    work = [(noise, columns), (noise, ("price",))] + [(train.where(F.col("category") == c), columns) for c in own]
+    current, previous, *fitted = models.fit_all(fit_segment, work)
     single = {c: models.SegmentModels(m) for c, m in zip(own, fitted)} | {-1: models.SegmentModels(current, previous)}
     rest = usable.where(~F.col("category").isin(*own)) if own else usable
     if rest.isEmpty():
