@@ -233,6 +233,20 @@ def test_groups_keep_a_row_whatever_their_ids(spark):
     assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted((i or 0, t) for i, t in want)
 
 
+def test_texts_stay_where_they_are_when_near_duplicates_go(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.hash(F.col("id") - F.col("id") % 10 % 2, F.lit(i)).cast("string") for i in range(8)]).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Too little for the places as numbers.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        kept = simhash.drop_near_duplicates(rows.repartition(4))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i in range(40_000) if i % 10 % 2 == 0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def plain_substrings(rows, window=20):
     seen, out = set(), {}
     for doc_id, text in sorted(rows):

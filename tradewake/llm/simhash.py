@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group stays, with all its columns: a row of its smallest doc_id (null last), if several the first by content.
 
-    Rows are told apart by the place they are written to, as ids may be null or shared.
+    Rows are told apart by the place they are written to, as ids may be null or shared. The places that stay go back to the rows as bitmaps,
+    one bit a row in groups of at most 32,768 places, so the texts aren't shuffled while those fit a broadcast.
     """
 
     @F.pandas_udf("long")
@@ -145,7 +146,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "place")
     firsts = rows.groupBy("print").agg(F.min(order).alias("first"))
     chosen = firsts.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select("first.place")
-    return rows.join(cut_lineage(chosen), "place", "left_semi").select("_row.*")
+    # Dealt by group first: a task that met places of all groups would write a bitmap for each.
+    chosen = chosen.withColumn("group", F.bitmap_bucket_number("place")).repartition("group")
+    staying = cut_lineage(chosen.groupBy("group").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+    at = F.bitmap_bit_position("place").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = rows.withColumn("group", F.bitmap_bucket_number("place")).join(staying, "group")
+    return marked.filter(F.getbit(byte, at % 8) == 1).select("_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
