@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,20 @@ def test_neighbour_search_visits_few_leaves(spark):
     assert 0 < tree.visits < 0.2 * tree.leaves.count() ** 2
 
 
+def test_kth_distance_takes_as_many_steps_with_more_leaves(spark, monkeypatch):
+    at = np.random.default_rng(3).normal(size=(3000, 7))
+    at[2900:] = at[0]
+    axes = [f"x{i}" for i in range(7)]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], ", ".join(["address long", *[f"{a} double" for a in axes]]))
+    tree, written, write = neighbors.Tree(df, "address", axes, 100), [], neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda frame: written.append(1) or write(frame))
+    ours = {r["address"]: r["distance"] for r in neighbors.kth_distance(df, "address", axes, 13, tree).collect()}
+    # Rounds of a bounded number of leaves would be more the more leaves there are.
+    assert tree.leaves.count() > 60 and len(written) <= 6
+    for i in range(0, 3000, 50):
+        assert ours[i] == pytest.approx(np.sort(np.linalg.norm(at - at[i], axis=1))[12], abs=1e-12)
+
+
 def test_connected_groups_on_a_long_chain(spark):
     names = [f"{i:03d}" for i in range(120)]
     nodes = spark.createDataFrame([(n,) for n in names], "cell string")

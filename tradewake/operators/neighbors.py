@@ -24,6 +24,13 @@ LEAF_POINTS = 24
 FAN_OUT = 8
 # Leaves met in the first round and at most in a later one.
 FIRST_ROUND, LARGEST_ROUND = 8, 32
+# Points compared with a leaf at once.
+SEARCHERS = 256
+
+
+def search_leaf(d: int) -> int:
+    """Points of a leaf for searches by k-th distance: with more axes a leaf must hold more, or its points reach over many leaves."""
+    return min(LEAF_POINTS * 3 ** max(d - 3, 0), 2048)
 
 
 def _total(parts: list[Column]) -> Column:
@@ -41,14 +48,14 @@ def principal_axes(points: DataFrame, axes: Sequence[str]) -> np.ndarray:
     return np.linalg.eigh(matrix)[1][:, ::-1]
 
 
-def _split_level(points: DataFrame, d: int) -> DataFrame:
+def _split_level(points: DataFrame, d: int, most: int = LEAF_POINTS) -> DataFrame:
     """Axis and cut values of every node that is still too large."""
     quantiles = [i / FAN_OUT for i in range(1, FAN_OUT)]
     at = [F.col("_x")[i] for i in range(d)]
     stats = points.groupBy("_node").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.min(a) for a in at]).alias("lo"), F.array(*[F.max(a) for a in at]).alias("hi"),
         F.array(*[F.percentile_approx(a, quantiles, 1000) for a in at]).alias("q"),
-    ).where(F.col("n") > LEAF_POINTS)
+    ).where(F.col("n") > most)
     spans = [F.struct((F.col("hi")[i] - F.col("lo")[i]).alias("span"), F.lit(i).alias("axis")) for i in range(d)]
     chosen = stats.withColumn("axis", (F.greatest(*spans) if d > 1 else spans[0])["axis"])
     chosen = chosen.select("_node", "axis", F.get("lo", F.col("axis")).alias("low"), F.get("hi", F.col("axis")).alias("high"), F.get("q", F.col("axis")).alias("q"))
@@ -77,12 +84,12 @@ def _far(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
 
 
 class Tree:
-    """Distinct points in leaves of at most LEAF_POINTS, with the boxes of every level.
+    """Distinct points in leaves of at most ``leaf_points``, with the boxes of every level.
 
     Equal points are kept once with their number, so copies can't fill a leaf. All leaves are at the same depth.
     """
 
-    def __init__(self, points: DataFrame, key: str, axes: Sequence[str]):
+    def __init__(self, points: DataFrame, key: str, axes: Sequence[str], leaf_points: int = LEAF_POINTS):
         self.key, self.axes = key, tuple(axes)
         self.plain = points.select(key, *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=list(axes))
         self.turn = principal_axes(self.plain, axes)
@@ -91,7 +98,7 @@ class Tree:
         self.cuts: list[DataFrame] = []
         # 20 levels fill the bits of a node's number; leaves that are still large by then stay so.
         while len(self.cuts) < 20:
-            cuts = cut_lineage(_split_level(self.placed, len(self.axes)))
+            cuts = cut_lineage(_split_level(self.placed, len(self.axes), leaf_points))
             if cuts.isEmpty():
                 break
             self.cuts.append(cuts)
@@ -170,38 +177,139 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ijk,ijk->ij", away, away)
 
 
+def squared_by_axis(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b, added up axis by axis as those of boxes are."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        away = a[:, i, None] - b[None, :, i]
+        total += away * away
+    return total
+
+
+def _least(distances: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest of each row in any order, filled up with infinity."""
+    if distances.shape[1] < k:
+        return np.pad(distances, ((0, 0), (0, k - distances.shape[1])), constant_values=np.inf)
+    return np.partition(distances, k - 1, axis=1)[:, :k]
+
+
+def _nearest_k(a: np.ndarray, b: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
+    """Squared distances from each row of a to its k nearest of b, whose rows count several times each."""
+    repeats = np.minimum(times, k)
+    found = [np.empty((0, k))]
+    for at in range(0, len(a), SEARCHERS):
+        distances = squared_by_axis(a[at : at + SEARCHERS], b)
+        found.append(_least(distances if (repeats == 1).all() else np.repeat(distances, repeats, axis=1), k))
+    return np.concatenate(found)
+
+
+def _floats(packed: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype=float).reshape(-1, width)
+
+
+def _enough(tree: Tree, k: int) -> DataFrame:
+    """(leaf, first): squared distance within which every point of a leaf has k points; null if there are fewer.
+
+    It is the largest distance within the smallest node around the leaf that holds k points.
+    """
+    found, first = tree.leaves.select("leaf", "lo", "hi"), None
+    for level in range(tree.levels, -1, -1):
+        node = F.floor(F.col("leaf") / FAN_OUT ** (tree.levels - level)).cast("long")
+        held = tree.leaves.groupBy(node.alias("node")).agg(F.sum("weight").alias("held")).where(F.col("held") >= k)
+        box = tree.boxes(level).join(held, "node").select("node", F.col("lo").alias("box_lo"), F.col("hi").alias("box_hi"))
+        far = _far(F.col("lo"), F.col("hi"), F.col("box_lo"), F.col("box_hi"))
+        found = found.withColumn("node", node).join(box, "node", "left").withColumn(f"far_{level}", far).drop("node", "box_lo", "box_hi")
+        first = F.col(f"far_{level}") if first is None else F.coalesce(first, F.col(f"far_{level}"))
+    return found.select("leaf", first.alias("first"))
+
+
 def kth_distance(points: DataFrame, key: str, axes: Sequence[str], k: int = NEIGHBOUR, tree: Tree | None = None) -> DataFrame:
-    """Distance from each point to its k-th nearest, itself included; null with fewer than k points."""
-    tree = tree or Tree(points, key, axes)
+    """Distance from each point to its k-th nearest, itself included; null with fewer than k points.
+
+    The points of a leaf first meet each other, then those of the nearest leaves, then those of all leaves left within reach. A leaf gets only
+    the points of another whose own reach touches its box.
+    """
+    tree = tree or Tree(points, key, axes, search_leaf(len(axes)))
     d = len(axes)
+    # A row holds the points of a leaf.
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    schema = "leaf long, lo array<double>, hi array<double>, reach double, w binary, x binary, bound binary, best binary"
 
-    def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        best, reach = [], []
-        for own, found, partners in zip(batch["points"], batch["best"], batch["partners"]):
-            known = np.array([list(f) for f in found], dtype=float).reshape(len(own), -1)
-            if partners is not None and len(partners):
-                times = np.minimum([p["w"] for p in partners], k)
-                distances = np.repeat(squared(_coordinates(own, d), _coordinates(partners, d)), times, axis=1)
-                known = np.concatenate([known, distances], axis=1)
-                known = np.sort(known, axis=1)[:, :k]
-            best.append([row.tolist() for row in known])
-            reach.append(float(known[:, k - 1].max()) if known.shape[1] >= k else None)
-        return batch.assign(best=best, reach=reach).drop(columns="partners")
-
-    empty = F.transform("points", lambda p: F.array().cast("array<double>"))
-    # Before anything is met, a leaf reaches as far as it must to be sure of k points.
-    state = tree.leaves.select(F.col("leaf").alias("id"), "lo", "hi", _first_reach(tree, k).alias("reach"), "points", empty.alias("best"))
-    schema = "id long, lo array<double>, hi array<double>, reach double, points array<struct<pid:{0},w:long,x:array<double>>>, best array<array<double>>"
-    pid = tree.placed.schema["_pid"].dataType.simpleString()
-    state = tree.search(cut_lineage(state), meet, schema.format(pid))
-    each = state.select(F.explode(F.arrays_zip(F.col("points.pid").alias("pid"), "best")).alias("e")).select(F.col("e.pid").alias("_pid"), F.sqrt(F.get("e.best", F.lit(k - 1))).alias("_distance"))
-    per_value = tree.placed.select("_pid", *axes).join(each, "_pid", "left").drop("_pid")
-    return tree.plain.join(per_value, list(axes), "left").select(key, F.col("_distance").alias("distance"))
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for leaf, lo, hi, first, w, x in batch[["leaf", "lo", "hi", "first", "w", "x"]].itertuples(index=False):
+                w, x = np.asarray(w, dtype="<i8"), np.asarray(x, dtype=float).reshape(-1, d)
+                best = _nearest_k(x, x, w, k)
+                bound = np.minimum(best.max(axis=1), np.inf if first is None or np.isnan(first) else first)
+                rows.append((leaf, lo, hi, float(bound.max()), w.tobytes(), x.tobytes(), bound.tobytes(), best.tobytes()))
+            yield pd.DataFrame(rows, columns=["leaf", "lo", "hi", "reach", "w", "x", "bound", "best"])
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for leaf, x, bound, partners, boxes in batch[["leaf", "x", "bound", "partners", "boxes"]].itertuples(index=False):
+                x, bound, rows = _floats(x, d), np.frombuffer(bound), []
+                for partner, box in zip(partners, np.asarray(boxes, dtype=float).reshape(-1, 2, d)):
+                    near = np.zeros(len(x))
+                    for i in range(d):
+                        gap = np.maximum(np.maximum(box[0, i] - x[:, i], x[:, i] - box[1, i]), 0.0)
+                        near += gap * gap
+                    at = np.flatnonzero(near <= bound)
+                    if len(at):
+                        rows.append((leaf, partner, at.astype("<i8").tobytes(), x[at].tobytes()))
+                yield pd.DataFrame(rows, columns=["leaf", "partner", "at", "x"])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best = [_nearest_k(_floats(x, d), _floats(other, d), np.frombuffer(w, dtype="<i8"), k).tobytes() for x, other, w in zip(batch["x"], batch["other_x"], batch["other_w"])]
+            yield batch[["leaf", "at"]].assign(best=best)
 
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bests, bounds, reaches = [], [], []
+            for bound, best, ats, founds in zip(batch["bound"], batch["best"], batch["ats"], batch["founds"]):
+                best = _floats(best, k).copy()
+                for at, found in zip(*((ats, founds) if ats is not None else ((), ()))):
+                    at = np.frombuffer(at, dtype="<i8")
+                    best[at] = _least(np.concatenate([best[at], _floats(found, k)], axis=1), k)
+                bound = np.minimum(np.frombuffer(bound), best.max(axis=1))
+                bests.append(best.tobytes())
+                bounds.append(bound.tobytes())
+                reaches.append(float(bound.max()))
+            yield batch.assign(best=bests, bound=bounds, reach=reaches).drop(columns=["ats", "founds"])
+
+    def visit(state: DataFrame, pairs: DataFrame) -> DataFrame:
+        boxes = tree.leaves.select(F.col("leaf").alias("partner"), F.concat("lo", "hi").alias("box"))
+        asked = pairs.join(boxes, "partner").groupBy("leaf").agg(F.collect_list(F.struct("partner", "box")).alias("met"))
+        asked = asked.select("leaf", F.col("met.partner").alias("partners"), F.flatten("met.box").alias("boxes"))
+        routed = cut_lineage(state.select("leaf", "x", "bound").join(asked, "leaf").mapInPandas(route, "leaf long, partner long, at binary, x binary"))
+        tree.visits += routed.count()
+        others = state.select(F.col("leaf").alias("partner"), F.col("x").alias("other_x"), F.col("w").alias("other_w"))
+        found = routed.join(others, "partner").mapInPandas(measure, "leaf long, at binary, best binary")
+        found = found.groupBy("leaf").agg(F.collect_list(F.struct("at", "best")).alias("found"))
+        return cut_lineage(state.join(found, "leaf", "left").select(*state.columns, F.col("found.at").alias("ats"), F.col("found.best").alias("founds")).mapInPandas(merge, schema))
+
+    def within(state: DataFrame) -> DataFrame:
+        reach = F.when(F.col("reach") < float("inf"), F.col("reach"))
+        return tree.partners(state.select("leaf", "lo", "hi", reach.alias("reach"))).where("leaf <> partner")
+
+    content = tree.leaves.select("leaf", "lo", "hi", F.col("points.w").alias("w"), F.flatten("points.x").alias("x"))
+    state = cut_lineage(content.join(_enough(tree, k), "leaf").mapInPandas(own, schema))
+    nearest_first = Window.partitionBy("leaf").orderBy("near", "partner")
+    close = cut_lineage(within(state).withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= FIRST_ROUND).select("leaf", "partner"))
+    state = visit(state, close)
+    state = visit(state, within(state).select("leaf", "partner").join(close, ["leaf", "partner"], "left_anti"))
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kth = [[None if v == np.inf else v for v in np.sqrt(_floats(best, k).max(axis=1)).tolist()] for best in batch["best"]]
+            yield batch[["leaf"]].assign(kth=kth)
 
-def _first_reach(tree: Tree, k: int) -> Column:
-    """Squared diagonal of the leaf's box where it holds k points; else unknown."""
-    return F.when(F.col("weight") >= k, _far(F.col("lo"), F.col("hi"), F.col("lo"), F.col("hi")))
+    kth = state.select("leaf", "best").mapInPandas(last, "leaf long, kth array<double>")
+    pids = tree.leaves.select("leaf", F.col("points.pid").alias("pid"))
+    each = pids.join(kth, "leaf").select(F.explode(F.arrays_zip("pid", "kth")).alias("e")).select(F.col("e.pid").alias("_pid"), F.col("e.kth").alias("_distance"))
+    per_value = tree.placed.select("_pid", *axes).join(each, "_pid", "left").drop("_pid")
+    return tree.plain.join(per_value, list(axes), "left").select(key, F.col("_distance").alias("distance"))
 
 
 def nearest(tree: Tree, points: DataFrame, key: str, reach: float) -> DataFrame:
