@@ -67,6 +67,21 @@ def test_pairs_of_the_vocabulary_are_found_in_the_shifted_table():
         bytepairs.halves({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
 
 
+def test_a_pair_takes_two_reads_of_the_tables_and_only_pairs_have_a_rank(spark):
+    ranks = bytepairs.read_ranks(bytepairs.vocabulary_path())
+    pairs = bytepairs.halves(ranks)
+    encoder = bytepairs.Encoder()
+    draw = random.Random(5)
+    some = [(a, b, rank) for rank, (a, b) in draw.sample(sorted(pairs.items()), 500)]
+    known = set(pairs.values())
+    others = [(a, b, None) for a, b in ((draw.randrange(len(ranks)), draw.randrange(len(ranks))) for _ in range(500)) if (a, b) not in known]
+    rows = spark.createDataFrame(some + others, "a long, b long, want long").withColumn("rank", encoder.rank(F.col("a"), F.col("b"))).collect()
+    assert all(r.rank == r.want if r.want is not None else r.rank is None or r.rank >= bytepairs.NO_RANK for r in rows)
+    encoder.shifts, encoder.entries = F.col("shifts"), F.col("entries")
+    text = str(encoder.rank(F.col("a"), F.col("b")))
+    assert text.count("shifts") == text.count("entries") == 1
+
+
 def test_no_documents_no_tokens(spark):
     assert bytepairs.digests(spark.createDataFrame([], DOCS)).collect() == []
 

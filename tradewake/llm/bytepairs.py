@@ -29,12 +29,17 @@ from tradewake.llm.common import table, texts
 from tradewake.session import cut_lineage
 
 # Distinct words whose ids are kept in the plan, and the documents they are counted in.
-FREQUENT = 2**17
+FREQUENT = 3 * 2**16
 SAMPLE = 20_000
 # Lists that the words are dealt into; a lookup reads one of them.
 WORD_LISTS = 2**16
-# Marks before a word and before its ids in a list; words that hold one of them aren't put there.
-WORD, IDS = "\x01", "\x02"
+# Bits of an id in the table of pairs.
+BITS = 20
+NO_RANK = 2**BITS
+# Marks before a word and before its ids in a list; words that hold one of them aren't put there. JSON doesn't escape them.
+WORD, IDS = "\x7f", "\x80"
+# Characters of a plan that Spark keeps as text for its listeners; literals of several MB would fill the driver.
+PLAN_TEXT = "100000"
 
 # Letters and numbers of Unicode 14 to 16, which the regular expressions of Java 17 don't know as such.
 LATER_LETTERS = (
@@ -96,6 +101,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def choose(condition: Column, yes: Column, no: Column) -> Column:
+    """One of two values; Spark interprets ``if`` faster than ``case``."""
+    return F.call_function("if", condition, yes, no)
+
+
 def literal(value: list, kind: str) -> Column:
     """A list as one constant of the plan."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -141,20 +151,22 @@ class Encoder:
         ranks = read_ranks(path or vocabulary_path())
         self.pattern = java_pattern(pattern or vocabulary_pattern())
         size = max(ranks.values(), default=-1) + 1
+        if size > NO_RANK:
+            raise ValueError(f"ids of more than {BITS} bits")
         pieces: list[str | None] = [None] * size
         for piece, rank in ranks.items():
             pieces[rank] = base64.b64encode(piece).decode()
-        self.pieces = literal(pieces, "array<binary>")
+        # The strings are only carriers of bytes.
+        self.pieces = literal(pieces, "array<binary>").cast("array<string>")
         rows: dict[int, dict[int, int]] = {}
         pairs: list[str | None] = [None] * size
         for rank, (a, b) in halves(ranks).items():
             rows.setdefault(a, {})[b] = rank
             pairs[rank] = f"+{a},+{b},"
         shifts, slots = shifted(rows)
-        last = max(slots, default=-1) + 1
-        self.shifts = literal([shifts.get(a) for a in range(size)], "array<int>")
-        self.owners = literal([slots.get(i, (None, None))[0] for i in range(last)], "array<int>")
-        self.merged = literal([slots.get(i, (None, None))[1] for i in range(last)], "array<int>")
+        self.shifts = literal([shifts.get(a) for a in range(size)], "array<bigint>")
+        # The left piece above the bits of the rank.
+        self.entries = literal([(slots[i][0] << BITS) + slots[i][1] if i in slots else None for i in range(max(slots, default=-1) + 1)], "array<bigint>")
         # The text of a pair, and that of each byte.
         self.pairs = literal(pairs, "array<string>")
         self.bytes = literal([f"+{ranks[bytes([i])]}," for i in range(256)], "array<string>")
@@ -164,45 +176,44 @@ class Encoder:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def rank(self, a: Column, b: Column) -> Column:
-        """Rank of the piece that two adjacent ones make; null if they make none."""
-        slot = F.get(self.shifts, a) + b
-        return F.when(F.get(self.owners, slot) == a, F.get(self.merged, slot))
+        """Rank of the piece that two adjacent ones make; null, or ``NO_RANK`` and more, if they make none."""
+        return F.get(self.entries, F.get(self.shifts, a) + b).bitwiseXOR(F.shiftleft(a, BITS))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word, joined by spaces. The state of the fold is a text with each piece as ``+id,``."""
 
         def merge(state: Column) -> Column:
             def lowest(ids: Column) -> Column:
-                n = F.size(ids) - 1
-                return F.array_min(F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), self.rank))
+                return F.array_min(F.transform(ids, lambda a, i: self.rank(a, F.get(ids, i + 1))))
 
             def apply(rank: Column) -> Column:
                 joined = F.replace(state["s"], F.get(self.pairs, rank), F.concat(F.lit("+"), rank.cast("string"), F.lit(",")))
-                return F.when(rank.isNull(), F.struct(state["s"].alias("s"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("s"), F.lit(False).alias("done")))
+                return choose(rank < NO_RANK, F.struct(joined.alias("s"), F.lit(False).alias("done")), F.struct(state["s"].alias("s"), F.lit(True).alias("done")))
 
-            return let(let(F.split(F.rtrim(state["s"], F.lit(",")), ",").cast("array<int>"), lowest), apply)
+            return let(let(F.split(F.rtrim(state["s"], F.lit(",")), ",").cast("array<bigint>"), lowest), apply)
 
         letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
         start = F.struct(F.array_join(F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c))), "").alias("s"), F.lit(False).alias("done"))
         steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-        last = F.aggregate(steps, start, lambda state, _: F.when(state["done"], state).otherwise(merge(state)))
+        last = F.aggregate(steps, start, lambda state, _: choose(state["done"], state, merge(state)))
         return F.ltrim(F.translate(last["s"], "+,", " "))
 
     def learn(self, docs: DataFrame, frequent: int = FREQUENT, sample: int = SAMPLE) -> Encoder:
         """Folds the commonest distinct words of a sample of the documents (columns doc_id, text) and keeps their ids."""
+        docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
         rows = docs.count()
         some = docs if rows <= sample else docs.sample(sample / rows, seed=1)
         word = F.col("word")
         # Longer words are rare, and would make the size of the table depend on the data.
-        counted = some.select(F.explode(self.words(F.col("text"))).alias("word")).filter((F.length("word") <= 64) & ~word.contains(WORD) & ~word.contains(IDS))
+        counted = some.select(F.explode(self.words(F.col("text"))).alias("word")).filter((F.length("word") <= 32) & ~word.contains(WORD) & ~word.contains(IDS))
         common = counted.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
         common = cut_lineage(common).repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
         entries = common.select(self._list(word).alias("at"), F.concat(F.lit(WORD), word, F.lit(IDS), self.fold(word)).alias("entry"))
-        lists = [WORD] * WORD_LISTS
-        # At most ``frequent`` short words.
-        for at, text in entries.groupBy("at").agg(F.array_join(F.array_sort(F.collect_list("entry")), "").alias("entries")).collect():
-            lists[at] = text + WORD
-        self.frequent = literal(lists, "array<string>")
+        lists = entries.groupBy("at").agg(F.concat(F.array_join(F.array_sort(F.collect_list("entry")), ""), F.lit(WORD)).alias("entries"))
+        every = docs.sparkSession.range(WORD_LISTS).select(F.col("id").cast("int").alias("at")).join(lists, "at", "left")
+        rows = F.array_sort(F.collect_list(F.struct("at", F.coalesce("entries", F.lit(WORD)).alias("entries"))))
+        # At most ``frequent`` short words, as one text, which takes the driver less memory than rows.
+        self.frequent = F.from_json(F.lit(every.agg(F.to_json(F.transform(rows, lambda row: row["entries"]))).first()[0]), "array<string>")
         return self
 
     def _list(self, word: Column) -> Column:
@@ -213,15 +224,15 @@ class Encoder:
             return self.fold(word)
         behind = F.call_function("substring_index", F.get(self.frequent, self._list(word)), F.concat(F.lit(WORD), word, F.lit(IDS)), F.lit(-1))
         # Without the word, what is left starts with a mark.
-        return let(F.substring_index(behind, WORD, 1), lambda found: F.when(found == "", self.fold(word)).otherwise(found))
+        return let(F.substring_index(behind, WORD, 1), lambda found: choose(found == "", self.fold(word), found))
 
     def ids_text(self, text: Column) -> Column:
         """Ids of a text in decimal, joined by spaces."""
         return F.array_join(F.transform(self.words(text), self.word_ids), " ")
 
     def decoded(self, ids: Column) -> Column:
-        """Bytes of a list of ids: the pieces one after the other. The string between is only a carrier of bytes."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i).cast("string")), "").cast("binary")
+        """Bytes of a list of ids: the pieces one after the other."""
+        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").cast("binary")
 
 
 def split_ids(ids_text: Column) -> Column:
@@ -247,7 +258,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     found = rows.select("doc_id", encoder.ids_text(F.col("text")).alias("ids"))
     return found.select(
         "doc_id",
-        F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1).cast("long").alias("n_tokens"),
+        F.size(split_ids(F.col("ids"))).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(encoder.decoded(split_ids(F.col("ids"))), 256).alias("decoded_sha256"),
     )
