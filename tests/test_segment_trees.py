@@ -90,3 +90,12 @@ def test_folds_are_fitted_side_by_side(spark):
         return models.fit_logistic(train, columns)
 
     assert models.out_of_fold(rows, COLUMNS, fit, k=3).count() == 100
+
+
+def test_segments_are_fitted_on_all_their_rows(spark, monkeypatch):
+    """Also where there are more than two million."""
+    seen = []
+    monkeypatch.setattr(models, "fit_boosted", lambda rows, columns, **settings: seen.append(rows))
+    rows = 2_100_000
+    model_queries.fit_segment(spark.range(rows).select(F.col("id").alias("trade_id"), F.lit(0.5).alias("price"), F.lit(1.0).alias(models.LABEL)), ("price",))
+    assert seen[0].count() == rows and 0 < seen[0].where("holdout").count() < rows / 5
