@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradewake.operators import models, segment_trees
+from tradewake.operators import boosted_trees, models, segment_trees
 from tradewake.plans import model_queries, segment_queries
 
 COLUMNS = model_queries.NEWER_COLUMNS
@@ -99,3 +99,42 @@ def test_segments_are_fitted_on_all_their_rows(spark, monkeypatch):
     rows = 2_100_000
     model_queries.fit_segment(spark.range(rows).select(F.col("id").alias("trade_id"), F.lit(0.5).alias("price"), F.lit(1.0).alias(models.LABEL)), ("price",))
     assert seen[0].count() == rows and 0 < seen[0].where("holdout").count() < rows / 5
+
+
+def test_thresholds_come_from_all_rows(spark):
+    """Values of two rows in a hundred thousand are split on; a sample of the rows would miss them."""
+    names = [f"rare_{i}" for i in range(4)]
+    rows = spark.range(100_000).select("id", *[F.when(F.col("id").isin(17 + 20_011 * i, 9_000 + 20_011 * i), 1.0).otherwise(0.0).alias(c) for i, c in enumerate(names)])
+    train = rows.withColumn(models.LABEL, F.greatest(*names))
+    fitted = models.fit_boosted(train, names, rounds=2, depth=5, row_share=1.0, column_share=1.0, bins=128)
+    assert all(splits > 0 for _, _, splits in models.importances(fitted))
+    assert fitted.score(train).where(F.col("predicted") != F.col(models.LABEL)).isEmpty()
+
+
+def test_blocks_and_tasks_make_no_difference(spark, monkeypatch):
+    """Rows are drawn by their hash, so trees don't depend on where the rows are; the saved form keeps the sums."""
+    train = frame(spark, trades([0], 1500)).withColumn("holdout", F.col("trade_id") % 10 == 0)
+    settings = models.BOOSTED_SEGMENT | {"rounds": 4}
+    shown = lambda rows: models.fit_boosted(rows, COLUMNS, holdout="holdout", **settings).score(train).orderBy("trade_id").toPandas()["predicted_prob"].to_numpy()
+    whole = shown(train.coalesce(1))
+    monkeypatch.setattr(boosted_trees, "ADDED_AT_ONCE", 2)
+    assert np.allclose(shown(train.repartition(5)), whole, atol=1e-9) and whole.std() > 0.05
+
+
+def test_summaries_keep_the_ranks(monkeypatch):
+    monkeypatch.setattr(boosted_trees, "SUMMARY", 1000)
+    values = np.random.default_rng(1).normal(size=200_000)
+    parts = [boosted_trees.summary(p, np.ones(len(p))) for p in np.split(values, 8)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = boosted_trees.merged(merged, part)
+    assert len(merged[0]) <= 1000 and merged[1].sum() == len(values)
+    below = np.searchsorted(np.sort(values), boosted_trees.cuts(*merged, 127)) / len(values)
+    assert len(below) == 127 and np.abs(below - np.arange(1, 128) / 128).max() < 0.005
+
+
+def test_trees_refuse_what_spark_refuses(spark):
+    rows = frame(spark, trades([0], 50))
+    for bad in (rows.withColumn("price", F.when(F.col("trade_id") > 3, F.col("price"))), rows.withColumn("won", F.col("won") + 1), rows.where("false")):
+        with pytest.raises(Exception, match="null or not a number|neither 0 nor 1|no rows"):
+            models.fit_boosted(bad, COLUMNS, rounds=2, depth=2)

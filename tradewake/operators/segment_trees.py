@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewake.operators import models
+from tradewake.operators.boosted_trees import cuts
 from tradewake.session import cut_lineage
 
 # Training rows that a segment fitted in one task has at most, and rows scored together.
@@ -26,14 +27,7 @@ MOST_ROWS, SCORED_ROWS = 200_000, 100_000
 
 def thresholds(values: np.ndarray, most: int) -> np.ndarray:
     """At most ``most`` cuts between distinct values, as far apart in rows as can be."""
-    distinct, counts = np.unique(values, return_counts=True)
-    middles = (distinct[:-1] + distinct[1:]) / 2
-    if len(middles) <= most:
-        return middles
-    below = counts.cumsum()[:-1]
-    targets = len(values) / (most + 1) * np.arange(1, most + 1)
-    after = np.searchsorted(below, targets).clip(1, len(below) - 1)
-    return middles[np.unique(np.where(targets - below[after - 1] <= below[after] - targets, after - 1, after))]
+    return cuts(*np.unique(values, return_counts=True), most)
 
 
 def _grown(codes: np.ndarray, bins: int, target: np.ndarray, drawn: np.ndarray, depth: int, columns: int, rng: np.random.Generator):
