@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradewake.operators import evaluate, models, neighbors, sampling, segments
+from tradewake.operators import evaluate, models, neighbors, network, sampling, segments
 from tradewake.operators.models import Scaler
 from tradewake.session import scratch_path
 
@@ -247,3 +247,19 @@ def test_connected_groups_on_a_long_chain(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:]) if b != "060"], "a string, b string")
     labels = {r["cell"]: r["label"] for r in segments.connected_groups(nodes, edges).collect()}
     assert {labels[n] for n in names[:60]} == {"000"} and {labels[n] for n in names[60:]} == {"060"}
+
+
+def test_network_takes_the_steps_of_spark(spark, planted):
+    """From the same start; blocks of Spark's are whole here, so that all rows count the same."""
+    rows = planted.limit(128 * 8).coalesce(1).cache()
+    scaler, sizes = Scaler.fit(rows, COLUMNS), [len(COLUMNS), 6, 4, 2]
+    start = models._network(spark, COLUMNS, sizes, scaler).estimator.weights.toArray()
+    theirs = models.fit_network(rows, COLUMNS, hidden=sizes[1:-1], rounds=6).estimator.weights.toArray()
+    made = network.blocks(rows.repartition(3), [scaler.scaled(c) for c in COLUMNS], F.col(models.LABEL))
+    value = network.loss_and_gradient(made, sizes)
+    ours = network.lbfgs(value, start, 6)
+    assert np.allclose(ours, theirs, atol=1e-6) and not np.allclose(ours, start, atol=1e-2)
+    # The gradient is the slope of the loss.
+    away, (_, slope) = np.random.default_rng(1).normal(size=len(start)) * 1e-5, value(ours)
+    assert value(ours + away)[0] - value(ours - away)[0] == pytest.approx(2 * slope @ away, rel=1e-4, abs=1e-12)
+    assert network.loss(made, ours, sizes) == pytest.approx(value(ours)[0])
